@@ -31,16 +31,16 @@ from .strings import edits, jaro_winkler, phonetic, plain
 # Familiar forms of given names; a form may stand for several names.
 NICKNAMES = {
     "paco": "francisco", "pancho": "francisco", "quico": "francisco", "kiko": "francisco", "curro": "francisco",
-    "pepe": "jose", "chepe": "jose", "pepito": "jose", "chema": "jose", "quique": "enrique", "kike": "enrique", "quico ": "enrique",
+    "pepe": "jose", "chepe": "jose", "pepito": "jose", "chema": "jose", "quique": "enrique", "kike": "enrique",
     "tono": "antonio", "toni": "antonio", "memo": "guillermo", "guille": "guillermo", "poncho": "alfonso", "fonso": "alfonso",
     "chucho": "jesus", "chuy": "jesus", "lucho": "luis", "luisito": "luis", "manolo": "manuel", "manny": "manuel", "meño": "manuel",
-    "polo": "leopoldo", "rafa": "rafael", "falo": "rafael", "rafita": "rafael", "beto": "alberto roberto gilberto heriberto", "tito": "alberto roberto ernesto",
+    "polo": "leopoldo", "rafa": "rafael", "falo": "rafael", "rafita": "rafael", "beto": "alberto roberto gilberto heriberto", "tito": "alberto roberto ernesto gilberto heriberto hector",
     "nacho": "ignacio", "lalo": "eduardo", "guayo": "eduardo", "chava": "salvador", "salva": "salvador", "nando": "fernando", "fer": "fernando",
     "neto": "ernesto", "checo": "sergio", "tavo": "gustavo", "gus": "gustavo", "moncho": "ramon", "mon": "ramon", "fito": "rodolfo adolfo", "rodo": "rodolfo",
     "chente": "vicente", "milo": "emilio", "pipe": "felipe", "coque": "jorge", "koke": "jorge", "jorgito": "jorge", "charly": "carlos", "carlitos": "carlos", "calin": "carlos",
     "juanito": "juan", "juancho": "juan", "nito": "juan", "perico": "pedro", "pedrito": "pedro", "piter": "pedro", "richi": "ricardo", "rica": "ricardo", "riqui": "ricardo", "cayo": "ricardo",
     "migue": "miguel", "mike": "miguel", "miguelito": "miguel", "esteve": "esteban", "teban": "esteban", "javi": "javier", "javo": "javier", "raulito": "raul", "rulo": "raul",
-    "nino": "saturnino", "sato": "saturnino", "teto": "hector", "tito ": "hector", "heri": "heriberto", "alex": "alejandro", "jano": "alejandro", "ale": "alejandro", "turo": "arturo", "artu": "arturo",
+    "nino": "saturnino", "sato": "saturnino", "teto": "hector", "heri": "heriberto", "alex": "alejandro", "jano": "alejandro", "ale": "alejandro", "turo": "arturo", "artu": "arturo",
     "varo": "evaristo", "eva": "evaristo", "agus": "agustin", "tin": "agustin", "tincho": "agustin", "tomasito": "tomas", "tomy": "tomas", "mayito": "mario", "fredo": "alfredo", "fello": "alfredo", "alfre": "alfredo",
     "andy": "andres", "andresito": "andres", "gume": "gumersindo", "chindo": "gumersindo", "melqui": "melquiades", "rubencho": "ruben", "benny": "ruben", "bob": "roberto", "robe": "roberto", "gil": "gilberto", "lacho": "horacio", "racho": "horacio",
     "mari": "maria", "maruca": "maria", "marucha": "maria", "cuca": "refugio", "cuquita": "refugio", "lupe": "guadalupe", "lupita": "guadalupe", "chelo": "consuelo", "chelito": "consuelo", "lola": "dolores", "lolita": "dolores",
@@ -48,10 +48,10 @@ NICKNAMES = {
     "yola": "yolanda", "yoli": "yolanda", "tencha": "hortensia", "horte": "hortensia", "licha": "alicia", "concha": "concepcion", "meche": "mercedes", "chayo": "rosario", "betty": "beatriz", "bety": "beatriz", "bea": "beatriz",
     "rosita": "rosa", "chata": "rosa", "marthita": "martha", "mara": "martha", "gris": "griselda", "chela": "griselda graciela", "silvi": "silvia", "chiva": "silvia", "nena": "elena", "elenita": "elena", "leno": "elena", "amy": "amalia", "maya": "amalia", "nora": "leonor", "leo": "leonor leopoldo", "ofe": "ofelia", "fela": "ofelia rafaela",
 }
-NICKNAMES = {k.strip(): tuple(v.split()) for k, v in NICKNAMES.items()}
+NICKNAMES = {k: tuple(v.split()) for k, v in NICKNAMES.items()}
 # Forms of address and small words of surnames.
 TITLES = frozenset("dr dra lic licda ing gral prof profa arq cp c p sr sra don dona cnel tte mtro mtra gen col cap cor".split())
-PARTICLES = frozenset("de la las los del y e".split())
+PARTICLES = frozenset("de la las los del dela y e".split())
 
 _DEATH = re.compile(r"\(\s*d(?:e(?:c(?:e(?:a(?:s(?:e(?:d\b[^)]*)?)?)?)?)?)?)?\s*\)?\s*$", re.I)
 _TAIL = re.compile(r"\s+d(?:ec(?:e(?:a(?:s(?:e(?:d)?)?)?)?)?)\b.*$", re.I)
@@ -75,7 +75,7 @@ def split_name(raw: str, tail: bool = False) -> tuple[tuple[str, ...], tuple[str
         return re.findall(r"[^\W\d_]+", t)
 
     def clean(ws: list[str]) -> tuple[str, ...]:
-        return tuple(w for w in (plain(w) for w in ws) if w not in PARTICLES)
+        return tuple(plain(w) for w in ws if plain(w) not in PARTICLES or (len(w) == 1 and w.isupper()))
 
     if comma:
         sur, giv = words(head), words(rest)
@@ -87,7 +87,7 @@ def split_name(raw: str, tail: bool = False) -> tuple[tuple[str, ...], tuple[str
         if upper and len(upper) < len(ws) and not ws[-1].isupper():
             sur, giv = [w for w in ws if w.isupper() and len(w) > 1], [w for w in ws if not (w.isupper() and len(w) > 1)]
         else:
-            body = [w for w in ws if plain(w) not in PARTICLES]
+            body = [w for w in ws if plain(w) not in PARTICLES or (len(w) == 1 and w.isupper())]
             cut = max(1, len(body) - 2) if len(body) > 2 else 1
             giv, sur = body[:cut], body[cut:]
     return clean(sur), tuple(w for w in clean(giv) if w not in TITLES or len(w) == 1)
@@ -109,6 +109,8 @@ def _close(a: str, b: str) -> float:
         return 0.7 if long[0] == short else 0.0
     if set(canonical_given(a)) & set(canonical_given(b)):
         return 0.97
+    if len(short) <= 4 and long.startswith(short):
+        return 0.75
     jw = jaro_winkler(a, b)
     if len(short) >= 4 and (edits(a, b, 1) <= 1 or (len(short) >= 7 and jw >= 0.93 and edits(a, b, 2) <= 2)):
         return max(jw, 0.9)
