@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 from .canonical import map_values
 from .names import same_person, same_person_pairs
+from .packing import fill_containers
+from .spans import shared_characters, sharing_pairs
+from .tokens import token_counts, token_ids
+
+#: Tokens one container holds.
+CAPACITY = 2_048
 
 # Further ways the reference states are written.
 STATE_ALIASES = {
@@ -55,5 +61,25 @@ def p6_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return _typed(spark, d).where("ref_id = -1").groupBy("field", "value").agg(F.countDistinct("record_id").alias("n_records"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_clusters, p6_found, p6_unmatched)}
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document."""
+    return token_ids(table(spark, d, "documents"))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Container of every document, or of every part of a document longer than a container."""
+    return fill_containers(token_counts(table(spark, d, "documents")), CAPACITY)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of documents with a common substring of 200 or more characters."""
+    return sharing_pairs(table(spark, d, "documents")).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
+def p9_shared(spark: SparkSession, d: str) -> DataFrame:
+    """Per document: its characters, and how many of them also stand in another document."""
+    return shared_characters(table(spark, d, "documents")).withColumnRenamed("doc", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_clusters, p6_found, p6_unmatched, p7_ids, p8_containers, p9_found, p9_shared)}
 ORACLE: dict[str, str] = {}
