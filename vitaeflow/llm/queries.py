@@ -9,8 +9,10 @@ from ..sources.tables import table
 from .canonical import map_values
 from .names import same_person, same_person_pairs
 from .packing import fill_containers
+from .scans import scan_damage
 from .spans import shared_characters, sharing_pairs
 from .tokens import token_counts, token_ids
+from .truncation import cut_records
 
 #: Tokens one container holds.
 CAPACITY = 2_048
@@ -34,6 +36,41 @@ def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("person").agg(F.count("*").alias("n_ids"))
 
 
+def _cut(spark: SparkSession, d: str) -> DataFrame:
+    bio, edu = table(spark, d, "biographies"), table(spark, d, "education")
+    named = bio.select(F.lit("biographies").alias("tab"), F.col("bio_row").alias("rid"), F.col("name").alias("value"), F.col("intake").alias("source"))
+    schools = edu.select(F.lit("education").alias("tab"), F.col("record_id").alias("rid"), F.col("organization").alias("value"), F.col("intake").alias("source"))
+    return cut_records(named.unionByName(schools).distinct())
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Names and schools that were cut on delivery."""
+    return _cut(spark, d).where("is_cut").select(F.col("tab").alias("table_name"), F.col("rid").alias("row_id")).distinct()
+
+
+def p3_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Per table and intake: records with a value, and how many of them are cut."""
+    one = _cut(spark, d).groupBy("tab", "rid", "source").agg(F.max(F.col("is_cut").cast("int")).alias("c"))
+    return one.groupBy(F.col("tab").alias("table_name"), F.col("source").alias("intake")).agg(F.count("*").alias("n_records"), F.sum("c").alias("n_cut"), F.round(F.avg("c"), 6).alias("share_cut"))
+
+
+def _scanned(spark: SparkSession, d: str) -> DataFrame:
+    pos, edu = table(spark, d, "parsed_positions"), table(spark, d, "education")
+    return scan_damage(
+        pos.select(F.lit("parsed_positions").alias("table_name"), "record_id", F.col("role_text_raw").alias("value"))
+        .unionByName(edu.select(F.lit("education").alias("table_name"), "record_id", F.col("organization").alias("value"))))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Role texts and schools that carry traces of the scanned pages."""
+    return _scanned(spark, d).select("table_name", "record_id").distinct()
+
+
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """The damaged values, each restored to one continuous line."""
+    return _scanned(spark, d).select("table_name", "record_id", "repaired").distinct()
+
+
 def _typed(spark: SparkSession, d: str) -> DataFrame:
     pos = table(spark, d, "parsed_positions").select("record_id", "field_type", "organization", "state")
     orgs, states = table(spark, d, "ref_organizations"), table(spark, d, "ref_states")
@@ -81,5 +118,5 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return shared_characters(table(spark, d, "documents")).withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_clusters, p6_found, p6_unmatched, p7_ids, p8_containers, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_clusters, p3_found, p3_sources, p4_found, p4_repaired, p6_found, p6_unmatched, p7_ids, p8_containers, p9_found, p9_shared)}
 ORACLE: dict[str, str] = {}
