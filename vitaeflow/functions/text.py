@@ -140,24 +140,45 @@ def years_in_post(start: Column, end: Column) -> Column:
 MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 
 
-def parse_date(c: Column) -> dict[str, Column]:
-    """``date``, ``precision`` (full, month_year, year_only, decade, unparseable) and ``decade`` of a date as people write it."""
-    s = F.trim(c)
-    is_decade = s.rlike(r"^\d{4}s$")
-    junk = s.isNull() | (s == "") | s.rlike(r"\bmp\b") | s.contains("sity of Texas") | ~s.rlike(r"\d")
+def _bound(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _dated(s: Column) -> Column:
     t = F.trim(F.regexp_replace(s, r"(?s);.*$", ""))
     t = F.trim(F.regexp_replace(t, r"(?<=\d{4})[.,]?\s+[A-Z][a-z].*$", ""))
     t = F.trim(F.regexp_replace(t, r"(?<=\d{4})[.,]?\s+\d+\s+\w.*$", ""))
     for bad, good in (("Sept", "Sep"), ("June", "Jun"), ("July", "Jul")):
         t = F.regexp_replace(t, rf"\b{bad}\b", good)
     t = F.trim(F.regexp_replace(F.regexp_replace(t, "[.,]", " "), r"\s{2,}", " "))
-    only_year, month_year = t.rlike(r"^\d{4}$"), t.rlike(r"^[A-Za-z]+ \d{4}$")
-    padded = F.when(month_year, F.regexp_replace(t, r"^([A-Za-z]+) (\d{4})$", "$1 1 $2")).otherwise(t)
-    day = F.when(only_year, F.try_to_date(F.concat(t, F.lit("-01-01")))).otherwise(F.coalesce(F.try_to_date(padded, "MMM d yyyy"), F.try_to_date(padded, "MMMM d yyyy")))
-    date = F.when(~junk & ~is_decade, day)
-    precision = F.when(is_decade, "decade").when(junk, "unparseable").when(only_year, "year_only").when(month_year, "month_year").when(day.isNotNull(), "full").otherwise("unparseable")
-    decade = F.when(is_decade, _year(F.substring(s, 1, 4))).when(only_year & ~junk, F.floor(_year(t) / 10).cast("int") * 10).otherwise(F.floor(F.year(date) / 10).cast("int") * 10)
-    return {"date": date, "precision": precision, "decade": decade}
+
+    def read(t: Column) -> Column:
+        padded = F.regexp_replace(t, r"^([A-Za-z]+) (\d{4})$", "$1 1 $2")
+        day = F.when(t.rlike(r"^\d{4}$"), F.try_to_date(F.concat(t, F.lit("-01-01")))).otherwise(_bound(padded, lambda p: F.coalesce(F.try_to_date(p, "MMM d yyyy"), F.try_to_date(p, "MMMM d yyyy"))))
+        kind = F.when(t.rlike(r"^\d{4}$"), "year_only").when(t.rlike(r"^[A-Za-z]+ \d{4}$"), "month_year")
+        return F.struct(day.alias("date"), kind.alias("kind"))
+
+    return _bound(t, read)
+
+
+def parse_date(c: Column) -> Column:
+    """Struct of ``date``, ``precision`` (full, month_year, year_only, decade, unparseable) and ``decade`` of a date as people write it."""
+
+    def classify(s: Column) -> Column:
+        is_decade = s.rlike(r"^\d{4}s$")
+        junk = s.isNull() | (s == "") | s.rlike(r"\bmp\b") | s.contains("sity of Texas") | ~s.rlike(r"\d")
+        none = F.lit(None).cast("date")
+
+        def known(d: Column) -> Column:
+            precision = F.coalesce(d["kind"], F.when(d["date"].isNotNull(), F.lit("full")).otherwise(F.lit("unparseable")))
+            return F.struct(d["date"].alias("date"), precision.alias("precision"), (F.floor(F.year(d["date"]) / 10).cast("int") * 10).alias("decade"))
+
+        empty = F.struct(none.alias("date"), F.lit("unparseable").alias("precision"), F.lit(None).cast("int").alias("decade"))
+        tens = F.struct(none.alias("date"), F.lit("decade").alias("precision"), _year(F.substring(s, 1, 4)).alias("decade"))
+        return F.when(junk, empty).when(is_decade, tens).otherwise(_bound(_dated(s), known))
+
+    return _bound(F.trim(c), classify)
 
 
 def split_person(c: Column) -> dict[str, Column]:

@@ -37,7 +37,13 @@ def split_biographies(df: DataFrame, text: str = "value", key: str = "path") ->
     own = F.regexp_replace(F.concat(F.lit("a-"), F.col("chunk")), r"\s+", " ")
     marked = F.split(F.regexp_replace(own, MARK, "\u0001$1\u0002"), "\u0001")
     entries = F.filter(marked, lambda e: F.contains(e, F.lit("\u0002")))
-    out = [F.trim(F.element_at(F.split(F.try_element_at(F.filter(entries, lambda e, k=k: F.startswith(e, F.lit(k + "\u0002"))), F.lit(-1)), "\u0002"), 2)).alias(v) for k, v in FIELDS.items()]
+
+
+    def field(letter: str) -> Column:
+        own_entries = F.filter(entries, lambda e: F.startswith(e, F.lit(letter + "\u0002")))
+        return F.trim(F.get(F.split(F.try_element_at(own_entries, F.lit(-1)), "\u0002"), F.lit(1)))
+
+    out = [field(k).alias(v) for k, v in FIELDS.items()]
     return chunks.select("source_key", F.col("bio_row").cast("long").alias("bio_row"), name.alias("name"), *out)
 
 
@@ -65,7 +71,13 @@ def entries_to_records(bio: DataFrame, keys: Sequence[str], fields: Sequence[str
 
 def mentions(df: DataFrame, keys: Sequence[str], text: str, patterns: Sequence[tuple[str, str]], tail: str, least: int = 4) -> DataFrame:
     """One row per relation named in a text: kind, position of the pattern and the name mentioned, trimmed."""
-    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all(F.col(text), F.lit("(?i)" + p), F.lit(1)), lambda m, k=k, i=i: F.struct(F.lit(k).alias("kind"), F.lit(i).alias("pattern"), m.alias("m"))) for i, (k, p) in enumerate(patterns)]))
+
+
+    def of(i: int, kind: str, pattern: str) -> Column:
+        all_ = F.regexp_extract_all(F.col(text), F.lit("(?i)" + pattern), F.lit(1))
+        return F.transform(all_, lambda m: F.struct(F.lit(kind).alias("kind"), F.lit(i).alias("pattern"), m.alias("m")))
+
+    found = F.flatten(F.array(*[of(i, k, p) for i, (k, p) in enumerate(patterns)]))
     rows = df.where(F.col(text).isNotNull()).select(*keys, F.explode(found).alias("x")).select(*keys, "x.kind", "x.pattern", F.trim(F.regexp_replace("x.m", "(?i)" + tail, "")).alias("mention"))
     return rows.where(F.length("mention") >= least)
 

@@ -306,10 +306,10 @@ def accents_stripped(spark, d):
 _TOKS = V.TOKENS_SQL.format(c="person_name")
 
 
-@query(f"SELECT person_id, list_sort({_TOKS}) AS tokens FROM (SELECT person_id, min(person_name) AS person_name FROM parsed_positions WHERE person_name IS NOT NULL GROUP BY person_id)")
+@query(f"SELECT person_id, array_to_string(list_sort({_TOKS}), ' ') AS tokens FROM (SELECT person_id, min(person_name) AS person_name FROM parsed_positions WHERE person_name IS NOT NULL GROUP BY person_id)")
 def name_tokens(spark, d):
     """Tokens by which names are matched."""
-    return _people(spark, d).select("person_id", F.array_sort(X.match_tokens(F.col("person_name"))).alias("tokens"))
+    return _people(spark, d).select("person_id", F.array_join(F.array_sort(X.match_tokens(F.col("person_name"))), " ").alias("tokens"))
 
 
 # ---- classification --------------------------------------------------------------------
@@ -522,12 +522,13 @@ _MON = r"list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','o
 
 
 @query(rf"""WITH x AS (SELECT bio_row, trim(birth_date) AS s, {_DT} AS t FROM biographies),
-y AS (SELECT *, regexp_matches(s, '^\d{{4}}s$') AS dec, s IS NULL OR s = '' OR regexp_matches(s, '\bmp\b') OR NOT regexp_matches(s, '\d') AS junk, regexp_matches(t, '^\d{{4}}$') AS yo, regexp_matches(t, '^[A-Za-z]+ \d{{4}}$') AS my, regexp_matches(t, '^[A-Za-z]+ \d{{1,2}} \d{{4}}$') AS full_ FROM x),
+y AS (SELECT *, regexp_matches(s, '^\d{{4}}s$') AS dec, s IS NULL OR s = '' OR regexp_matches(s, '\bmp\b') OR NOT regexp_matches(s, '\d') AS junk, regexp_matches(t, '^\d{{4}}$') AS yo, regexp_matches(t, '^[A-Za-z]+ \d{{4}}$') AS my, regexp_matches(t, '(?i)^(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|january|february|march|april|june|july|august|september|october|november|december) \d{{1,2}} \d{{4}}$') AS full_ FROM x),
 z AS (SELECT *, CASE WHEN dec OR junk THEN NULL WHEN yo THEN make_date(CAST(t AS INTEGER), 1, 1) WHEN my THEN make_date(CAST(right(t, 4) AS INTEGER), CAST({_MON} AS INTEGER), 1) WHEN full_ THEN make_date(CAST(right(t, 4) AS INTEGER), CAST({_MON} AS INTEGER), CAST(regexp_extract(t, ' (\d{{1,2}}) ', 1) AS INTEGER)) END AS date FROM y)
-SELECT bio_row, date, CASE WHEN dec THEN 'decade' WHEN junk THEN 'unparseable' WHEN yo THEN 'year_only' WHEN my THEN 'month_year' WHEN date IS NOT NULL THEN 'full' ELSE 'unparseable' END AS precision, CAST(CASE WHEN dec THEN CAST(left(s, 4) AS INTEGER) ELSE year(date) // 10 * 10 END AS INTEGER) AS decade FROM z""")
+SELECT bio_row, CAST(date AS VARCHAR) AS date, CASE WHEN dec THEN 'decade' WHEN junk THEN 'unparseable' WHEN yo THEN 'year_only' WHEN my THEN 'month_year' WHEN date IS NOT NULL THEN 'full' ELSE 'unparseable' END AS precision, CAST(CASE WHEN dec THEN CAST(left(s, 4) AS INTEGER) ELSE year(date) // 10 * 10 END AS INTEGER) AS decade FROM z""")
 def date_parse_precision(spark, d):
     """Birth dates as people wrote them: date, precision and decade."""
-    return table(spark, d, "biographies").select("bio_row", *[c.alias(n) for n, c in X.parse_date(F.col("birth_date")).items()])
+    b = table(spark, d, "biographies").select("bio_row", X.parse_date(F.col("birth_date")).alias("p"))
+    return b.select("bio_row", F.col("p.date").cast("string").alias("date"), "p.precision", "p.decade")
 
 
 # ---- splitting and repairing text ---------------------------------------------------------
