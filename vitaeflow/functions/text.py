@@ -31,12 +31,18 @@ def _accent_tables() -> tuple[str, str, list[tuple[str, str]]]:
 _SOURCE, _TARGET, _SEVERAL = _accent_tables()
 
 
+def _bound(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip_accents(c: Column) -> Column:
     """Letters without accents; composed Latin letters are mapped, combining marks removed."""
     out = F.regexp_replace(F.translate(c, _SOURCE, _TARGET), r"\p{M}+", "")
-    for one, several in _SEVERAL:
-        out = F.replace(out, F.lit(one), F.lit(several))
-    return out
+    several = out
+    for one, letters in _SEVERAL:
+        several = F.replace(several, F.lit(one), F.lit(letters))
+    return F.when(c.rlike("[" + "".join(one for one, _ in _SEVERAL) + "]"), several).otherwise(out)
 
 
 def squeeze(c: Column) -> Column:
@@ -140,11 +146,6 @@ def years_in_post(start: Column, end: Column) -> Column:
 MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 
 
-def _bound(value: Column, f) -> Column:
-    """``f`` of a value that is computed once, however often ``f`` uses it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def _dated(s: Column) -> Column:
     t = F.trim(F.regexp_replace(s, r"(?s);.*$", ""))
     t = F.trim(F.regexp_replace(t, r"(?<=\d{4})[.,]?\s+[A-Z][a-z].*$", ""))
@@ -207,21 +208,23 @@ def longest_first(entries: Sequence[tuple[str, str]]) -> list[tuple[str, str]]:
 
 
 def contained(text: Column, entries: Sequence[tuple[str, str]]) -> Column:
-    """Value of the first entry, in order, whose key is a substring."""
-    table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in entries])
-    return F.try_element_at(F.filter(table, lambda e: F.contains(text, e["k"])), F.lit(1))["v"]
+    """Value of the first entry, in order, whose key is a substring.  ``text`` should be bound (see :func:`_bound`)."""
+    return F.coalesce(*[F.when(F.contains(text, F.lit(k)), F.lit(v)) for k, v in entries])
 
 
-def state_in_text(c: Column) -> Column:
-    """State named in a text: state names longest first, then words of federal offices, then cities."""
-    t = normal(c)
+def _places(t: Column) -> Column:
     named = contained(t, longest_first([(k.lower(), v) for k, v in rules.STATE_VARIANTS]))
-    federal = F.when(F.array_contains(F.transform(F.array(*map(F.lit, rules.FEDERAL_WORDS)), lambda k: F.contains(t, k)), True), F.lit("Federal District"))
+    federal = contained(t, [(k, "Federal District") for k in rules.FEDERAL_WORDS])
     return F.coalesce(named, federal, contained(t, longest_first(list(rules.CITY_STATE.items()))))
 
 
+def state_in_text(c: Column) -> Column:
+    """State named in a text: state names longest first, then words of federal offices, then cities."""
+    return _bound(normal(c), _places)
+
+
 def state_of_school(c: Column) -> Column:
-    return F.coalesce(contained(normal(c), longest_first(list(rules.INSTITUTION_STATE.items()))), state_in_text(c))
+    return _bound(normal(c), lambda t: F.coalesce(contained(t, longest_first(list(rules.INSTITUTION_STATE.items()))), _places(t)))
 
 
 def state_of_office(c: Column) -> Column:
