@@ -42,11 +42,20 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + 0.1 * p * (1 - jaro)
 
 
+@lru_cache(maxsize=1 << 18)
+def letters(a: str) -> int:
+    """Bit set of the characters of a string; one edit changes at most two of its bits."""
+    out = 0
+    for c in a:
+        out |= 1 << (ord(c) & 63)
+    return out
+
+
 def edits(a: str, b: str, most: int) -> int:
     """Edits (insert, delete, replace, swap of neighbours) between two strings; ``most + 1`` if there are more."""
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > most:
+    if abs(len(a) - len(b)) > most or (letters(a) ^ letters(b)).bit_count() > 2 * most:
         return most + 1
     while a and b and a[0] == b[0]:
         a, b = a[1:], b[1:]
