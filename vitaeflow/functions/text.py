@@ -264,7 +264,7 @@ def corrupt_name(c: Column) -> Column:
 
 def missing_comma(c: Column) -> Column:
     """A comma after the surnames in parentheses, if the name has none."""
-    return F.when(~c.contains(",") & c.rlike(r"^\S+\s+\([^)]*\)\s+\S"), F.regexp_replace(c, r"^(\S+\s+\([^)]*\))\s+", "$1, ")).otherwise(c)
+    return F.when(~F.regexp_replace(c, r"\([^)]*\)", "").contains(",") & c.rlike(r"^\S+\s+\([^)]*\)\s+\S"), F.regexp_replace(c, r"^(\S+\s+\([^)]*\))\s+", "$1, ")).otherwise(c)
 
 
 def death_note(c: Column) -> Column:
