@@ -220,7 +220,7 @@ def _keys(sur: tuple, giv: tuple, birth, prec) -> set[str]:
     sur_codes = [phonetic(s) for s in sur if len(s) > 1]
     keys = set()
     for i, s in enumerate(sur_codes):
-        for other in sur_codes[i + 1 :]:
+        for other in sur_codes[i + 1 : i + 7]:
             keys.add("|".join(sorted((s, other))))
         for g in giv_codes:
             keys.add("|".join(sorted((s, g))))
@@ -311,7 +311,9 @@ def same_person(bio: DataFrame, positions: DataFrame) -> DataFrame:
     """``pid, person`` of every id that shares its person with another id; the person is the smallest id.
 
     Defined results: ids without any name are no case; equal name and birth make one class
-    at once; rows delivered twice change nothing; empty tables give an empty result."""
+    at once; rows delivered twice change nothing; of an id with several names the first in
+    the alphabet counts; of a name with very many surnames each is paired with the next six;
+    empty tables give an empty result; further columns of the tables are not read."""
     links, members = name_links(persons(bio, positions))
     comp = connected_components(links)
     grouped = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("pid", F.coalesce("component", "rep").alias("person"))
