@@ -278,8 +278,12 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def name_links(people: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Accepted links ``a, b`` between class representatives, and the membership ``pid, rep``."""
     split = people.select("pid", "name", "birth", "prec", "place", "tail").mapInArrow(_split, _SPLIT)
-    same = F.min("pid").over(Window.partitionBy("sur", "giv", "birth", "prec", "place"))
-    members = cut_lineage(split.withColumn("rep", F.when((F.col("sur") != "") & (F.col("giv") != ""), same).otherwise(F.col("pid"))))
+    whole = (F.col("sur") != "") & (F.col("giv") != "")
+    nothing = F.lit("")
+    mark = F.when(whole, F.sha2(F.concat_ws("|", "sur", "giv", F.coalesce(F.col("birth").cast("string"), nothing), F.coalesce("prec", nothing), F.coalesce("place", nothing)), 256)).otherwise(F.col("pid").cast("string"))
+    marked = cut_lineage(split.withColumn("class", mark))
+    firsts = marked.groupBy("class").agg(F.min("pid").alias("rep"))
+    members = cut_lineage(marked.join(firsts, "class").drop("class"))
     reps = members.where("pid = rep").select("rep", "sur", "giv", "birth", "prec", "place")
     keyed = cut_lineage(reps.mapInArrow(_explode, _KEYED))
     side = lambda df, s: df.select(*[F.col(c).alias(c if c in ("key", "year") else f"{c}_{s}") for c in df.columns])

@@ -25,7 +25,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators.periods import continuous_periods
 from ..session import cut_lineage, parallelism
@@ -38,7 +37,7 @@ HASHED = 0.6
 SHARD_CHARS = 1_000_000
 #: Characters streamed against one copy of a shard before the stream is split.
 STREAM_CHARS = 8_000_000
-#: Candidate ids up to which they are sent to every task to pick their texts; more are joined.
+#: Ids and hashes up to which they are sent to every task to pick rows; more are joined.
 MOST_SENT = 500_000
 
 _BASE = np.uint64(0x100000001B3)
@@ -389,13 +388,11 @@ def shared_spans(texts: DataFrame, least: int = LEAST, both: bool = True, shard_
     n = parallelism(spark)
     long_ = texts.where(F.length("text") >= least)
     prints = long_.select("doc", F.xxhash64("text").alias("mark"), "text").mapInArrow(_fingerprints(k, least - k + 1), "h long, doc long")
-    w = Window.partitionBy("h")
-    common = prints.repartition(n, "h").withColumn("a", F.min("doc").over(w)).withColumn("b", F.max("doc").over(w)).where("a <> b").select("h", "doc")
+    common = _met(cut_lineage(prints))
     classes = cut_lineage(text_classes(texts, least))
-    own = cut_lineage(common.join(classes, "doc").select("h", F.col("rep").alias("doc")).distinct().withColumn("a", F.min("doc").over(w)).withColumn("b", F.max("doc").over(w)).where("a <> b").select("h", "doc"))
+    own = _met(cut_lineage(common.join(classes, "doc").select("h", F.col("rep").alias("doc")).distinct()))
     ids = cut_lineage(own.select("doc").distinct())
-    few = ids.count() <= MOST_SENT
-    picked = cut_lineage(long_.join(F.broadcast(ids) if few else ids, "doc", "left_semi").select("doc", "text"))
+    picked = cut_lineage(long_.join(_sent(ids), "doc", "left_semi").select("doc", "text"))
     chars = picked.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, -(-int(chars) // shard_chars))
     home = F.pmod(F.xxhash64("doc"), F.lit(shards))
@@ -413,6 +410,18 @@ def shared_spans(texts: DataFrame, least: int = LEAST, both: bool = True, shard_
     return spans, classes
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    """Ids for a semi join: sent to every task if they are few, else joined by shuffle."""
+    return F.broadcast(ids) if ids.count() <= MOST_SENT else ids
+
+
+def _met(prints: DataFrame) -> DataFrame:
+    """Rows whose hash occurs in more than one document.  Minimum and maximum are formed before the
+    shuffle, so a hash that a third of all documents hold moves one row per task."""
+    hashes = prints.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("h")
+    return prints.join(_sent(cut_lineage(hashes)), "h", "left_semi")
+
+
 def _texts(df: DataFrame, doc: str, text: str) -> DataFrame:
     return df.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
 
