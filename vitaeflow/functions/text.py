@@ -31,7 +31,7 @@ def _accent_tables() -> tuple[str, str, list[tuple[str, str]]]:
 _SOURCE, _TARGET, _SEVERAL = _accent_tables()
 
 
-def _bound(value: Column, f) -> Column:
+def bound(value: Column, f) -> Column:
     """``f`` of a value that is computed once, however often ``f`` uses it."""
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
@@ -156,11 +156,11 @@ def _dated(s: Column) -> Column:
 
     def read(t: Column) -> Column:
         padded = F.regexp_replace(t, r"^([A-Za-z]+) (\d{4})$", "$1 1 $2")
-        day = F.when(t.rlike(r"^\d{4}$"), F.try_to_date(F.concat(t, F.lit("-01-01")))).otherwise(_bound(padded, lambda p: F.coalesce(F.try_to_date(p, "MMM d yyyy"), F.try_to_date(p, "MMMM d yyyy"))))
+        day = F.when(t.rlike(r"^\d{4}$"), F.try_to_date(F.concat(t, F.lit("-01-01")))).otherwise(bound(padded, lambda p: F.coalesce(F.try_to_date(p, "MMM d yyyy"), F.try_to_date(p, "MMMM d yyyy"))))
         kind = F.when(t.rlike(r"^\d{4}$"), "year_only").when(t.rlike(r"^[A-Za-z]+ \d{4}$"), "month_year")
         return F.struct(day.alias("date"), kind.alias("kind"))
 
-    return _bound(t, read)
+    return bound(t, read)
 
 
 def parse_date(c: Column) -> Column:
@@ -177,9 +177,9 @@ def parse_date(c: Column) -> Column:
 
         empty = F.struct(none.alias("date"), F.lit("unparseable").alias("precision"), F.lit(None).cast("int").alias("decade"))
         tens = F.struct(none.alias("date"), F.lit("decade").alias("precision"), _year(F.substring(s, 1, 4)).alias("decade"))
-        return F.when(junk, empty).when(is_decade, tens).otherwise(_bound(_dated(s), known))
+        return F.when(junk, empty).when(is_decade, tens).otherwise(bound(_dated(s), known))
 
-    return _bound(F.trim(c), classify)
+    return bound(F.trim(c), classify)
 
 
 def split_person(c: Column) -> dict[str, Column]:
@@ -220,11 +220,11 @@ def _places(t: Column) -> Column:
 
 def state_in_text(c: Column) -> Column:
     """State named in a text: state names longest first, then words of federal offices, then cities."""
-    return _bound(normal(c), _places)
+    return bound(normal(c), _places)
 
 
 def state_of_school(c: Column) -> Column:
-    return _bound(normal(c), lambda t: F.coalesce(contained(t, longest_first(list(rules.INSTITUTION_STATE.items()))), _places(t)))
+    return bound(normal(c), lambda t: F.coalesce(contained(t, longest_first(list(rules.INSTITUTION_STATE.items()))), _places(t)))
 
 
 def state_of_office(c: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import rules
 from ..functions import text as X
-from ..operators import fuzzy, graph, intervals, parse, relops
+from ..operators import clean, containment, fuzzy, graph, intervals, parse, relops
 from ..sources.tables import table
 from . import views as V
 
@@ -707,3 +707,124 @@ def names_rebuilt(spark, d):
 def title_pick(spark, d):
     """Titles, blanks as null."""
     return V.positions(spark, d, "position_title").select("record_id", F.nullif(F.trim("position_title"), F.lit("")).alias("title"))
+
+
+# ---- cleaning ---------------------------------------------------------------------------
+
+
+@query()
+def organizations_extracted(spark, d):
+    """Organisations and schools named in role texts, by ordered patterns with fall-through."""
+    c = F.col("role_text_raw")
+    picked = F.when(F.col("field_type") == "education", clean.school_in(c)).otherwise(clean.organization_in(c))
+    return V.positions(spark, d, "field_type", "role_text_raw").select("record_id", picked.alias("organization_found"))
+
+
+_LORG = f"""CASE WHEN length(organization) >= 3 THEN organization ELSE coalesce(upper(nullif(trim(rtrim(regexp_extract(role_text, '(?i){clean.ACRONYM}', 1), '.,;')), '')), nullif(trim(rtrim(trim(regexp_extract(role_text, '(?i){clean.LOCAL_UNION}', 1)), '.,;')), ''), nullif(trim(rtrim(trim(regexp_extract(role_text, '(?i){clean.BODY_NAME}', 1)), '.,;')), '')) END"""
+
+
+@query(f"WITH {V.PP} SELECT record_id, {_LORG} AS org_filled FROM pp WHERE field_type = 'labor_positions'")
+def labor_org_fill(spark, d):
+    """Organisations of labor posts, filled from the text where they are missing."""
+    return V.domain(spark, d, "labor_positions", "organization", "role_text").select("record_id", clean.labor_organization(F.col("organization"), F.col("role_text")).alias("org_filled"))
+
+
+_STATES_RE = "|".join(k.lower() for k, _ in sorted(rules.STATE_VARIANTS, key=lambda e: -len(e[0]))).replace(".", r"\.")
+_NAT = rf"CASE WHEN {V.like('role_text', rules.NATIONAL_ORG)} THEN true WHEN {V.like('role_text', clean.LOCAL_SECTION)} OR coalesce(regexp_matches({V.plain_sql('role_text')}, '\bof\s+(the\s+)?(state\s+of\s+)?({_STATES_RE})\b'), false) OR {V.like(V.plain_sql('role_text'), clean.LOCAL_BODY)} THEN false END"
+
+
+@query(f"WITH {V.PP}, x AS (SELECT record_id, state, {_NAT} AS is_national FROM pp WHERE field_type = 'labor_positions') SELECT record_id, is_national, coalesce(state, CASE WHEN is_national THEN 'Federal District' END) AS work_state FROM x")
+def labor_national_fill(spark, d):
+    """National, local or unknown labor posts, and where they were held."""
+    text = F.col("role_text")
+    x = V.domain(spark, d, "labor_positions", "role_text", "state").withColumn("is_national", clean.labor_is_national(F.when(text.rlike(X.UI + rules.NATIONAL_ORG), F.lit(True)), text))
+    return x.select("record_id", "is_national", clean.work_state_labor(F.col("is_national"), F.col("state")).alias("work_state"))
+
+
+@query(rf"""WITH {V.PP} SELECT record_id, coalesce(trim(regexp_replace(position_title, '\s{{2,}}', ' ', 'g')), {V.case('role_text', clean.TITLE_FILL)}) AS title,
+CASE WHEN coalesce(trim(position_title), '') IN {_inlist(clean.LOCAL_TITLES)} THEN state WHEN coalesce(trim(position_title), '') IN {_inlist(clean.CHAMBER_TITLES)} OR coalesce(trim(position_title), '') = '' THEN 'Federal District' ELSE state END AS work_state FROM pp WHERE field_type = 'public_positions'""")
+def public_title_fill(spark, d):
+    """Titles of public posts filled from the text, and where the posts were held."""
+    x = V.domain(spark, d, "public_positions", "position_title", "role_text", "state")
+    return x.select("record_id", clean.filled_title(F.col("position_title"), F.col("role_text")).alias("title"), clean.work_state_public(F.col("position_title"), F.col("state")).alias("work_state"))
+
+
+@query()
+def municipalities(spark, d):
+    """Towns of local offices, and the state a town implies."""
+    x = V.domain(spark, d, "public_positions", "role_text_raw", "position_title", "state").withColumn("town", clean.municipality(F.col("role_text_raw"), F.col("position_title")))
+    return x.select("record_id", "town", clean.state_of_town(F.col("state"), F.col("town")).alias("state_filled"))
+
+
+_FED = f"CASE WHEN {V.like('organization', clean.FEDERAL_ORGANIZATION)} THEN true WHEN state IS NOT NULL AND state <> 'Federal District' THEN {V.like('role_text_raw', chr(92) + 'bsecretary' + chr(92) + 's+of' + chr(92) + 'b|' + chr(92) + 'bsecretary,')} END"
+
+
+@query(f"WITH {V.PP}, x AS (SELECT record_id, state, role_text_raw, {_FED} AS is_federal FROM pp WHERE field_type = 'govt_positions') SELECT record_id, is_federal, coalesce(state, CASE WHEN is_federal AND NOT {V.like('role_text_raw', clean.ABROAD)} THEN 'Federal District' END) AS work_state FROM x")
+def govt_federal(spark, d):
+    """Federal, other or unknown government posts, and where they were held."""
+    x = V.domain(spark, d, "govt_positions", "organization", "role_text_raw", "state").withColumn("is_federal", clean.is_federal(F.col("organization"), F.col("state"), F.col("role_text_raw")))
+    return x.select("record_id", "is_federal", clean.work_state_govt(F.col("state"), F.col("is_federal"), F.col("role_text_raw")).alias("work_state"))
+
+
+@query(f"WITH {V.PP}, x AS (SELECT record_id, trim(rtrim(trim(regexp_extract(role_text_raw, '(?i){clean.DEPARTMENT}', 1)), '.,;')) AS dep FROM pp WHERE field_type = 'govt_positions') SELECT record_id, dep AS sub_department FROM x WHERE dep <> '' AND NOT regexp_matches(dep, '(?i){clean.TOP_DEPARTMENT}')")
+def sub_departments(spark, d):
+    """Departments named in government posts."""
+    return V.domain(spark, d, "govt_positions", "role_text_raw").select("record_id", clean.sub_department(F.col("role_text_raw")).alias("sub_department")).where("sub_department is not null")
+
+
+@query(f"""WITH {V.PP}, x AS (SELECT record_id, state, role_text, {_BODY} AS body, {V.case('role_text', rules.PARTY_RECORD, 'active_position')} AS kind, organization FROM pp WHERE field_type = 'party_positions'), l AS (SELECT *, {_LEVEL} AS level FROM x),
+f AS (SELECT *, coalesce(CASE WHEN level = 'state' AND state IS NULL THEN NULL ELSE level END, CASE WHEN {V.like('role_text', chr(92) + 'b(chamber' + chr(92) + 's+of' + chr(92) + 's+deputies|senate|congress|national' + chr(92) + 's+(committee|council|assembly|convention)|central' + chr(92) + 's+committee|plurinominal)' + chr(92) + 'b')} THEN 'national' WHEN state IS NOT NULL THEN 'state' END) AS filled FROM l)
+SELECT record_id, filled AS level, CASE WHEN filled = 'national' THEN coalesce(state, 'Federal District') ELSE state END AS work_state, CASE WHEN {V.like('role_text', '^joined' + chr(92) + 'b.{0,60}' + chr(92) + 'bcampaign' + chr(92) + 'b')} THEN 'campaign' ELSE kind END AS kind FROM f""")
+def party_level_fill(spark, d):
+    """Level, place and kind of party posts after repair."""
+    x = V.domain(spark, d, "party_positions", "organization", "role_text", "state")
+    body = X.cascade_sources([F.col("organization"), F.col("role_text")], rules.PARTY_BODY)
+    x = x.withColumn("body", body).withColumn("level", clean.filled_level(party_level(F.col("body"), F.col("state"), F.col("role_text")), F.col("state"), F.col("role_text")))
+    kind = X.cascade(F.col("role_text"), rules.PARTY_RECORD, "active_position")
+    return x.select("record_id", "level", clean.work_state_party(F.col("level"), F.col("state")).alias("work_state"), clean.consistent_record(kind, F.col("role_text")).alias("kind"))
+
+
+@query()
+def years_reextracted(spark, d):
+    """Years read again where stripping page leftovers changed the text."""
+    x = V.positions(spark, d, "role_text_raw", "year_start", "year_end").withColumn("cleaned", X.strip_fragments(F.col("role_text_raw")))
+    a, b = clean.reextracted(F.col("role_text_raw"), F.col("cleaned"), F.col("year_start"), F.col("year_end"))
+    return x.select("record_id", a.alias("y0"), b.alias("y1"))
+
+
+@query("SELECT bio_row, CASE WHEN contains(name, ',') THEN trim(trim(substr(name, instr(name, ',') + 1)) || ' ' || trim(split_part(name, ',', 1))) ELSE name END AS shown FROM biographies")
+def names_displayed(spark, d):
+    """Names as they are spoken."""
+    return table(spark, d, "biographies").select("bio_row", clean.displayed(F.col("name")).alias("shown"))
+
+
+_PLAIN_WORDS = "' ' || trim(regexp_replace(strip_accents(lower({c})), '[^a-z0-9]+', ' ', 'g')) || ' '"
+
+
+@query(f"WITH n AS (SELECT DISTINCT trim(split_part(birthplace, ',', 1)) AS name FROM biographies WHERE birthplace IS NOT NULL) SELECT n.name, d.doc_id FROM n JOIN documents d ON contains({_PLAIN_WORDS.format(c='d.text')}, {_PLAIN_WORDS.format(c='n.name')}) WHERE trim({_PLAIN_WORDS.format(c='n.name')}) <> ''")
+def places_in_documents(spark, d):
+    """Birthplaces named in documents, word for word."""
+    names = table(spark, d, "biographies").where("birthplace is not null").select(F.trim(F.split_part("birthplace", F.lit(","), F.lit(1))).alias("name")).distinct()
+    return containment.names_in_texts(names, "name", table(spark, d, "documents"), "doc_id", "text")
+
+
+_WFOCUS = f"""WITH {V.PP}, x AS (SELECT record_id, person_id, field_type, nullif(trim(organization), '') AS org, nullif(trim(state), '') AS st, coalesce({V.case('organization', rules.PARTY_BODY)}, {V.case('role_text', rules.PARTY_BODY)}) AS body FROM pp WHERE field_type NOT IN ('education', 'birthplace'))
+SELECT record_id, CASE WHEN field_type <> 'party_positions' THEN org WHEN body IS NOT NULL AND st IS NOT NULL THEN coalesce(org, 'party') || ' – ' || body || ' (' || st || ')' WHEN body IS NOT NULL THEN coalesce(org, 'party') || ' – ' || body WHEN st IS NOT NULL THEN coalesce(org, 'party') || ' – ' || st END AS focus FROM x"""
+
+
+@query(_WFOCUS)
+def work_focus(spark, d):
+    """Where people worked together: the organisation, for parties its body and state."""
+    x = V.positions(spark, d, "field_type", "organization", "state", "role_text").where(~F.col("field_type").isin("education", "birthplace"))
+    org, st = F.nullif(F.trim("organization"), F.lit("")), F.nullif(F.trim("state"), F.lit(""))
+    body = X.cascade_sources([F.col("organization"), F.col("role_text")], rules.PARTY_BODY)
+    x = x.select("record_id", "field_type", org.alias("org"), st.alias("st"), body.alias("body"))
+    base = F.concat(F.coalesce("org", F.lit("party")), F.lit(" – "))
+    party = F.when(F.col("body").isNotNull() & F.col("st").isNotNull(), F.concat(base, "body", F.lit(" ("), "st", F.lit(")"))).when(F.col("body").isNotNull(), F.concat(base, "body")).when(F.col("st").isNotNull(), F.concat(base, "st"))
+    return x.select("record_id", F.when(F.col("field_type") != "party_positions", F.col("org")).otherwise(party).alias("focus"))
+
+
+@query("SELECT DISTINCT ego_id, alter_id, edge_type FROM tapado_edges WHERE edge_type IS NOT NULL AND NOT regexp_matches(edge_type, 'distant|third|fourth|removed') AND lower(trim(edge_type)) NOT IN ('', 'nan', 'none', 'unknown')")
+def kin_in_scope(spark, d):
+    """Ties whose label names a relation within reach."""
+    return table(spark, d, "tapado_edges").select("ego_id", "alter_id", "edge_type").where(clean.in_scope(F.col("edge_type"))).distinct()
