@@ -18,7 +18,7 @@ def _words(c: Column) -> Column:
 def names_in_texts(names: DataFrame, name: str, texts: DataFrame, key: str, text: str) -> DataFrame:
     """``name, key``: names whose words stand in sequence in the text, accents and case aside.
 
-    Every text gives its windows of up to :data:`WINDOW` words, each once; a name meets the
+    Every text gives its windows of up to :data:`WINDOW` words; a name meets the
     windows by its first words, longer names are then checked in full.  Nulls and names
     without a word match nothing."""
     n = names.where(F.col(name).isNotNull()).select(F.col(name).alias("name")).distinct().withColumn("w", _words(F.col("name"))).where(F.size("w") > 0)
@@ -41,9 +41,9 @@ def names_in_texts(names: DataFrame, name: str, texts: DataFrame, key: str, text
 
 
 def _windows(text: Column, k: int) -> Column:
-    """Different windows of ``k`` words of a text; the words are split once."""
+    """Windows of ``k`` words of a text; the words are split once."""
 
     def of(w: Column) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(k)), " ")))
+        return F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(k)), " "))
 
     return bound(_words(text), lambda w: F.when(F.size(w) >= k, of(w)))
