@@ -122,3 +122,10 @@ def test_positions_by_year(spark):
     r = spark.createDataFrame([(1, 1988, 1996, 1, 2, "low"), (1, 1994, None, 1, 3, "tie"), (1, 1995, 1999, 5, 4, "high"), (1, 1999, 1990, 9, 1, "reversed"), (1, None, 1995, 9, 1, "no start")], "p int, a int, b int, s int, q int, v string")
     got = {x.year: x.v for x in intervals.best_in_years(q, r, "p", "year", "a", "b", "s", "q", "v").collect()}
     assert got == {1990: "low", 1995: "high", 2005: ""}
+
+
+def test_units_states_and_commanders(spark):
+    df = spark.createDataFrame([("fought in Sonora and Baja California Sur under General Alvaro Obregon, 31st Infantry, Sonora Brigade",), (None,)], "t string")
+    states = [r[0] for r in df.select(parse.states_named(F.col("t"), rules.STATE_VARIANTS)).collect()]
+    assert sorted(states[0]) == ["Baja California", "Baja California Sur", "Sonora"]
+    assert df.select(parse.units_and_commanders(F.col("t"))).first()[0] == ["31 Infantry", "under Gen. Alvaro Obregon"]

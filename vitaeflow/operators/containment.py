@@ -1,49 +1,28 @@
-"""Names that stand word for word in large texts: word windows meet names by equality."""
+"""Names that stand word for word in large texts: a telling word of the name meets the words of the text."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bound, normal
+from ..functions.text import normal
 
-#: Words a name may have; longer names are compared by their first words and then in full.
-WINDOW = 4
 
-
-def _words(c: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(normal(c), r"[^a-z0-9]+", " "), " "), lambda w: w != "")
+def _flat(c: Column) -> Column:
+    """Words of a text between single blanks, one before and one after, accents and case aside."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(normal(c), r"[^a-z0-9]+", " ")), F.lit(" "))
 
 
 def names_in_texts(names: DataFrame, name: str, texts: DataFrame, key: str, text: str) -> DataFrame:
-    """``name, key``: names whose words stand in sequence in the text, accents and case aside.
-
-    Every text gives its windows of up to :data:`WINDOW` words; a name meets the
-    windows by its first words, longer names are then checked in full.  Nulls and names
-    without a word match nothing."""
-    n = names.where(F.col(name).isNotNull()).select(F.col(name).alias("name")).distinct().withColumn("w", _words(F.col("name"))).where(F.size("w") > 0)
-    n = n.withColumn("k", F.least(F.size("w"), F.lit(WINDOW))).withColumn("g", F.array_join(F.slice("w", 1, F.col("k")), " "))
-    lengths = sorted(r[0] for r in n.select("k").distinct().collect())
-    t = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    out = None
-    for k in lengths:
-        windows = t.select("key", F.explode(_windows(F.col("text"), k)).alias("g"))
-        part = n.where(F.col("k") == k).select("name", "w", "g").join(windows, "g").select("name", F.col("w").alias("words"), "key")
-        if k == WINDOW:
-            whole = t.select("key", F.concat(F.lit(" "), F.array_join(_words(F.col("text")), " "), F.lit(" ")).alias("full"))
-            long_ = part.where(F.size("words") > WINDOW).join(whole, "key").where(F.contains(F.col("full"), F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))).select("name", "words", "key")
-            part = part.where(F.size("words") <= WINDOW).union(long_)
-        part = part.select("name", "key")
-        out = part if out is None else out.union(part)
-    if out is None:
-        return texts.where("false").select(F.lit("").alias(name), F.col(key))
-    return out.distinct().select(F.col("name").alias(name), F.col("key").alias(key))
-
-
-def _windows(text: Column, k: int) -> Column:
-    """Windows of ``k`` words of a text; the words are split once."""
-
-    def of(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(k)), " "))
-
-    return bound(_words(text), lambda w: F.when(F.size(w) >= k, of(w)))
+    """``name, key``: names whose words stand in sequence in the text.
+
+    A name meets the texts that hold its longest word (the first of equals); where they meet
+    the whole name is looked for.  Small words therefore never make candidates, and neither
+    all texts nor all names are compared.  Nulls and names without a word match nothing."""
+    n = names.where(F.col(name).isNotNull()).select(F.col(name).alias("name")).distinct().withColumn("flat", _flat(F.col("name"))).where("trim(flat) <> ''")
+    longest = F.array_max(F.transform(F.split(F.trim("flat"), " "), lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("i"), w.alias("w"))))["w"]
+    n = n.withColumn("word", longest)
+    t = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), _flat(F.col(text)).alias("full"))
+    words = t.select("key", F.explode(F.split(F.trim("full"), " ")).alias("word"))
+    met = words.join(n, "word").select("name", "flat", "key").distinct()
+    return met.join(t, "key").where(F.contains("full", "flat")).select(F.col("name").alias(name), F.col("key").alias(key)).distinct()

@@ -91,10 +91,13 @@ def units_and_commanders(c: Column) -> Column:
 
 def states_named(c: Column, variants: Sequence[tuple[str, str]]) -> Column:
     """Different states named in a text as whole words, unless a word for a unit follows."""
-    t = X.normal(c)
     unit = r"(?!\s+(brigade|battalion|regiment|division|corps|cavalry|infantry|zone))"
-    table = F.array(*[F.struct(F.lit(r"\b" + k.lower().replace(".", r"\.") + r"\b" + unit).alias("k"), F.lit(v).alias("v")) for k, v in X.longest_first(variants)])
-    return F.array_distinct(F.transform(F.filter(table, lambda e: F.regexp_like(t, e["k"])), lambda e: e["v"]))
+
+    def of(t: Column) -> Column:
+        found = [F.when(t.rlike(r"\b" + k.lower().replace(".", r"\.") + r"\b" + unit), F.lit(v)) for k, v in X.longest_first(variants)]
+        return F.array_distinct(F.filter(F.array(*found), lambda s: s.isNotNull()))
+
+    return X.bound(X.normal(c), of)
 
 
 def json_answers(c: Column, schema: str) -> Column:

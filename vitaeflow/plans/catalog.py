@@ -574,10 +574,14 @@ def multi_match_explode(spark, d):
     return table(spark, d, "biographies").where("field_j is not null").select("bio_row", F.explode(parse.units_and_commanders(t)).alias("focus")).where(~F.col("focus").startswith("under "))
 
 
-@query()
+_VARIANTS = ", ".join("('" + k.lower().replace(".", "\\.") + f"', '{v}')" for k, v in rules.STATE_VARIANTS)
+
+
+@query(f"SELECT DISTINCT b.bio_row, v.state AS state_found FROM biographies b JOIN (VALUES {_VARIANTS}) v(k, state) ON regexp_matches(strip_accents(lower(b.birthplace)), '\\b' || v.k || '\\b')")
 def states_named(spark, d):
-    """States named in the public posts, unless as part of a unit's name."""
-    return V.domain(spark, d, "public_positions", "role_text_raw").select("record_id", F.explode(parse.states_named(F.col("role_text_raw"), rules.STATE_VARIANTS)).alias("state_found"))
+    """States named in the birthplaces; a state's name before a word for a unit would not count."""
+    b = table(spark, d, "biographies").where("birthplace is not null").select("bio_row", "birthplace")
+    return b.select("bio_row", F.explode(parse.states_named(F.col("birthplace"), rules.STATE_VARIANTS)).alias("state_found"))
 
 
 @query("WITH f AS (SELECT person_name, min(record_id) AS s FROM parsed_positions WHERE person_name IS NOT NULL GROUP BY person_name) SELECT person_name, row_number() OVER (ORDER BY s, person_name) AS person_key FROM f")
