@@ -492,11 +492,21 @@ def lookup_office(spark, d):
 _Y0, _Y1, _STRIP = (V.YEARS_SQL.format(c="role_text_raw", g=1), V.YEARS_SQL.format(c="role_text_raw", g=2), V.STRIP_SQL.format(c="role_text_raw"))
 
 
+def _years_of(positions: DataFrame) -> DataFrame:
+    a, b = X.years(F.col("role_text_raw"))
+    return positions.select("record_id", a.alias("y0"), b.alias("y1"), X.strip_years(F.col("role_text_raw")).alias("role"))
+
+
 @query(f"WITH {V.PP} SELECT record_id, {_Y0} AS y0, {_Y1} AS y1, {_STRIP} AS role FROM pp WHERE NOT contains(role_text_raw, chr(10))")
 def year_extract(spark, d):
     """Years of every one-line role text, and the text without them."""
-    a, b = X.years(F.col("role_text_raw"))
-    return V.positions(spark, d, "role_text_raw").where(~F.col("role_text_raw").contains("\n")).select("record_id", a.alias("y0"), b.alias("y1"), X.strip_years(F.col("role_text_raw")).alias("role"))
+    return _years_of(V.positions(spark, d, "role_text_raw").where(~F.col("role_text_raw").contains("\n")))
+
+
+@query()
+def year_extract_all(spark, d):
+    """Years of every role text, of several lines too, and the text without them."""
+    return _years_of(V.positions(spark, d, "role_text_raw"))
 
 
 @query(f"WITH {V.PP} SELECT record_id, try_cast(coalesce(nullif(regexp_extract(role_text_raw, '(\\d{{4}})\\s*[-–]\\s*(\\d{{4}})', 1), ''), nullif(regexp_extract(role_text_raw, '(\\d{{4}})', 1), '')) AS INTEGER) AS y0, try_cast(nullif(regexp_extract(role_text_raw, '(\\d{{4}})\\s*[-–]\\s*(\\d{{4}})', 2), '') AS INTEGER) AS y1 FROM pp")
@@ -555,8 +565,14 @@ _ENTRIES = " UNION ALL ".join(f"SELECT bio_row, {i} AS ordinal, '{f}' AS field_t
 @query(f"WITH s AS ({_ENTRIES}) SELECT bio_row, ordinal, field_type, pos, entry AS role_text_raw, {V.STRIP_SQL.format(c='entry')} AS role_text, {V.YEARS_SQL.format(c='entry', g=1)} AS year_start, {V.YEARS_SQL.format(c='entry', g=2)} AS year_end FROM s WHERE length(entry) >= 5 AND NOT contains(entry, chr(10)) AND NOT contains(entry, chr(13))")
 def entries_parsed(spark, d):
     """One-line entries of all position cells as dated records."""
+    return entries_parsed_all(spark, d).where(~F.col("role_text_raw").rlike("[\n\r]"))
+
+
+@query()
+def entries_parsed_all(spark, d):
+    """Entries of all position cells, of several lines too, as dated records."""
     b = table(spark, d, "biographies").select("bio_row", *_BIO)
-    return parse.entries_to_records(b, ["bio_row"], _BIO).where(~F.col("role_text_raw").rlike("[\n\r]")).drop("state")
+    return parse.entries_to_records(b, ["bio_row"], _BIO).drop("state")
 
 
 @query("WITH k AS (SELECT bio_row, personal_info AS t FROM biographies WHERE personal_info IS NOT NULL), m AS (" + " UNION ALL ".join(f"SELECT bio_row, '{k}' AS kind, {i} AS pattern, unnest(regexp_extract_all(t, '(?i){p}', 1)) AS m FROM k" for i, (k, p) in enumerate(rules.MENTIONS))
@@ -694,6 +710,12 @@ def fragments_stripped(spark, d):
     return V.positions(spark, d, "role_text_raw").where(~F.col("role_text_raw").rlike("[\n\r]")).select("record_id", X.strip_fragments(F.col("role_text_raw")).alias("cleaned"))
 
 
+@query()
+def fragments_stripped_all(spark, d):
+    """Role texts, of several lines too, without leftovers of the page edge."""
+    return V.positions(spark, d, "role_text_raw").select("record_id", X.strip_fragments(F.col("role_text_raw")).alias("cleaned"))
+
+
 @query(f"WITH {V.PP} SELECT count(*) AS n FROM pp WHERE coalesce(regexp_replace(lower(organization), '[^a-z]', '', 'g'), '') NOT IN ('', 'none')")
 def degenerate_dropped(spark, d):
     """Records left without organisations that say nothing."""
