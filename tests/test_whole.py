@@ -41,3 +41,10 @@ def test_entries_of_several_lines_are_parsed(spark, tmp_path):
         (1, 0, "public_positions", 0, "governor,\nGuerrero, 1963–1969", "governor,\nGuerrero", 1963, 1969), (1, 0, "public_positions", 1, "deputy, 1950", "deputy", 1950, 1950),
         (1, 2, "govt_positions", 0, "judge\rof Leon, 1970", "judge\rof Leon", 1970, 1970),
     ]
+
+
+def test_accents_of_every_script_go(spark, tmp_path):
+    texts = ["Cafe\u0301 nin\u0303o", "Café", "東京 México", "Киев, йод и и\u0306", "ά ᾷ", "Việt Nam", "ok \u2713 \U0001f5f3\ufe0f", "\ufeffá\u200b", "한글", "", None]
+    want = ["Cafe nino", "Cafe", "東京 Mexico", "Киев, иод и и", "α α", "Viet Nam", "ok \u2713 \U0001f5f3", "\ufeffa\u200b", "한글", ""]
+    d = folder(spark, tmp_path, documents=(list(enumerate(texts)), "doc_id long, text string"))
+    assert result(spark, d, "accents_stripped_all") == list(enumerate(want))

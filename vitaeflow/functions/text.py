@@ -25,6 +25,13 @@ def _accent_tables() -> tuple[str, str, list[tuple[str, str]]]:
                 target.append(base)
             else:
                 several.append((c, base))
+    for code in (*range(0x370, 0xAC00), *range(0xF900, 0x30000)):  # other scripts: letters that are written as one letter and marks
+        c = chr(code)
+        parts = unicodedata.normalize("NFD", c)
+        base = "".join(x for x in parts if not unicodedata.category(x).startswith("M"))
+        if len(base) == 1 and base != parts and base != c:
+            source.append(c)
+            target.append(base)
     return "".join(source), "".join(target), several
 
 
@@ -37,7 +44,7 @@ def bound(value: Column, f) -> Column:
 
 
 def strip_accents(c: Column) -> Column:
-    """Letters without accents; composed Latin letters are mapped, combining marks removed."""
+    """Letters without accents; composed letters are mapped, combining marks removed."""
     out = F.regexp_replace(F.translate(c, _SOURCE, _TARGET), r"\p{M}+", "")
     several = out
     for one, letters in _SEVERAL:

@@ -303,6 +303,12 @@ def accents_stripped(spark, d):
     return docs.select("doc_id", X.strip_accents(F.col("text")).alias("plain"))
 
 
+@query()
+def accents_stripped_all(spark, d):
+    """Texts of every script without accents."""
+    return table(spark, d, "documents").where("text is not null").select("doc_id", X.strip_accents(F.col("text")).alias("plain"))
+
+
 _TOKS = V.TOKENS_SQL.format(c="person_name")
 
 
