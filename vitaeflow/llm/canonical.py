@@ -8,8 +8,9 @@ letters in order), if they translate each other, or up to one or two edits; a va
 mapped if its best entry covers the entry's tokens and leaves little of the value over.
 Anything else is reported as having no entry (-1).
 
-The reference list is held by every task, so its size is checked; a longer list goes
-through a join on tokens instead (:func:`map_by_join`).
+The reference list is held by every task, so its size is checked; a longer list is cut into
+shards that each value meets one by one (:func:`map_by_join`).  What a shard says of a value
+is kept as evidence, from which the same rules settle the value over all shards.
 """
 
 from __future__ import annotations
@@ -19,16 +20,19 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .strings import edits, plain
+from .strings import edits, letters, plain
 
 #: Entries up to which the reference list is sent to every task.
 MOST_ENTRIES = 50_000
 #: Distinct values a task remembers.
 REMEMBERED = 200_000
+#: Distinct values, and their bytes, that meet a shard of a long reference list in one task.
+BUCKET, BUCKET_BYTES = 20_000, 16_000_000
 #: Share of agreeing token weight from which a value counts as its best entry.
 ENOUGH = 0.72
 
@@ -80,54 +84,101 @@ def token_score(q: str, e: str) -> float:
     return 0.0
 
 
+class _Words:
+    """Words with their lengths, first letters and letter sets, to leave out most that cannot be meant."""
+
+    def __init__(self, words: list[str]):
+        self.words = words
+        self.size = np.array([len(w) for w in words], np.int64)
+        self.first = np.array([ord(w[0]) for w in words], np.int64)
+        self.bits = np.array([letters(w) for w in words], np.uint64)
+
+    def near(self, q: str, most: int) -> np.ndarray:
+        """Whether each word can be within so many edits."""
+        return (abs(self.size - len(q)) <= most) & (np.bitwise_count(self.bits ^ np.uint64(letters(q))) <= 2 * most)
+
+    def longer(self, q: str) -> np.ndarray:
+        """Whether each word can have this abbreviation."""
+        b = np.uint64(letters(q))
+        return (self.size > len(q)) & (self.first == ord(q[0])) & (self.bits & b == b)
+
+    def take(self, mask: np.ndarray) -> list[str]:
+        return [self.words[i] for i in np.flatnonzero(mask)]
+
+
+def _one(refs: set[int]) -> int:
+    return next(iter(refs)) if len(refs) == 1 else -1
+
+
+def mentioned(spans: list[tuple[int, int, bool, int]]) -> set[int]:
+    """Entries of the longest non-overlapping mentions ``(length, start, is alias, entry)``; of equal texts a name goes before an alias."""
+    places: dict[tuple[int, int], list[tuple[bool, int]]] = defaultdict(list)
+    for n, at, alias, ref in spans:
+        places[-n, at].append((alias, ref))
+    taken, out = [], set()
+    for (n, at), who in sorted(places.items()):
+        if all(at - n <= s or at >= e for s, e in taken):
+            taken.append((at, at - n))
+            out.update(ref for alias, ref in who if alias == min(who)[0])
+    return out
+
+
+def settle(parts: list[dict], enough: float = ENOUGH) -> int:
+    """The entry meant, or -1, from what every shard of the reference list says of a value (:meth:`Matcher.evidence`)."""
+    if short := {r for p in parts for r in p["short"]}:
+        return _one(short)
+    if refs := mentioned([tuple(s.values()) for p in parts for s in p["spans"]]):
+        return _one(refs)
+    scores = sorted(((s, p["ref"]) for p in parts for s in (p["best"], p["second"])), reverse=True)
+    if scores and scores[0][0] >= enough and scores[0][0] > scores[1][0] + 1e-9:
+        return scores[0][1]
+    least = min((p["k"] for p in parts if p["near"]), default=0)
+    return _one({r for p in parts if p["k"] == least for r in p["near"]})
+
+
 class Matcher:
     """Reference entries ``(id, name, aliases)``; ``find`` gives the id meant or -1."""
 
     def __init__(self, entries: list[tuple[int, str, tuple[str, ...]]], enough: float = ENOUGH):
         self.enough = enough
-        self.short: dict[str, int] = {}
+        self.short: dict[str, set[int]] = defaultdict(set)
         self.entry: dict[int, list[str]] = {}
         self.distinct: dict[int, set[str]] = {}
         self.by_token: dict[str, set[int]] = defaultdict(set)
-        self.by_start: dict[str, list[str]] = defaultdict(list)
         automaton = ahocorasick.Automaton()
-        names: dict[str, int | None] = {}
+        names: dict[str, set[int]] = defaultdict(set)
+        others: dict[str, set[int]] = defaultdict(set)
         for ref, name, aliases in entries:
             self.entry[ref] = tokens(name)
             self.distinct[ref] = set(self.entry[ref])
             for t in self.distinct[ref]:
                 self.by_token[t].add(ref)
-            names[flat(name)] = ref
+            names[flat(name)].add(ref)
             for a in aliases:
                 key = flat(a).replace(" ", "")
                 if " " in flat(a) and len(key) > 5:
-                    names.setdefault(flat(a), ref)
+                    others[flat(a)].add(ref)
                 elif key:
-                    self.short[key] = ref if self.short.get(key, ref) == ref else -1
-        for t in self.by_token:
-            self.by_start[t[0]].append(t)
-        for k, ref in names.items():
-            if k:
-                automaton.add_word(f" {k} ", (ref, len(k)))
-        self.automaton = automaton if names else None
+                    self.short[key].add(ref)
+        self.words = _Words(list(self.by_token))
+        self.squashed: dict[str, set[int]] = defaultdict(set)
+        for of, alias in ((others, True), (names, False)):
+            for k, refs in of.items():
+                if k:
+                    automaton.add_word(f" {k} ", (len(k), alias, sorted(refs)))
+                    self.squashed[k.replace(" ", "")] |= refs
+        self.automaton = automaton if self.squashed else None
         if self.automaton is not None:
             automaton.make_automaton()
-        self.squashed = {k.replace(" ", ""): ref for k, ref in names.items() if k}
+        self.whole = _Words(list(self.squashed))
         self.memo: dict[str, int] = {}
         self.alike: dict[str, dict[str, float]] = {}
 
-    def mentions(self, text: str) -> list[int]:
-        """Entries of the longest non-overlapping mentions in a flat text."""
-        spans = []
-        if self.automaton is not None:
-            for end, (ref, n) in self.automaton.iter(f" {text} "):
-                spans.append((-n, end - n - 1, ref))
-        taken, out = [], []
-        for n, at, ref in sorted(spans):
-            if all(at - n <= s or at >= e for s, e in taken):
-                taken.append((at, at - n))
-                out.append(ref)
-        return out
+    def spans(self, text: str) -> list[tuple[int, int, bool, int]]:
+        """Mentions in a flat text: length, start, whether by an alias, entry."""
+        if self.automaton is None:
+            return []
+        return [(n, end - n - 1, alias, ref) for end, (n, alias, refs) in self.automaton.iter(f" {text} ") for ref in refs]
 
     def _candidates(self, qs: list[str]) -> dict[str, dict[str, float]]:
         return {q: self._alike(q) for q in set(qs)}
@@ -137,7 +188,7 @@ class Matcher:
         hits = self.alike.get(q)
         if hits is None:
             hits = {}
-            for t in self.by_token if len(q) >= 4 else self.by_start.get(q[0], ()):
+            for t in self.words.take(self.words.near(q, 2) | self.words.longer(q)):
                 if s := token_score(q, t):
                     hits[t] = s
             if q in self.by_token:
@@ -149,11 +200,9 @@ class Matcher:
             self.alike[q] = hits
         return hits
 
-    def similar(self, value: str) -> tuple[int, float]:
-        """Best entry by token-set similarity and its score."""
+    def similar(self, value: str) -> tuple[int, float, float]:
+        """Best entry by token-set similarity, its score and the next one's."""
         qs = tokens(value)
-        if not qs or len(qs) > 14:
-            qs = qs[:0] if not qs else qs
         found = self._candidates(qs)
         # only an entry whose tokens are all met can be meant
         met: dict[int, set[str]] = defaultdict(set)
@@ -182,31 +231,43 @@ class Matcher:
                 second, best = best[0], (score, ref)
             elif score > second:
                 second = score
-        return (best[1], best[0]) if best[0] >= self.enough and best[0] > second + 1e-9 else (-1, best[0])
+        return best[1], best[0], second
 
-    def misspaced(self, text: str) -> int:
-        """The one entry that the value is but for one or two edits, blanks left out of both."""
+    def misspaced(self, text: str) -> tuple[int, set[int]]:
+        """Fewest edits, one or two at most, to a name with blanks left out of both, and the entries so near."""
         key = text.replace(" ", "")
         most = 1 if len(key) < 12 else 2
         best, refs = most + 1, set()
         if len(key) >= 6:
-            for name, ref in self.squashed.items():
-                if abs(len(name) - len(key)) <= most and (k := edits(key, name, min(most, best))) <= min(most, best):
-                    refs = {ref} if k < best else refs | {ref}
+            for name in self.whole.take(self.whole.near(key, most)):
+                if (k := edits(key, name, min(most, best))) <= min(most, best):
+                    refs = self.squashed[name] if k < best else refs | self.squashed[name]
                     best = k
-        return refs.pop() if len(refs) == 1 else -1
+        return best, refs
+
+    def evidence(self, value: str, all_of_it: bool = True) -> dict:
+        """What these entries say of a value; unless all of it, what cannot matter if there are no other entries is left out."""
+        text = flat(value)
+        key = text.replace(" ", "")
+        out = {"short": sorted(self.short.get(key, ())) if len(key) <= 6 else [], "spans": [], "best": 0.0, "second": 0.0, "ref": -1, "k": 0, "near": []}
+        if out["short"]:
+            return out
+        out["spans"] = [{"n": n, "at": at, "alias": alias, "ref": ref} for n, at, alias, ref in self.spans(text)]
+        if out["spans"]:
+            return out
+        ref, best, second = self.similar(value)
+        if best >= self.enough:
+            out |= {"ref": ref, "best": best, "second": second}
+        if all_of_it or best < self.enough or best <= second + 1e-9:
+            k, near = self.misspaced(text)
+            out |= {"k": k, "near": sorted(near)}
+        return out
 
     def find(self, value: str) -> int:
         got = self.memo.get(value)
         if got is not None:
             return got
-        text = flat(value)
-        got = self.short.get(text.replace(" ", ""), 0) if len(text.replace(" ", "")) <= 6 else 0
-        if not got:
-            refs = set(self.mentions(text))
-            got = refs.pop() if len(refs) == 1 else -1 if refs else self.similar(value)[0]
-            if got < 0 and not refs:
-                got = self.misspaced(text)
+        got = settle([self.evidence(value, all_of_it=False)], self.enough)
         if len(self.memo) >= REMEMBERED:
             self.memo.clear()
         if len(value) <= 256:
@@ -241,7 +302,7 @@ def map_values(values: DataFrame, references: dict[str, DataFrame]) -> DataFrame
         if len(rows) > MOST_ENTRIES:
             parts.append(map_by_join(values.where(F.col("field") == f), ref))
         else:
-            held[f] = [(r[0], r[1], tuple(a for a in r[2] if a)) for r in rows if r[1]]
+            held[f] = [(r[0], r[1], tuple(a for a in r[2] or () if a)) for r in rows if r[1]]
     if held:
         here = values.where(F.col("field").isin(*held))
         parts.append(here.mapInArrow(_mapper(lambda: {f: Matcher(e) for f, e in held.items()}), "record_id long, field string, value string, ref_id long"))
@@ -251,33 +312,40 @@ def map_values(values: DataFrame, references: dict[str, DataFrame]) -> DataFrame
     return out
 
 
-def _score_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_EVIDENCE = "value string, short array<long>, spans array<struct<n: int, at: int, alias: boolean, ref: long>>, best double, second double, ref long, k int, near array<long>"
+
+
+def _shard_evidence(values: pa.Table, entries: pa.Table) -> pa.Table:
+    """Evidence of one shard on one bucket of values; values of which it says nothing fall away."""
+    span = pa.struct([("n", pa.int32()), ("at", pa.int32()), ("alias", pa.bool_()), ("ref", pa.int64())])
+    kinds = pa.schema([("value", pa.string()), ("short", pa.list_(pa.int64())), ("spans", pa.list_(span)), ("best", pa.float64()), ("second", pa.float64()), ("ref", pa.int64()), ("k", pa.int32()), ("near", pa.list_(pa.int64()))])
+    out = []
+    if values.num_rows and entries.num_rows:
+        m = Matcher([(ref, name, tuple(a for a in aliases or () if a)) for ref, name, aliases in zip(*(entries[c].to_pylist() for c in ("ref_id", "name", "aliases")))])
+        for v in values["value"].to_pylist():
+            e = m.evidence(v)
+            if e["short"] or e["spans"] or e["best"] or e["near"]:
+                out.append({"value": v} | e)
+    return pa.Table.from_pylist(out, kinds)
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = []
-        for value, ref, name, aliases in zip(*(c.to_pylist() for c in b.columns)):
-            m = Matcher([(ref, name, tuple(a for a in aliases or () if a))])
-            text = flat(value)
-            key = text.replace(" ", "")
-            if m.short.get(key) == ref and len(key) <= 6:
-                s = 3.0
-            elif m.mentions(text):
-                s = 2.0 + len(name) / 1000
-            else:
-                s = m.similar(value)[1]
-                s = s if s >= ENOUGH else 0.0
-            out.append(s)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], names=["value", "ref_id", "s"])
-
-
-def map_by_join(values: DataFrame, ref: DataFrame) -> DataFrame:
-    """The same mapping for a reference list of any length: distinct values meet entries on a
-    common token start, are scored where they meet, and the best is joined back by value."""
-    toks = lambda c: F.filter(F.split(F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " ")), " "), lambda t: ~t.isin(*STOP) & (t != ""))
-    starts = lambda c: F.array_distinct(F.transform(toks(c), lambda t: F.substring(t, 1, 3)))
-    distinct = values.select("value").distinct()
-    entries = ref.toDF("ref_id", "name", "aliases").where("name is not null")
-    keys = entries.withColumn("k", F.explode(F.array_distinct(F.concat(starts(F.col("name")), F.transform("aliases", lambda a: F.substring(F.lower(F.regexp_replace(a, r"[^\p{L}\p{N}]+", "")), 1, 3))))))
-    met = distinct.withColumn("k", F.explode(F.array_union(starts(F.col("value")), F.array(F.substring(F.lower(F.regexp_replace("value", r"[^\p{L}\p{N}]+", "")), 1, 3))))).join(keys, "k")
-    scored = met.select("value", "ref_id", "name", "aliases").distinct().mapInArrow(_score_candidates, "value string, ref_id long, s double").where("s > 0")
-    top = scored.groupBy("value").agg(F.max(F.struct("s", F.negative("ref_id").alias("r"))).alias("m"))
-    return values.join(top, "value", "left").select("record_id", "field", "value", F.coalesce(-F.col("m.r"), F.lit(-1).cast("long")).alias("ref_id"))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([settle(p) for p in b.column(1).to_pylist()], pa.int64())], names=["value", "meant"])
+
+
+def map_by_join(values: DataFrame, ref: DataFrame, most: int = MOST_ENTRIES) -> DataFrame:
+    """The same mapping for a reference list of any length: every distinct value meets every
+    shard of about ``most`` entries, and the evidence of all shards settles it."""
+    entries = ref.toDF("ref_id", "name", "aliases").where("name <> ''")
+    distinct = values.select("value").where("value is not null").distinct()
+    n, size = distinct.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("value")), F.lit(0))).first()
+    shards, buckets = max(1, -(-entries.count() // most)), 1 + max(n // BUCKET, size // BUCKET_BYTES)
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    part = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    left = distinct.withColumn("bucket", part("value", buckets)).withColumn("shard", each(shards))
+    right = entries.withColumn("shard", part("ref_id", shards)).withColumn("bucket", each(buckets))
+    said = left.groupBy("bucket", "shard").cogroup(right.groupBy("bucket", "shard")).applyInArrow(_shard_evidence, _EVIDENCE)
+    gathered = said.groupBy("value").agg(F.collect_list(F.struct(*[c for c in said.columns if c != "value"])).alias("parts"))
+    settled = gathered.mapInArrow(_settled, "value string, meant long")
+    return values.join(settled, "value", "left").select("record_id", "field", "value", F.coalesce("meant", F.lit(-1).cast("long")).alias("ref_id"))
