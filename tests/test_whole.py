@@ -48,3 +48,11 @@ def test_accents_of_every_script_go(spark, tmp_path):
     want = ["Cafe nino", "Cafe", "東京 Mexico", "Киев, иод и и", "α α", "Viet Nam", "ok \u2713 \U0001f5f3", "\ufeffa\u200b", "한글", ""]
     d = folder(spark, tmp_path, documents=(list(enumerate(texts)), "doc_id long, text string"))
     assert result(spark, d, "accents_stripped_all") == list(enumerate(want))
+
+
+def test_torn_name_after_many_rows_is_rebuilt(spark, tmp_path):
+    rows = [(i, f"Perez, Juan {'abcdefghij'[i % 10]}", "who, 1984. Lopez,") for i in range(4_998, 5_003)]
+    rows[2] = (5_000, "Manuel", None)
+    d = folder(spark, tmp_path, biographies=(rows, "bio_row long, name string, sources string"))
+    got = {r[0]: r[1:] for r in result(spark, d, "names_rebuilt")}
+    assert len(got) == 5 and got[5_000] == (True, "Lopez, Manuel") and not got[4_999][0]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from .relops import split_entries
+from .relops import numbered, split_entries
 
 # Letters that mark the fields of a biography.
 FIELDS = {
@@ -51,12 +51,17 @@ def rebuilt_names(df: DataFrame, order: str, name: str = "name", before: str = "
     """Names that were torn from their start, put together with the end of the previous row's field.
 
     The part after the last digit of the previous row's ``before`` is the start of the name.
-    Rows are taken in order within ``partition`` (one biography file)."""
-    w = Window.partitionBy(partition).orderBy(order) if partition else Window.partitionBy(F.lit(0)).orderBy(order)
-    head = F.trim(F.regexp_replace(F.lag(before).over(w), r"^.*\d[.,;]?", ""))
+    Rows are taken in order within ``partition`` (one biography file), or else over the whole table."""
+    columns = df.columns
+    if partition:
+        df = df.withColumn("_prior", F.lag(before).over(Window.partitionBy(partition).orderBy(order)))
+    else:
+        n = numbered(df, [order], "_k")
+        df = n.join(n.select((F.col("_k") + 1).alias("_k"), F.col(before).alias("_prior")), "_k", "left")
+    head = F.trim(F.regexp_replace("_prior", r"^.*\d[.,;]?", ""))
     bad = X.corrupt_name(F.col(name))
     fixed = F.when(bad & (F.coalesce(head, F.lit("")) != "") & head.contains(","), F.trim(F.concat_ws(" ", head, F.col(name)))).otherwise(F.col(name))
-    return df.withColumn("was_corrupt", bad).withColumn("rebuilt", X.death_note(X.missing_comma(fixed)))
+    return df.select(*columns, bad.alias("was_corrupt"), X.death_note(X.missing_comma(fixed)).alias("rebuilt"))
 
 
 def entries_to_records(bio: DataFrame, keys: Sequence[str], fields: Sequence[str] = ENTRY_FIELDS) -> DataFrame:

@@ -731,8 +731,8 @@ def degenerate_dropped(spark, d):
 @query()
 def names_rebuilt(spark, d):
     """Torn names rebuilt from the row before, missing commas and death notes put in."""
-    b = table(spark, d, "biographies").select("bio_row", "name", "sources", F.floor(F.col("bio_row") / 5000).alias("volume"))
-    return parse.rebuilt_names(b, "bio_row", partition="volume").select("bio_row", "was_corrupt", "rebuilt")
+    b = table(spark, d, "biographies").select("bio_row", "name", "sources")
+    return parse.rebuilt_names(b, "bio_row").select("bio_row", "was_corrupt", "rebuilt")
 
 
 @query(f"WITH {V.PP} SELECT record_id, CASE WHEN lower(title) = '' THEN NULL ELSE title END AS title FROM (SELECT record_id, nullif(trim(position_title), '') AS title FROM pp)")
