@@ -56,3 +56,9 @@ def test_torn_name_after_many_rows_is_rebuilt(spark, tmp_path):
     d = folder(spark, tmp_path, biographies=(rows, "bio_row long, name string, sources string"))
     got = {r[0]: r[1:] for r in result(spark, d, "names_rebuilt")}
     assert len(got) == 5 and got[5_000] == (True, "Lopez, Manuel") and not got[4_999][0]
+
+
+def test_units_and_commanders_come_out(spark, tmp_path):
+    rows = [(1, "captain, 4th Battalion, under General Juan Perez, 1914", None), (2, "major", "fought under Col. Ana Maria Ruiz; 11 Regiment"), (3, None, "12 Regiment")]
+    d = folder(spark, tmp_path, biographies=(rows, "bio_row long, field_j string, govt_positions string"))
+    assert result(spark, d, "multi_match_explode") == [(1, "4 Battalion"), (1, "under Gen. Juan Perez"), (2, "11 Regiment"), (2, "under Gen. Ana Maria Ruiz")]

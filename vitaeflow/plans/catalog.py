@@ -591,9 +591,9 @@ def relation_mentions(spark, d):
 @query(r"""WITH x AS (SELECT bio_row, unnest(list_distinct(list_transform(regexp_extract_all(field_j || ' ' || coalesce(govt_positions, ''), '(?i)\b(\d{1,3}(?:st|nd|rd|th)?\s+(?:Battalion|Regiment|Division|Brigade|Cavalry|Infantry|Corps|Military Zone))\b', 1), lambda m: regexp_replace(m, '(?i)(\d+)(st|nd|rd|th)?\s+', '\1 ')))) AS f FROM biographies WHERE field_j IS NOT NULL)
 SELECT bio_row, f AS focus FROM x""")
 def multi_match_explode(spark, d):
-    """Military units named in a biography, one row each."""
+    """Military units and commanders named in a biography, one row each; the SQL knows units only."""
     t = F.concat_ws(" ", "field_j", F.coalesce("govt_positions", F.lit("")))
-    return table(spark, d, "biographies").where("field_j is not null").select("bio_row", F.explode(parse.units_and_commanders(t)).alias("focus")).where(~F.col("focus").startswith("under "))
+    return table(spark, d, "biographies").where("field_j is not null").select("bio_row", F.explode(parse.units_and_commanders(t)).alias("focus"))
 
 
 _VARIANTS = ", ".join("('" + k.lower().replace(".", "\\.") + f"', '{v}')" for k, v in rules.STATE_VARIANTS)
