@@ -4,10 +4,10 @@
    nothing beyond.
 2. Near-copies: min-hash signatures over character 3-grams are kept for every prefix of a
    value and banded; a value probes with its own signature and meets values whose prefix
-   of that length is alike.  Per band only the most frequent continuation and the total
-   weight come out (no pairs within a band); the value is aligned with it, and if the
-   alignment ends while the other goes on, the value is the cut copy, unless it stands on
-   its own too often for that.
+   of that length is alike.  Longer values that are equal up to two characters beyond that
+   length align alike, so they come out as one, with their total weight (no pairs within
+   them); the value is aligned with each.  Those that go on where the alignment ends are its
+   continuations, and the value is their cut copy, unless it stands on its own too often.
 3. Values without such a copy are scored by their closing word: how often the word closes
    uncut values, whether it is only the start of known words, whether a bracket or a
    clause is left open.
@@ -33,6 +33,8 @@ PILE, BEYOND = 0.08, 0.15
 DENSE = 256
 #: Shortest prefix that is compared.
 SHORTEST = 6
+#: Shortest value that may differ from its copy, by one edit for so many characters.
+FUZZY = 16
 _SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
@@ -65,10 +67,41 @@ def prefix_keys(text: str, lengths: np.ndarray | None = None) -> np.ndarray:
         k *= np.uint64(0x94D049BB133111EB)
         out.append(k.view(np.int64))
     keys = np.stack(out, 1)
+    short = slice(0, max(0, FUZZY - SHORTEST))  # too short for a misread letter: the text itself
+    keys[short] = _hashes(c)[SHORTEST - 1 :][short, None]
     if len(c) <= DENSE or lengths is None:
         return keys
-    at = np.arange(SHORTEST, len(c) + 1)
-    return keys[(at <= DENSE) | np.isin(at, lengths) | (at == len(c))]
+    return keys[_kept(len(c), lengths)]
+
+
+def _kept(n: int, lengths: np.ndarray) -> np.ndarray:
+    """Which prefixes of a text of ``n`` characters have keys."""
+    at = np.arange(SHORTEST, n + 1)
+    return (at <= DENSE) | np.isin(at, lengths) | (at == n)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x + np.uint64(1)) * np.uint64(_SEEDS[0])
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def _hashes(c: np.ndarray) -> np.ndarray:
+    """A hash of the text up to each of its characters."""
+    place = np.arange(1, len(c) + 1).astype(np.uint64)
+    sums = np.cumsum(_mixed(c) * (_mixed(place + np.uint64(1 << 32)) | np.uint64(1)), dtype=np.uint64)
+    return _mixed(sums ^ (place << np.uint64(40))).view(np.int64)
+
+
+def prefix_marks(text: str, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each prefix that has keys a mark of the text up to two characters beyond it, and its set of letters."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(c) < SHORTEST:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    kept = _kept(len(c), lengths)
+    ends = np.minimum(np.arange(SHORTEST, len(c) + 1) + 2, len(c))
+    letters = np.bitwise_or.accumulate(np.uint64(1) << (c & np.uint64(63)))[SHORTEST - 1 :]
+    return _hashes(c)[ends - 1][kept], letters.view(np.int64)[kept]
 
 
 def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,9 +122,10 @@ def _probes(lengths: np.ndarray):
 
 def _keyed(batches: Iterator[pa.RecordBatch], lengths: np.ndarray, part: slice) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        tabs, keys, ids, ns = [], [], [], []
+        tabs, keys, ids, ns, marks, letters, sizes = [], [], [], [], [], [], []
         for tab, value, vid, n in zip(*(c.to_pylist() for c in b.columns)):
-            k = prefix_keys(normal(value), lengths)[part]
+            text = normal(value)
+            k = prefix_keys(text, lengths)[part]
             if not len(k):
                 continue
             m = k.size
@@ -99,8 +133,12 @@ def _keyed(batches: Iterator[pa.RecordBatch], lengths: np.ndarray, part: slice)
             keys.append(k.reshape(-1))
             ids.append(np.full(m, vid, np.int64))
             ns.append(np.full(m, n, np.int64))
+            mark, letter = prefix_marks(text, lengths)
+            marks.append(np.repeat(mark[part], 2))
+            letters.append(np.repeat(letter[part], 2))
+            sizes.append(np.full(m, len(text), np.int64))
         if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(tabs, pa.string()), *(pa.array(np.concatenate(x)) for x in (keys, ids, ns))], names=["tab", "key", "vid", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(tabs, pa.string()), *(pa.array(np.concatenate(x)) for x in (keys, ids, ns, marks, letters, sizes))], names=["tab", "key", "vid", "n", "mark", "letters", "size"])
 
 
 def _closing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,19 +174,19 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How the alignment of a value with a longer one ends: ``inside`` a word, at a ``border``, or not at all."""
     for b in batches:
         out = []
-        for value, longer in zip(*(c.to_pylist() for c in b.columns[2:4])):
+        for value, longer in zip(*(b.column(c).to_pylist() for c in ("value", "longer_value"))):
             v, u = normal(value), normal(longer)
             kind = None
             if len(u) > len(v):
-                most = len(v) // 16
+                most = len(v) // FUZZY
                 if u.startswith(v):
                     at = len(v)
                 else:
-                    at = next((k for k in (len(v), len(v) + 1, len(v) - 1) if most and k < len(u) and u[k - 1] == v[-1] and edits(v, u[:k], most) <= most), 0)
+                    at = next((k for k in (len(v), len(v) + 1, len(v) - 1) if most and k < len(u) and (u[k - 1] == v[-1] or u[k - 2 : k] == v[:-3:-1]) and edits(v, u[:k], most) <= most), 0)
                 if at and at < len(u):
                     kind = "inside" if u[at].isalnum() and v[-1].isalnum() else "border"
             out.append(kind)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), b.column(4)], names=["tab", "vid", "kind", "weight"])
+        yield pa.RecordBatch.from_arrays([b.column("tab"), b.column("vid"), b.column("longer"), b.column("n"), b.column("weight"), pa.array(out, pa.string())], names=["tab", "vid", "longer", "n", "weight", "kind"])
 
 
 def field_limits(records: DataFrame) -> DataFrame:
@@ -181,14 +219,18 @@ def cut_records(records: DataFrame, lexicon: DataFrame | None = None) -> DataFra
     style = words.select("tab", "word", "comma", F.col("inner").alias("s_inner"), F.col("close").alias("s_close"))
     long_values = values.where(F.length("value") > DENSE).select("value")
     lengths = np.array([r[0] for r in long_values.mapInArrow(_lengths, "n long").distinct().collect()], np.int64)
-    kinds = "tab string, key long, vid long, n long"
+    kinds = "tab string, key long, vid long, n long, mark long, letters long, size long"
     keyed = values.select("tab", "value", "vid", "n")
-    probes = keyed.mapInArrow(_probes(lengths), kinds).select("tab", "key", F.col("vid").alias("pid"))
-    bands = keyed.mapInArrow(_targets(lengths), kinds).groupBy("tab", "key").agg(F.sum("n").alias("weight"), F.max_by("vid", F.struct("n", "vid")).alias("longer"))
-    met = probes.join(bands, ["tab", "key"]).groupBy("tab", F.col("pid").alias("vid")).agg(F.max(F.struct("weight", "longer")).alias("m")).select("tab", "vid", "m.weight", "m.longer")
+    probes = keyed.mapInArrow(_probes(lengths), kinds).select("tab", "key", F.col("vid").alias("pid"), "size", F.col("letters").alias("own"))
+    targets = keyed.mapInArrow(_targets(lengths), kinds).join(probes.select("tab", "key").distinct(), ["tab", "key"], "left_semi")
+    bands = targets.groupBy("tab", "key", "mark").agg(F.sum("n").alias("weight"), F.max(F.struct("n", "vid")).alias("most"), F.min("letters").alias("letters"))
+    # one edit changes at most two letters of the set, and the copy may end one letter off
+    near = F.bit_count(F.col("own").bitwiseXOR(F.col("letters"))) <= 2 * F.floor(F.col("size") / FUZZY) + 1
+    met = bands.join(probes, ["tab", "key"]).where(near).select("tab", F.col("pid").alias("vid"), "mark", F.col("most.vid").alias("longer"), F.col("most.n").alias("n"), "weight").distinct()
     texts = values.select("vid", "value")
-    pairs = met.join(texts, "vid").join(texts.select(F.col("vid").alias("longer"), F.col("value").alias("longer_value")), "longer").select("tab", "vid", "value", "longer_value", "weight")
-    aligned = pairs.mapInArrow(_align, "tab string, vid long, kind string, weight long").where("kind is not null")
+    pairs = met.join(texts, "vid").join(texts.select(F.col("vid").alias("longer"), F.col("value").alias("longer_value")), "longer")
+    found = pairs.mapInArrow(_align, "tab string, vid long, longer long, n long, weight long, kind string").where("kind is not null")
+    aligned = found.groupBy("tab", "vid").agg(F.sum("weight").alias("weight"), F.max_by("kind", F.struct("n", "longer")).alias("kind"))
     last = values.select("tab", "value", "vid").mapInArrow(_last, "tab string, vid long, word string, comma boolean, mark string, stop boolean")
     f = (
         values.select("tab", "vid", "n", "n_free").join(last, ["tab", "vid"]).join(aligned, ["tab", "vid"], "left")
