@@ -40,7 +40,9 @@ def _cut(spark: SparkSession, d: str) -> DataFrame:
     bio, edu = table(spark, d, "biographies"), table(spark, d, "education")
     named = bio.select(F.lit("biographies").alias("tab"), F.col("bio_row").alias("rid"), F.col("name").alias("value"), F.col("intake").alias("source"))
     schools = edu.select(F.lit("education").alias("tab"), F.col("record_id").alias("rid"), F.col("organization").alias("value"), F.col("intake").alias("source"))
-    return cut_records(named.unionByName(schools).distinct())
+    people = table(spark, d, "parsed_positions").select(F.lit("biographies").alias("tab"), F.col("person_name").alias("value"))
+    listed = table(spark, d, "ref_organizations").select(F.lit("education").alias("tab"), F.col("org_name").alias("value"))
+    return cut_records(named.unionByName(schools).distinct(), people.unionByName(listed))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,16 +1,19 @@
 """Values that were cut at a field limit or mid-transfer.
 
-1. Field limits: per table and source, the length at which values pile up with next to
-   nothing beyond.
-2. Near-copies: min-hash signatures over character 3-grams are kept for every prefix of a
-   value and banded; a value probes with its own signature and meets values whose prefix
-   of that length is alike.  Longer values that are equal up to two characters beyond that
-   length align alike, so they come out as one, with their total weight (no pairs within
-   them); the value is aligned with each.  Those that go on where the alignment ends are its
-   continuations, and the value is their cut copy, unless it stands on its own too often.
-3. Values without such a copy are scored by their closing word: how often the word closes
-   uncut values, whether it is only the start of known words, whether a bracket or a
-   clause is left open.
+1. Near-copies: the prefixes of every value are kept under banded min-hash keys over
+   character 3-grams (each band is the smallest hash of the prefix, with one of the two
+   stretches of letters before its end, so that prefixes that end alike meet); a value probes
+   with its own keys and meets values whose prefix is alike.  Longer values that are equal
+   up to two characters beyond come out of a band as one, with their total weight.  The
+   value is aligned with every one of them, none is left out; where the alignment ends early,
+   inside a word or at its border, the longer value is a continuation and the value its copy.
+2. Copies that end inside a word tell how often each source cuts, and at which lengths.  A
+   value that sources which hardly cut give often enough beside its continuations is whole.
+3. Copies are judged by their alignment: cut inside a word, or at a border where the value
+   next to never stands alone.  Only values without a copy, or whose alignment ends at a
+   border, are scored by their closing word: how often it closes values, whether it is only
+   the start of known words, whether a bracket or a clause is left open; an unknown closing
+   word counts where the copies of the source at this length are mostly cut.
 """
 
 from __future__ import annotations
@@ -22,20 +25,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..session import cut_lineage
+from ..session import cut_lineage, parallelism
 from .strings import edits, plain
 
-#: A limit holds at least this share of a source's values, and at most this share of that lies beyond it.
-PILE, BEYOND = 0.08, 0.15
-#: Characters up to which every prefix gets its keys; beyond, those as long as some value.
+#: Characters up to which every prefix gets its keys; beyond, those about as long as some value.
 DENSE = 256
 #: Shortest prefix that is compared.
 SHORTEST = 6
 #: Shortest value that may differ from its copy, by one edit for so many characters.
 FUZZY = 16
-_SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+#: Letters of each of the two stretches before the end of a prefix.
+STRETCH = 6
+#: Share of cut records from which a source counts as one that cuts.
+CUTS = 0.05
+_SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def normal(value: str) -> str:
@@ -44,114 +48,123 @@ def normal(value: str) -> str:
     return re.sub(r"\s+", " ", plain(joined)).strip()
 
 
-def prefix_keys(text: str, lengths: np.ndarray | None = None) -> np.ndarray:
-    """Band keys (two per prefix length) of the prefixes of ``SHORTEST`` characters and more.
-
-    Above :data:`DENSE` characters only the given lengths count, those that some value has."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    if len(c) < SHORTEST:
-        return np.empty((0, 2), np.int64)
-    g = (c[:-2] << np.uint64(42)) ^ (c[1:-1] << np.uint64(21)) ^ c[2:]
-    mins = []
-    for s in _SEEDS:
-        h = (g + np.uint64(1)) * np.uint64(s)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-        mins.append(np.minimum.accumulate(h)[SHORTEST - 3 :])
-    length = np.arange(SHORTEST, len(c) + 1).astype(np.uint64)
-    out = []
-    for j in (0, 2):
-        k = (mins[j] * np.uint64(0x100000001B3)) ^ mins[j + 1] ^ (length * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(j)
-        k ^= k >> np.uint64(31)
-        k *= np.uint64(0x94D049BB133111EB)
-        out.append(k.view(np.int64))
-    keys = np.stack(out, 1)
-    short = slice(0, max(0, FUZZY - SHORTEST))  # too short for a misread letter: the text itself
-    keys[short] = _hashes(c)[SHORTEST - 1 :][short, None]
-    if len(c) <= DENSE or lengths is None:
-        return keys
-    return keys[_kept(len(c), lengths)]
-
-
-def _kept(n: int, lengths: np.ndarray) -> np.ndarray:
-    """Which prefixes of a text of ``n`` characters have keys."""
-    at = np.arange(SHORTEST, n + 1)
-    return (at <= DENSE) | np.isin(at, lengths) | (at == n)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x + np.uint64(1)) * np.uint64(_SEEDS[0])
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
+def open_text(value: str) -> str:
+    """The text that is compared: normal, and brackets dissolved, which copies set or leave out."""
+    return re.sub(r"\s+", " ", re.sub(r"[()\[\]]", " ", normal(value))).strip()
 
 
-def _hashes(c: np.ndarray) -> np.ndarray:
-    """A hash of the text up to each of its characters."""
-    place = np.arange(1, len(c) + 1).astype(np.uint64)
-    sums = np.cumsum(_mixed(c) * (_mixed(place + np.uint64(1 << 32)) | np.uint64(1)), dtype=np.uint64)
-    return _mixed(sums ^ (place << np.uint64(40))).view(np.int64)
+def _mixed(x: np.ndarray, seed: int = _SEEDS[0]) -> np.ndarray:
+    x = (x + np.uint64(1)) * np.uint64(seed)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
 
 
-def prefix_marks(text: str, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each prefix that has keys a mark of the text up to two characters beyond it, and its set of letters."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    if len(c) < SHORTEST:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    kept = _kept(len(c), lengths)
-    ends = np.minimum(np.arange(SHORTEST, len(c) + 1) + 2, len(c))
-    letters = np.bitwise_or.accumulate(np.uint64(1) << (c & np.uint64(63)))[SHORTEST - 1 :]
-    return _hashes(c)[ends - 1][kept], letters.view(np.int64)[kept]
+def prefix_table(texts: list[str], lengths: np.ndarray | None = None, own: bool = False) -> tuple[np.ndarray, ...]:
+    """``row, size, key, mark, letters`` of the prefixes of texts, two rows (bands) each.
+
+    ``own`` takes each text itself instead of its proper prefixes.  ``mark`` stands for the
+    text up to two characters beyond the prefix, ``letters`` for its set of letters.  Above
+    :data:`DENSE` characters only the given lengths count, and those one more or less."""
+    out: list[list[np.ndarray]] = []
+    order = sorted((i for i, t in enumerate(texts) if len(t) >= SHORTEST), key=lambda i: len(texts[i]))
+    at = 0
+    while at < len(order):
+        width = len(texts[order[at]])
+        end = at
+        while end < len(order) and (end - at < 1 or (end - at + 1) * len(texts[order[end]]) <= 400_000) and len(texts[order[end]]) <= 2 * width:
+            end += 1
+        out.append(_block([texts[i] for i in order[at:end]], np.asarray(order[at:end]), lengths, own))
+        at = end
+    kinds = (np.int64,) * 5
+    return tuple(np.concatenate([o[k] for o in out]) if out else np.empty(0, kinds[k]) for k in range(5))
+
+
+def _block(texts: list[str], rows: np.ndarray, lengths: np.ndarray | None, own: bool) -> list[np.ndarray]:
+    n = np.array([len(t) for t in texts], np.int64)
+    width = int(n.max())
+    c = np.zeros((len(texts), width + 2), np.uint64)
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    c[:, :width][np.arange(width)[None, :] < n[:, None]] = flat
+    place = _mixed(np.arange(1, width + 3).astype(np.uint64) + np.uint64(1 << 32)) | np.uint64(1)
+    inside = np.arange(width + 2)[None, :] < n[:, None]
+    sums = np.cumsum(np.where(inside, _mixed(c) * place, np.uint64(0)), axis=1, dtype=np.uint64)  # text so far
+    whole = _mixed(sums ^ (np.arange(1, width + 3).astype(np.uint64) << np.uint64(40)))
+    letters = np.bitwise_or.accumulate(np.where(inside, np.uint64(1) << (c & np.uint64(63)), np.uint64(0)), axis=1)
+    g = (c[:, :-2] << np.uint64(42)) ^ (c[:, 1:-1] << np.uint64(21)) ^ c[:, 2:]
+    size = np.arange(SHORTEST, width + 1)
+    keep = (size[None, :] == n[:, None]) if own else (size[None, :] < n[:, None])
+    if not own and lengths is not None and width > DENSE:
+        near = np.unique(np.concatenate((lengths - 1, lengths, lengths + 1)))
+        keep &= (size <= DENSE) | np.isin(size, near)
+    r, s = np.nonzero(keep)
+    s = size[s]
+    exact = s < FUZZY  # too short for a misread letter: the text itself
+    roll = np.zeros((len(texts), width + 3), np.uint64)  # polynomial sums, for stretches of letters
+    base = np.uint64(0x100000001B3)
+    stretch = np.zeros((len(texts), width), np.uint64)
+    for k in range(STRETCH):  # stretch[:, i]: letters i .. i + STRETCH - 1
+        stretch[:, : width - k] = stretch[:, : width - k] * base + c[:, k:width] + np.uint64(7)
+    del roll
+    keys = []
+    for j, seed in enumerate(_SEEDS):
+        least = np.minimum.accumulate(_mixed(g, seed), axis=1)[r, s - 3]
+        tail = stretch[r, np.maximum(s - STRETCH * (j + 1), 0)]
+        key = _mixed(least ^ _mixed(tail ^ np.uint64(j + 1)))
+        keys.append(np.where(exact, whole[r, s - 1], key).view(np.int64))
+    last = np.minimum(s + 2, n[r]) - 1
+    mark, letter = whole[r, last].view(np.int64), letters[r, s - 1].view(np.int64)
+    both = [np.repeat(rows[r], 2), np.repeat(s, 2), np.stack(keys, 1).reshape(-1), np.repeat(mark, 2), np.repeat(letter, 2)]
+    first = np.ones(len(both[0]), bool)
+    first[1::2] = ~exact  # one band is enough for an exact prefix
+    return [x[first] for x in both]
 
 
 def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        n = {len(normal(v)) for v in b.column(0).to_pylist() if len(v) > DENSE}
+        n = {len(open_text(v)) for v in b.column(0).to_pylist() if len(v) > DENSE}
         yield pa.RecordBatch.from_arrays([pa.array(sorted(n), pa.int64())], names=["n"])
 
 
-def _targets(lengths: np.ndarray):
-    """Keys of the proper prefixes of every value."""
-    return lambda batches: _keyed(batches, lengths, slice(None, -1))
+_KEYED = "tab string, key long, mark long, vid long, n long, letters long, size int"
 
 
-def _probes(lengths: np.ndarray):
-    """Keys of every value itself."""
-    return lambda batches: _keyed(batches, lengths, slice(-1, None))
+def _keyed(lengths: np.ndarray, own: bool):
+    """Keys of every value itself, or of its proper prefixes: one row for equal texts of a batch, with their weight."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tabs, values, vids, ns = (b.column(c).to_pylist() for c in ("tab", "value", "vid", "n"))
+            names = sorted(set(tabs), key=str)
+            code = np.array([names.index(t) for t in tabs], np.int64)
+            vid, n = np.asarray(vids, np.int64), np.asarray(ns, np.int64)
+            row, size, key, mark, letters = prefix_table([open_text(v) for v in values], lengths, own)
+            if not own and len(row):
+                order = np.lexsort((-n[row], mark, key, code[row]))
+                row, size, key, mark, letters = (x[order] for x in (row, size, key, mark, letters))
+                new = np.concatenate(([True], (key[1:] != key[:-1]) | (mark[1:] != mark[:-1]) | (code[row][1:] != code[row][:-1])))
+                starts = np.flatnonzero(new)
+                weight = np.add.reduceat(n[row], starts)
+                row, size, key, mark, letters = (x[starts] for x in (row, size, key, mark, letters))
+            else:
+                weight = n[row]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([names[i] for i in code[row]], pa.string()), pa.array(key), pa.array(mark), pa.array(vid[row]), pa.array(weight), pa.array(letters), pa.array(size.astype(np.int32))],
+                names=["tab", "key", "mark", "vid", "n", "letters", "size"])
 
-def _keyed(batches: Iterator[pa.RecordBatch], lengths: np.ndarray, part: slice) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        tabs, keys, ids, ns, marks, letters, sizes = [], [], [], [], [], [], []
-        for tab, value, vid, n in zip(*(c.to_pylist() for c in b.columns)):
-            text = normal(value)
-            k = prefix_keys(text, lengths)[part]
-            if not len(k):
-                continue
-            m = k.size
-            tabs.extend([tab] * m)
-            keys.append(k.reshape(-1))
-            ids.append(np.full(m, vid, np.int64))
-            ns.append(np.full(m, n, np.int64))
-            mark, letter = prefix_marks(text, lengths)
-            marks.append(np.repeat(mark[part], 2))
-            letters.append(np.repeat(letter[part], 2))
-            sizes.append(np.full(m, len(text), np.int64))
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(tabs, pa.string()), *(pa.array(np.concatenate(x)) for x in (keys, ids, ns, marks, letters, sizes))], names=["tab", "key", "vid", "n", "mark", "letters", "size"])
+    return run
 
 
 def _closing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each value its words with their role: inner or closing."""
     for b in batches:
         out = []
-        for tab, value, n, n_free in zip(*(c.to_pylist() for c in b.columns)):
+        for tab, value, n, whole in zip(*(c.to_pylist() for c in b.columns)):
             t = normal(value)
             ws = re.findall(r"[^\W\d_]+|\d+", t)
             comma = "," in t
             for i, w in enumerate(ws):
                 w = "#" if w.isdigit() else w
-                out.append((tab, w, comma, n, 0) if i < len(ws) - 1 else (tab, w, comma, 0, n_free))
+                out.append((tab, w, comma, n, 0) if i < len(ws) - 1 else (tab, w, comma, 0, whole))
         cols = list(zip(*out)) if out else [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64()))], names=["tab", "word", "comma", "inner", "close"])
 
@@ -159,7 +172,7 @@ def _closing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
-        for tab, value, vid in zip(*(c.to_pylist() for c in b.columns)):
+        for tab, value, vid in zip(*(b.column(c).to_pylist() for c in ("tab", "value", "vid"))):
             t = normal(value)
             ws = re.findall(r"[^\W\d_]+|\d+", t)
             w = ws[-1] if ws else ""
@@ -170,84 +183,114 @@ def _last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.bool_()))], names=["tab", "vid", "word", "comma", "mark", "stop"])
 
 
-def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def aligned_end(value: str, longer: str) -> str | None:
     """How the alignment of a value with a longer one ends: ``inside`` a word, at a ``border``, or not at all."""
-    for b in batches:
-        out = []
-        for value, longer in zip(*(b.column(c).to_pylist() for c in ("value", "longer_value"))):
-            v, u = normal(value), normal(longer)
-            kind = None
-            if len(u) > len(v):
-                most = len(v) // FUZZY
-                if u.startswith(v):
-                    at = len(v)
-                else:
-                    at = next((k for k in (len(v), len(v) + 1, len(v) - 1) if most and k < len(u) and (u[k - 1] == v[-1] or u[k - 2 : k] == v[:-3:-1]) and edits(v, u[:k], most) <= most), 0)
-                if at and at < len(u):
-                    kind = "inside" if u[at].isalnum() and v[-1].isalnum() else "border"
-            out.append(kind)
-        yield pa.RecordBatch.from_arrays([b.column("tab"), b.column("vid"), b.column("longer"), b.column("n"), b.column("weight"), pa.array(out, pa.string())], names=["tab", "vid", "longer", "n", "weight", "kind"])
-
-
-def field_limits(records: DataFrame) -> DataFrame:
-    """``tab, source, limit`` of the sources whose values, several different ones, pile up at a greatest length."""
-    sizes = records.groupBy("tab", "source", F.length("value").alias("limit")).agg(F.count("*").alias("n"), (F.min("value") != F.max("value")).alias("mixed"))
-    w = Window.partitionBy("tab", "source")
-    s = sizes.withColumn("total", F.sum("n").over(w)).withColumn("beyond", F.coalesce(F.sum("n").over(w.orderBy(F.desc("limit")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    hit = s.where(F.col("mixed") & (F.col("total") >= 20) & (F.col("n") >= PILE * F.col("total")) & (F.col("beyond") <= BEYOND * F.col("n")))
-    return hit.groupBy("tab", "source").agg(F.max("limit").alias("limit"))
+    v, u = open_text(value), open_text(longer)
+    if len(u) <= len(v):
+        return None
+    most = len(v) // FUZZY
+    if u.startswith(v):
+        at = len(v)
+    else:
+        at = next((k for k in (len(v), len(v) + 1, len(v) - 1) if most and k < len(u) and (u[k - 1] == v[-1] or u[k - 2 : k] == v[:-3:-1]) and edits(v, u[:k], most) <= most), 0)
+    if not at or at >= len(u):
+        return None
+    return "inside" if u[at].isalnum() and v[-1].isalnum() else "border"
 
 
-def cut_records(records: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
-    """``tab, rid, source, value, is_cut`` of every record with a value.
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = [aligned_end(v, u) for v, u in zip(*(b.column(c).to_pylist() for c in ("value", "longer_value")))]
+        yield pa.RecordBatch.from_arrays([b.column("tab"), b.column("vid"), b.column("weight"), pa.array(out, pa.string())], names=["tab", "vid", "weight", "kind"])
 
-    ``records`` has tab, rid, value and source; ``lexicon`` (tab, value) adds values of the
-    same kind that are no cases themselves.  Defined results: null and blank values are no
-    case; repeated rows come out as often as they came in; a null source has no limit; an
-    empty table gives no rows; a value with a final abbreviation point is not cut by that."""
-    rec = records.where(F.trim("value") != "").select("tab", "rid", "value", "source", F.xxhash64("tab", "value").alias("vid"))
-    limits = field_limits(rec)
-    marked = rec.join(limits, ["tab", "source"], "left").withColumn("at_limit", F.coalesce(F.length("value") == F.col("limit"), F.lit(False))).select("tab", "rid", "value", "source", "vid", "at_limit")
-    counted = marked.select("tab", "value", "vid", F.col("at_limit").cast("long").alias("lim"))
-    if lexicon is not None:
-        counted = counted.union(lexicon.where(F.trim("value") != "").select("tab", "value", F.xxhash64("tab", "value"), F.lit(0).cast("long")))
-    values = cut_lineage(counted.groupBy("tab", "vid").agg(F.min("value").alias("value"), F.count("*").alias("n"), (F.count("*") - F.sum("lim")).alias("n_free")))
-    words = cut_lineage(values.select("tab", "value", "n", "n_free").mapInArrow(_closing, "tab string, word string, comma boolean, inner long, close long").groupBy("tab", "word", "comma").agg(F.sum("inner").alias("inner"), F.sum("close").alias("close")))
-    whole = words.groupBy("tab", "word").agg(F.sum("inner").alias("inner"), F.sum("close").alias("close"))
-    starts = whole.where("length(word) > 1").select("tab", (F.col("inner") + F.col("close")).alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda k: F.substring("word", 1, k))).alias("word"))
-    longer_words = starts.groupBy("tab", "word").agg(F.sum("n").alias("ext"))
-    style = words.select("tab", "word", "comma", F.col("inner").alias("s_inner"), F.col("close").alias("s_close"))
+
+def continuations(values: DataFrame) -> DataFrame:
+    """``tab, vid, inside, border``: weight of the longer values with which each value of ``tab, vid, value, n, asked``
+    aligns up to its end, by where that end lies in them.  Only values that are asked for are compared."""
     long_values = values.where(F.length("value") > DENSE).select("value")
     lengths = np.array([r[0] for r in long_values.mapInArrow(_lengths, "n long").distinct().collect()], np.int64)
-    kinds = "tab string, key long, vid long, n long, mark long, letters long, size long"
-    keyed = values.select("tab", "value", "vid", "n")
-    probes = keyed.mapInArrow(_probes(lengths), kinds).select("tab", "key", F.col("vid").alias("pid"), "size", F.col("letters").alias("own"))
-    targets = keyed.mapInArrow(_targets(lengths), kinds).join(probes.select("tab", "key").distinct(), ["tab", "key"], "left_semi")
-    bands = targets.groupBy("tab", "key", "mark").agg(F.sum("n").alias("weight"), F.max(F.struct("n", "vid")).alias("most"), F.min("letters").alias("letters"))
+    parts = parallelism(values.sparkSession)
+    probes = values.where("asked").mapInArrow(_keyed(lengths, True), _KEYED).select("tab", "key", F.col("vid").alias("pid"), F.col("size").alias("own_size"), F.col("letters").alias("own")).repartition(parts, "tab", "key")
+    targets = values.mapInArrow(_keyed(lengths, False), _KEYED).repartition(parts, "tab", "key")
+    sought = targets.join(probes.select("tab", "key").distinct(), ["tab", "key"], "left_semi")
+    bands = sought.groupBy("tab", "key", "mark").agg(F.sum("n").alias("weight"), F.max(F.struct("n", "vid")).alias("most"), F.min("letters").alias("letters"))
     # one edit changes at most two letters of the set, and the copy may end one letter off
-    near = F.bit_count(F.col("own").bitwiseXOR(F.col("letters"))) <= 2 * F.floor(F.col("size") / FUZZY) + 1
-    met = bands.join(probes, ["tab", "key"]).where(near).select("tab", F.col("pid").alias("vid"), "mark", F.col("most.vid").alias("longer"), F.col("most.n").alias("n"), "weight").distinct()
+    near = F.bit_count(F.col("own").bitwiseXOR(F.col("letters"))) <= 2 * F.floor(F.col("own_size") / FUZZY) + 1
+    met = bands.join(probes, ["tab", "key"]).where(near).groupBy("tab", F.col("pid").alias("vid"), "mark").agg(F.max("most.vid").alias("longer"), F.max("weight").alias("weight"))
     texts = values.select("vid", "value")
     pairs = met.join(texts, "vid").join(texts.select(F.col("vid").alias("longer"), F.col("value").alias("longer_value")), "longer")
-    found = pairs.mapInArrow(_align, "tab string, vid long, longer long, n long, weight long, kind string").where("kind is not null")
-    aligned = found.groupBy("tab", "vid").agg(F.sum("weight").alias("weight"), F.max_by("kind", F.struct("n", "longer")).alias("kind"))
-    last = values.select("tab", "value", "vid").mapInArrow(_last, "tab string, vid long, word string, comma boolean, mark string, stop boolean")
-    f = (
-        values.select("tab", "vid", "n", "n_free").join(last, ["tab", "vid"]).join(aligned, ["tab", "vid"], "left")
-        .join(whole, ["tab", "word"], "left").join(longer_words, ["tab", "word"], "left").join(style, ["tab", "word", "comma"], "left")
-        .na.fill(0, ["inner", "close", "ext", "weight", "s_inner", "s_close"]).na.fill("none", ["kind"])
-    )
-    # A value that stands on its own in fields that cut nothing, often enough beside its continuations, is whole.
-    whole_value = (F.col("n_free") >= 3) & (F.col("n_free") >= 0.1 * F.col("weight"))
-    seen = F.col("s_inner") + F.col("s_close")
-    terminal = F.when(seen > 0, F.col("s_close") / seen).otherwise(F.lit(0.0))
+    found = pairs.mapInArrow(_align, "tab string, vid long, weight long, kind string").where("kind is not null")
+    return found.groupBy("tab", "vid").agg(*[F.sum(F.when(F.col("kind") == k, F.col("weight")).otherwise(0)).alias(k) for k in ("inside", "border")])
+
+
+def field_limits(judged: DataFrame, share: float = 0.5, least: int = 5) -> DataFrame:
+    """``tab, source, limit, n_cut``: lengths at which most records of a source are cut, from judged records."""
+    sizes = judged.groupBy("tab", "source", F.length("value").alias("limit")).agg(F.count("*").alias("n"), F.sum(F.col("is_cut").cast("int")).alias("n_cut"))
+    return sizes.where((F.col("n_cut") >= least) & (F.col("n_cut") >= share * F.col("n"))).drop("n")
+
+
+def cut_records(records: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+    """``tab, rid, source, value, is_cut, path`` of every record with a value.
+
+    ``records`` has tab, rid, value and source; ``lexicon`` (tab, value) adds values of the
+    same kind that are no cases themselves.  ``path`` says what found a cut record: ``copy``
+    (the alignment with a longer near-copy) or ``closing`` (its closing word).  Defined
+    results: null and blank values are no case; repeated rows come out as often as they came
+    in; records without a source make a source of their own; an empty table gives no rows; a
+    value with a final abbreviation point is not cut by that."""
+    rec = records.where(F.trim("value") != "").select("tab", "rid", "value", F.coalesce("source", F.lit("")).alias("s"), "source", F.xxhash64("tab", "value").alias("vid"))
+    counted = rec.groupBy("tab", "vid", "s").agg(F.min("value").alias("value"), F.count("*").alias("n"))
+    if lexicon is not None:
+        more = lexicon.where(F.trim("value") != "").select("tab", "value").distinct()
+        counted = counted.unionByName(more.select("tab", F.xxhash64("tab", "value").alias("vid"), F.lit(None).cast("string").alias("s"), "value", F.lit(1).cast("long").alias("n")))
+    counted = cut_lineage(counted)
+    spread = parallelism(records.sparkSession)
+    values = cut_lineage(counted.groupBy("tab", "vid").agg(F.min("value").alias("value"), F.sum("n").alias("n"), F.max(F.col("s").isNotNull()).alias("asked")).repartition(spread, "vid"))
+    copies = cut_lineage(continuations(values))
+
+    def words_of(whole: DataFrame) -> DataFrame:
+        return whole.mapInArrow(_closing, "tab string, word string, comma boolean, inner long, close long").groupBy("tab", "word", "comma").agg(F.sum("inner").alias("inner"), F.sum("close").alias("close"))
+
+    # How words stand inside values, and of which longer words they are the start.
+    by_style = cut_lineage(words_of(values.select("tab", "value", "n", F.lit(0).cast("long").alias("whole"))))
+    inner = by_style.groupBy("tab", "word").agg(F.sum("inner").alias("inner"))
+    closes = values.select("tab", "value", "vid", "n").mapInArrow(_last, "tab string, vid long, word string, comma boolean, mark string, stop boolean")
+    ends = cut_lineage(closes.join(values.select("tab", "vid", "n", "asked"), ["tab", "vid"]))
+    every = inner.union(ends.groupBy("tab", "word").agg(F.sum("n"))).groupBy("tab", "word").agg(F.sum("inner").alias("n"))
+    starts = every.where("length(word) > 1").select("tab", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda k: F.substring("word", 1, k))).alias("word"))
+    longer_words = starts.groupBy("tab", "word").agg(F.sum("n").alias("ext"))
+    facts = ends.join(copies, ["tab", "vid"], "left").join(inner, ["tab", "word"], "left").join(longer_words, ["tab", "word"], "left").na.fill(0, ["inside", "border", "inner", "ext"])
+    seldom = F.col("inner") <= 0.02 * F.greatest(F.col("ext"), F.lit(50))
+    ends_inside = (F.col("inside") > 0) & (F.col("inside") >= F.col("border")) & seldom & ~F.col("stop")
+    facts = cut_lineage(facts.where("asked").withColumn("ends_inside", ends_inside))
+
+    # How often a source cuts, and at which lengths, as the copies that end inside a word say.
+    told = counted.where("s is not null").join(facts.select("tab", "vid", "ends_inside"), ["tab", "vid"])
+    at_length = told.groupBy("tab", "s", F.length("value").alias("size")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("ends_inside"), F.col("n")).otherwise(0)).alias("cut"))
+    rates = at_length.groupBy("tab", "s").agg((F.sum("cut") / F.sum("n")).alias("rate"))
+    prior = cut_lineage(at_length.join(rates, ["tab", "s"]).select("tab", "s", "size", "rate", ((F.col("cut") + F.col("rate")) / (F.col("n") + 1)).alias("prior")))
+    trusted = told.join(prior.select("tab", "s", "rate").distinct(), ["tab", "s"]).groupBy("tab", "vid").agg(F.sum(F.when(F.col("rate") < CUTS, F.col("n")).otherwise(0)).alias("trusted"))
+
+    # Closing words of values that sources which hardly cut have given.
+    whole_ends = facts.join(trusted, ["tab", "vid"])
+    closing = whole_ends.where("not ends_inside").groupBy("tab", "word", "comma").agg(F.sum("n").alias("s_close"), F.sum("trusted").alias("s_trusted"))
+    style = by_style.select("tab", "word", "comma", F.col("inner").alias("s_inner"))
+    close_all = closing.groupBy("tab", "word").agg(F.sum("s_trusted").alias("close"))
+    f = whole_ends.join(style, ["tab", "word", "comma"], "left").join(closing, ["tab", "word", "comma"], "left").join(close_all, ["tab", "word"], "left").na.fill(0, ["s_inner", "s_close", "s_trusted", "close"])
+    weight = F.col("inside") + F.col("border")
+    whole_value = (F.col("trusted") >= 3) & (F.col("trusted") >= 0.1 * weight)
+    seen = F.col("s_inner") + F.col("s_trusted")
+    terminal = F.when(seen > 0, F.col("s_trusted") / seen).otherwise(F.lit(0.0))
     piece = (F.col("ext") >= 3) & (F.col("inner") <= 0.02 * F.col("ext")) & (F.col("close") <= 0.1 * F.col("ext")) & (F.col("word") != "#")
-    open_end = F.col("mark") == "open"
-    inside = (F.col("kind") == "inside") & ~whole_value & (F.col("inner") <= 0.02 * F.greatest(F.col("ext"), F.lit(50))) & ~F.col("stop")
-    never_closes = (seen >= 20) & (terminal < 0.03) & (F.col("mark") == "word")
-    rare_alone = (F.col("kind") == "border") & (F.col("weight") >= 50) & (F.col("n_free") < 0.02 * F.col("weight"))
-    by_value = open_end | ((F.col("mark") != "dot") & ((piece & ~whole_value & ~F.col("stop")) | inside | never_closes | rare_alone))
-    by_limit = (F.col("mark") == "word") & ~F.col("stop") & (
-        ((F.col("inner") == 0) & (F.col("close") == 0)) | ((F.col("n_free") == 0) & (F.col("weight") > 0) & ((F.col("kind") == "inside") | (terminal < 0.5))))
-    verdict = f.select("vid", by_value.alias("by_value"), by_limit.alias("by_limit"))
-    return marked.join(verdict, "vid").select("tab", "rid", "source", "value", (F.col("by_value") | (F.col("at_limit") & F.col("by_limit"))).alias("is_cut"))
+    none = weight == 0
+    word_end = F.col("mark") == "word"
+    by_copy = (F.col("mark") != "dot") & ~whole_value & (F.col("ends_inside") | ((F.col("border") >= 50) & (F.col("trusted") < 0.02 * F.col("border"))))
+    never_closes = (seen >= 20) & (terminal < 0.03) & word_end
+    by_word = (F.col("mark") == "open") | ((F.col("mark") != "dot") & ((none & piece & ~F.col("stop") & ~whole_value) | never_closes))
+    weak_copy = word_end & ~F.col("stop") & ~none & (F.col("trusted") == 0) & (terminal < 0.5)
+    weak_word = word_end & ~F.col("stop") & none & (F.col("inner") == 0) & (F.col("close") == 0)
+    verdict = f.select("tab", "vid", by_copy.alias("by_copy"), by_word.alias("by_word"), weak_copy.alias("weak_copy"), weak_word.alias("weak_word"))
+    judged = rec.withColumn("size", F.length("value")).join(verdict, ["tab", "vid"]).join(prior, ["tab", "s", "size"])
+    likely = F.col("prior") >= 0.5
+    path = F.when(F.col("by_copy") | (F.col("weak_copy") & likely), "copy").when(F.col("by_word") | (F.col("weak_word") & likely), "closing")
+    return judged.withColumn("path", path).select("tab", "rid", "source", "value", F.col("path").isNotNull().alias("is_cut"), "path")
