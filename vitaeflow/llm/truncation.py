@@ -18,8 +18,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ FUZZY = 16
 STRETCH = 6
 #: Share of cut records from which a source counts as one that cuts.
 CUTS = 0.05
-_SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
 def normal(value: str) -> str:
@@ -60,23 +62,22 @@ def _mixed(x: np.ndarray, seed: int = _SEEDS[0]) -> np.ndarray:
 
 
 def prefix_table(texts: list[str], lengths: np.ndarray | None = None, own: bool = False) -> tuple[np.ndarray, ...]:
-    """``row, size, key, mark, letters`` of the prefixes of texts, two rows (bands) each.
+    """``row, key, mark`` of the prefixes of texts, a row for each band.
 
     ``own`` takes each text itself instead of its proper prefixes.  ``mark`` stands for the
-    text up to two characters beyond the prefix, ``letters`` for its set of letters.  Above
-    :data:`DENSE` characters only the given lengths count, and those one more or less."""
+    text up to two characters beyond the prefix.  Above :data:`DENSE` characters only the
+    given lengths count, and those one more or less."""
     out: list[list[np.ndarray]] = []
     order = sorted((i for i, t in enumerate(texts) if len(t) >= SHORTEST), key=lambda i: len(texts[i]))
     at = 0
     while at < len(order):
         width = len(texts[order[at]])
-        end = at
-        while end < len(order) and (end - at < 1 or (end - at + 1) * len(texts[order[end]]) <= 400_000) and len(texts[order[end]]) <= 2 * width:
+        end = at + 1
+        while end < len(order) and (end - at + 1) * len(texts[order[end]]) <= 400_000 and len(texts[order[end]]) <= 2 * width:
             end += 1
         out.append(_block([texts[i] for i in order[at:end]], np.asarray(order[at:end]), lengths, own))
         at = end
-    kinds = (np.int64,) * 5
-    return tuple(np.concatenate([o[k] for o in out]) if out else np.empty(0, kinds[k]) for k in range(5))
+    return tuple(np.concatenate([o[k] for o in out]) if out else np.empty(0, np.int64) for k in range(3))
 
 
 def _block(texts: list[str], rows: np.ndarray, lengths: np.ndarray | None, own: bool) -> list[np.ndarray]:
@@ -84,72 +85,62 @@ def _block(texts: list[str], rows: np.ndarray, lengths: np.ndarray | None, own:
     width = int(n.max())
     c = np.zeros((len(texts), width + 2), np.uint64)
     flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    c[:, :width][np.arange(width)[None, :] < n[:, None]] = flat
-    place = _mixed(np.arange(1, width + 3).astype(np.uint64) + np.uint64(1 << 32)) | np.uint64(1)
     inside = np.arange(width + 2)[None, :] < n[:, None]
-    sums = np.cumsum(np.where(inside, _mixed(c) * place, np.uint64(0)), axis=1, dtype=np.uint64)  # text so far
-    whole = _mixed(sums ^ (np.arange(1, width + 3).astype(np.uint64) << np.uint64(40)))
-    letters = np.bitwise_or.accumulate(np.where(inside, np.uint64(1) << (c & np.uint64(63)), np.uint64(0)), axis=1)
+    c[inside] = flat
+    place = np.arange(1, width + 3).astype(np.uint64)
+    sums = np.cumsum(np.where(inside, _mixed(c) * (_mixed(place + np.uint64(1 << 32)) | np.uint64(1)), np.uint64(0)), axis=1, dtype=np.uint64)
+    whole = _mixed(sums ^ (place << np.uint64(40)))  # a hash of the text up to each character
     g = (c[:, :-2] << np.uint64(42)) ^ (c[:, 1:-1] << np.uint64(21)) ^ c[:, 2:]
+    stretch = np.zeros((len(texts), width), np.uint64)  # stretch[:, i]: letters i .. i + STRETCH - 1
+    for k in range(STRETCH):
+        stretch[:, : width - k] = stretch[:, : width - k] * np.uint64(0x100000001B3) + c[:, k:width] + np.uint64(7)
     size = np.arange(SHORTEST, width + 1)
     keep = (size[None, :] == n[:, None]) if own else (size[None, :] < n[:, None])
     if not own and lengths is not None and width > DENSE:
-        near = np.unique(np.concatenate((lengths - 1, lengths, lengths + 1)))
-        keep &= (size <= DENSE) | np.isin(size, near)
+        keep &= (size <= DENSE) | np.isin(size, np.concatenate((lengths - 1, lengths, lengths + 1)))
     r, s = np.nonzero(keep)
     s = size[s]
     exact = s < FUZZY  # too short for a misread letter: the text itself
-    roll = np.zeros((len(texts), width + 3), np.uint64)  # polynomial sums, for stretches of letters
-    base = np.uint64(0x100000001B3)
-    stretch = np.zeros((len(texts), width), np.uint64)
-    for k in range(STRETCH):  # stretch[:, i]: letters i .. i + STRETCH - 1
-        stretch[:, : width - k] = stretch[:, : width - k] * base + c[:, k:width] + np.uint64(7)
-    del roll
+    head = np.maximum(s - 2 * STRETCH - 3, 0)  # last 3-gram before both stretches
     keys = []
-    for j, seed in enumerate(_SEEDS):
-        least = np.minimum.accumulate(_mixed(g, seed), axis=1)[r, s - 3]
-        tail = stretch[r, np.maximum(s - STRETCH * (j + 1), 0)]
-        key = _mixed(least ^ _mixed(tail ^ np.uint64(j + 1)))
+    for j in range(2):
+        key = stretch[r, np.maximum(s - STRETCH * (j + 1), 0)]
+        for seed in _SEEDS[2 * j : 2 * j + 2]:
+            key = _mixed(key ^ np.minimum.accumulate(_mixed(g, seed), axis=1)[r, head], _SEEDS[j])
         keys.append(np.where(exact, whole[r, s - 1], key).view(np.int64))
-    last = np.minimum(s + 2, n[r]) - 1
-    mark, letter = whole[r, last].view(np.int64), letters[r, s - 1].view(np.int64)
-    both = [np.repeat(rows[r], 2), np.repeat(s, 2), np.stack(keys, 1).reshape(-1), np.repeat(mark, 2), np.repeat(letter, 2)]
-    first = np.ones(len(both[0]), bool)
+    mark = whole[r, np.minimum(s + 2, n[r]) - 1].view(np.int64)
+    first = np.ones(2 * len(r), bool)
     first[1::2] = ~exact  # one band is enough for an exact prefix
-    return [x[first] for x in both]
+    return [x[first] for x in (np.repeat(rows[r], 2), np.stack(keys, 1).reshape(-1), np.repeat(mark, 2))]
 
 
-def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        n = {len(open_text(v)) for v in b.column(0).to_pylist() if len(v) > DENSE}
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(n), pa.int64())], names=["n"])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([open_text(v) for v in b.column("value").to_pylist()], pa.string())], names=[*b.schema.names, "text"])
 
 
-_KEYED = "tab string, key long, mark long, vid long, n long, letters long, size int"
+@lru_cache(maxsize=1024)
+def hash_of(table: str) -> int:
+    """A number for the name of a table, so that equal texts of two tables have different keys."""
+    return int.from_bytes(hashlib.blake2b(table.encode(), digest_size=8).digest(), "little", signed=True)
 
 
 def _keyed(lengths: np.ndarray, own: bool):
-    """Keys of every value itself, or of its proper prefixes: one row for equal texts of a batch, with their weight."""
+    """Keys of every text itself, or of its proper prefixes: one row for equal texts of a batch, with their weight."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tabs, values, vids, ns = (b.column(c).to_pylist() for c in ("tab", "value", "vid", "n"))
-            names = sorted(set(tabs), key=str)
-            code = np.array([names.index(t) for t in tabs], np.int64)
-            vid, n = np.asarray(vids, np.int64), np.asarray(ns, np.int64)
-            row, size, key, mark, letters = prefix_table([open_text(v) for v in values], lengths, own)
+            tid, n = (b.column(c).to_numpy() for c in ("tid", "n"))
+            row, key, mark = prefix_table(b.column("text").to_pylist(), lengths, own)
+            table = np.array([hash_of(t) for t in b.column("tab").to_pylist()], np.int64)
+            key = key ^ table[row]
+            weight = n[row]
             if not own and len(row):
-                order = np.lexsort((-n[row], mark, key, code[row]))
-                row, size, key, mark, letters = (x[order] for x in (row, size, key, mark, letters))
-                new = np.concatenate(([True], (key[1:] != key[:-1]) | (mark[1:] != mark[:-1]) | (code[row][1:] != code[row][:-1])))
-                starts = np.flatnonzero(new)
-                weight = np.add.reduceat(n[row], starts)
-                row, size, key, mark, letters = (x[starts] for x in (row, size, key, mark, letters))
-            else:
-                weight = n[row]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([names[i] for i in code[row]], pa.string()), pa.array(key), pa.array(mark), pa.array(vid[row]), pa.array(weight), pa.array(letters), pa.array(size.astype(np.int32))],
-                names=["tab", "key", "mark", "vid", "n", "letters", "size"])
+                order = np.lexsort((-weight, mark, key))
+                row, key, mark, weight = row[order], key[order], mark[order], weight[order]
+                starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (mark[1:] != mark[:-1]))))
+                row, key, mark, weight = row[starts], key[starts], mark[starts], np.add.reduceat(weight, starts)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(mark), pa.array(tid[row]), pa.array(weight)], names=["key", "mark", "tid", "n"])
 
     return run
 
@@ -183,9 +174,8 @@ def _last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.bool_()))], names=["tab", "vid", "word", "comma", "mark", "stop"])
 
 
-def aligned_end(value: str, longer: str) -> str | None:
-    """How the alignment of a value with a longer one ends: ``inside`` a word, at a ``border``, or not at all."""
-    v, u = open_text(value), open_text(longer)
+def aligned_end(v: str, u: str) -> str | None:
+    """How the alignment of a text with a longer one ends: ``inside`` a word, at a ``border``, or not at all."""
     if len(u) <= len(v):
         return None
     most = len(v) // FUZZY
@@ -200,27 +190,26 @@ def aligned_end(value: str, longer: str) -> str | None:
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = [aligned_end(v, u) for v, u in zip(*(b.column(c).to_pylist() for c in ("value", "longer_value")))]
-        yield pa.RecordBatch.from_arrays([b.column("tab"), b.column("vid"), b.column("weight"), pa.array(out, pa.string())], names=["tab", "vid", "weight", "kind"])
-
-
-def continuations(values: DataFrame) -> DataFrame:
-    """``tab, vid, inside, border``: weight of the longer values with which each value of ``tab, vid, value, n, asked``
-    aligns up to its end, by where that end lies in them.  Only values that are asked for are compared."""
-    long_values = values.where(F.length("value") > DENSE).select("value")
-    lengths = np.array([r[0] for r in long_values.mapInArrow(_lengths, "n long").distinct().collect()], np.int64)
-    parts = parallelism(values.sparkSession)
-    probes = values.where("asked").mapInArrow(_keyed(lengths, True), _KEYED).select("tab", "key", F.col("vid").alias("pid"), F.col("size").alias("own_size"), F.col("letters").alias("own")).repartition(parts, "tab", "key")
-    targets = values.mapInArrow(_keyed(lengths, False), _KEYED).repartition(parts, "tab", "key")
-    sought = targets.join(probes.select("tab", "key").distinct(), ["tab", "key"], "left_semi")
-    bands = sought.groupBy("tab", "key", "mark").agg(F.sum("n").alias("weight"), F.max(F.struct("n", "vid")).alias("most"), F.min("letters").alias("letters"))
-    # one edit changes at most two letters of the set, and the copy may end one letter off
-    near = F.bit_count(F.col("own").bitwiseXOR(F.col("letters"))) <= 2 * F.floor(F.col("own_size") / FUZZY) + 1
-    met = bands.join(probes, ["tab", "key"]).where(near).groupBy("tab", F.col("pid").alias("vid"), "mark").agg(F.max("most.vid").alias("longer"), F.max("weight").alias("weight"))
-    texts = values.select("vid", "value")
-    pairs = met.join(texts, "vid").join(texts.select(F.col("vid").alias("longer"), F.col("value").alias("longer_value")), "longer")
-    found = pairs.mapInArrow(_align, "tab string, vid long, weight long, kind string").where("kind is not null")
-    return found.groupBy("tab", "vid").agg(*[F.sum(F.when(F.col("kind") == k, F.col("weight")).otherwise(0)).alias(k) for k in ("inside", "border")])
+        out = [aligned_end(v, u) for v, u in zip(*(b.column(c).to_pylist() for c in ("text", "longer_text")))]
+        yield pa.RecordBatch.from_arrays([b.column("tid"), b.column("weight"), pa.array(out, pa.string())], names=["tid", "weight", "kind"])
+
+
+def continuations(texts: DataFrame) -> DataFrame:
+    """``tid, inside, border``: weight of the longer texts with which each of ``tab, tid, text, n, asked`` aligns
+    up to its end, by where that end lies in them.  Only texts that are asked for are compared."""
+    sizes = texts.where(F.length("text") > DENSE).select(F.length("text").alias("size")).distinct()
+    lengths = np.array([r[0] for r in sizes.collect()], np.int64)  # at most as many as the longest text has characters
+    parts = parallelism(texts.sparkSession)
+    kinds = "key long, mark long, tid long, n long"
+    probes = texts.where("asked").mapInArrow(_keyed(lengths, True), kinds).select("key", F.col("tid").alias("pid")).repartition(parts, "key")
+    targets = texts.mapInArrow(_keyed(lengths, False), kinds).repartition(parts, "key")
+    sought = targets.join(probes.select("key").distinct(), "key", "left_semi")
+    bands = sought.groupBy("key", "mark").agg(F.sum("n").alias("weight"), F.max(F.struct("n", "tid")).alias("most"))
+    met = bands.join(probes, "key").groupBy(F.col("pid").alias("tid"), "mark").agg(F.max("most.tid").alias("longer"), F.max("weight").alias("weight"))
+    text = texts.select("tid", "text")
+    pairs = met.join(text, "tid").join(text.select(F.col("tid").alias("longer"), F.col("text").alias("longer_text")), "longer")
+    found = pairs.select("tid", "weight", "text", "longer_text").mapInArrow(_align, "tid long, weight long, kind string").where("kind is not null")
+    return found.groupBy("tid").agg(*[F.sum(F.when(F.col("kind") == k, F.col("weight")).otherwise(0)).alias(k) for k in ("inside", "border")])
 
 
 def field_limits(judged: DataFrame, share: float = 0.5, least: int = 5) -> DataFrame:
@@ -245,8 +234,10 @@ def cut_records(records: DataFrame, lexicon: DataFrame | None = None) -> DataFra
         counted = counted.unionByName(more.select("tab", F.xxhash64("tab", "value").alias("vid"), F.lit(None).cast("string").alias("s"), "value", F.lit(1).cast("long").alias("n")))
     counted = cut_lineage(counted)
     spread = parallelism(records.sparkSession)
-    values = cut_lineage(counted.groupBy("tab", "vid").agg(F.min("value").alias("value"), F.sum("n").alias("n"), F.max(F.col("s").isNotNull()).alias("asked")).repartition(spread, "vid"))
-    copies = cut_lineage(continuations(values))
+    values = counted.groupBy("tab", "vid").agg(F.min("value").alias("value"), F.sum("n").alias("n"), F.max(F.col("s").isNotNull()).alias("asked")).repartition(spread, "vid")
+    values = cut_lineage(values.mapInArrow(_opened, "tab string, vid long, value string, n long, asked boolean, text string").withColumn("tid", F.xxhash64("tab", "text")))
+    texts = cut_lineage(values.groupBy("tid").agg(F.first("tab").alias("tab"), F.first("text").alias("text"), F.sum("n").alias("n"), F.max("asked").alias("asked")).repartition(spread, "tid"))
+    copies = cut_lineage(continuations(texts))
 
     def words_of(whole: DataFrame) -> DataFrame:
         return whole.mapInArrow(_closing, "tab string, word string, comma boolean, inner long, close long").groupBy("tab", "word", "comma").agg(F.sum("inner").alias("inner"), F.sum("close").alias("close"))
@@ -255,11 +246,11 @@ def cut_records(records: DataFrame, lexicon: DataFrame | None = None) -> DataFra
     by_style = cut_lineage(words_of(values.select("tab", "value", "n", F.lit(0).cast("long").alias("whole"))))
     inner = by_style.groupBy("tab", "word").agg(F.sum("inner").alias("inner"))
     closes = values.select("tab", "value", "vid", "n").mapInArrow(_last, "tab string, vid long, word string, comma boolean, mark string, stop boolean")
-    ends = cut_lineage(closes.join(values.select("tab", "vid", "n", "asked"), ["tab", "vid"]))
+    ends = cut_lineage(closes.join(values.select("tab", "vid", "tid", "n", "asked"), ["tab", "vid"]))
     every = inner.union(ends.groupBy("tab", "word").agg(F.sum("n"))).groupBy("tab", "word").agg(F.sum("inner").alias("n"))
     starts = every.where("length(word) > 1").select("tab", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda k: F.substring("word", 1, k))).alias("word"))
     longer_words = starts.groupBy("tab", "word").agg(F.sum("n").alias("ext"))
-    facts = ends.join(copies, ["tab", "vid"], "left").join(inner, ["tab", "word"], "left").join(longer_words, ["tab", "word"], "left").na.fill(0, ["inside", "border", "inner", "ext"])
+    facts = ends.join(copies, "tid", "left").join(inner, ["tab", "word"], "left").join(longer_words, ["tab", "word"], "left").na.fill(0, ["inside", "border", "inner", "ext"])
     seldom = F.col("inner") <= 0.02 * F.greatest(F.col("ext"), F.lit(50))
     ends_inside = (F.col("inside") > 0) & (F.col("inside") >= F.col("border")) & seldom & ~F.col("stop")
     facts = cut_lineage(facts.where("asked").withColumn("ends_inside", ends_inside))
