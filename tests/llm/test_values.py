@@ -6,7 +6,7 @@ import pytest
 
 from vitaeflow.llm.canonical import Matcher, map_by_join, map_values
 from vitaeflow.llm.scans import damage, scan_damage, train_editor, word_counts
-from vitaeflow.llm.truncation import cut_records, normal, prefix_keys
+from vitaeflow.llm.truncation import cut_records, open_text, prefix_table
 
 ORGS = [(1, "Civic Concord Party", ("CCP",)), (2, "Secretariat of Public Granaries", ("SPG",)), (3, "Chamber of Aviation Industries", ("CAI",)), (4, "Institute of Coffee", (None,)), (5, "Secretariat of Coffee", ())]
 
@@ -42,8 +42,8 @@ def test_no_reference_and_no_values(spark):
 
 
 def test_prefix_keys_agree_on_common_prefixes():
-    a, b = prefix_keys(normal("Heroic Military College of Montelar")), prefix_keys(normal("heroic military college of monte"))
-    assert (a[: len(b)] == b).all() and len(prefix_keys("abc")) == 0
+    (_, long, _), (_, own, _) = prefix_table([open_text("Heroic Military College of (Montelar)")]), prefix_table([open_text("heroic military college of monte")], own=True)
+    assert set(own) <= set(long) and len(own) == 2 and len(prefix_table(["abc"])[0]) == 0
 
 
 def test_cut_values(spark):

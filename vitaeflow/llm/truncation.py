@@ -243,7 +243,7 @@ def cut_records(records: DataFrame, lexicon: DataFrame | None = None) -> DataFra
         return whole.mapInArrow(_closing, "tab string, word string, comma boolean, inner long, close long").groupBy("tab", "word", "comma").agg(F.sum("inner").alias("inner"), F.sum("close").alias("close"))
 
     # How words stand inside values, and of which longer words they are the start.
-    by_style = cut_lineage(words_of(values.select("tab", "value", "n", F.lit(0).cast("long").alias("whole"))))
+    by_style = cut_lineage(words_of(values.where("asked").select("tab", "value", "n", F.lit(0).cast("long").alias("whole"))))
     inner = by_style.groupBy("tab", "word").agg(F.sum("inner").alias("inner"))
     closes = values.select("tab", "value", "vid", "n").mapInArrow(_last, "tab string, vid long, word string, comma boolean, mark string, stop boolean")
     ends = cut_lineage(closes.join(values.select("tab", "vid", "tid", "n", "asked"), ["tab", "vid"]))
