@@ -4,8 +4,9 @@ import random
 
 import pytest
 
-from vitaeflow.llm.canonical import Matcher, map_by_join, map_values
+from vitaeflow.llm.canonical import Matcher, _Words, map_by_join, map_values
 from vitaeflow.llm.scans import damage, scan_damage, train_editor, word_counts
+from vitaeflow.llm.strings import edits
 from vitaeflow.llm.truncation import cut_records, open_text, prefix_table
 
 ORGS = [(1, "Civic Concord Party", ("CCP",)), (2, "Secretariat of Public Granaries", ("SPG",)), (3, "Chamber of Aviation Industries", ("CAI",)), (4, "Institute of Coffee", (None,)), (5, "Secretariat of Coffee", ())]
@@ -35,6 +36,20 @@ def test_both_ways_agree(spark):
     assert a == b and len(a) == 6 and [r[3] for r in a] == [1, -1, 2, 3, 1, -1]
 
 
+def test_aliases_of_any_length():
+    m = Matcher([(1, "National Company of Staples", ("CONASUPO",)), (2, "Institute of Social Security", ("IMSS",)), (3, "Fund of Workers' Housing", ("INFONAVIT", "Housing Fund")), (4, "Oaxaca", ("Oax.",)), (5, "Institute of Coffee", ("IC",))])
+    values = {"CONASUPO": 1, "conasupo": 1, "Director, IMSS": 2, "director, imss": -1, "INFONAVIT": 3, "the Housing Fund": 3, "Tlaxiaco, Oax.": 4, "Institute of Coffee, IMSS": 5, "IMSS and CONASUPO": -1, "XIMSSX": -1, "Znstitute of Coffee": 5, "Instituteof Cofee": 5}
+    assert {v: m.find(v) for v in values} == values
+
+
+def test_near_words_equal_a_full_search():
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(2, 24))) for _ in range(400)})
+    index = _Words(words)
+    for q in [*words[::9], *("".join(rng.choice("abc") for _ in range(n)) for n in range(1, 26))]:
+        assert {w for w in words if edits(q, w, 2) <= 2} <= {index.words[i] for i in index.near(q)}
+
+
 def test_no_reference_and_no_values(spark):
     df, ref = frames(spark, ["Civic Concord Party"])
     assert [r.ref_id for r in map_values(df, {"o": ref.where("false")}).collect()] == [-1]

@@ -1,9 +1,10 @@
 """Freely typed values to the entries of a reference list.
 
-An Aho-Corasick automaton over the names and aliases finds every embedded mention that
+An Aho-Corasick automaton over the names and all aliases finds every embedded mention that
 starts and ends at a word boundary; the longest non-overlapping mentions win, and a value
-whose winning mentions name one entry is that entry.  Remaining values go to token-set
-similarity: tokens agree if equal, if one abbreviates the other (same first letter, its
+whose winning mentions name one entry is that entry.  A short alias (an acronym, an
+abbreviation) counts inside a longer value only where it is written as in the list and no
+name is mentioned.  Remaining values go to token-set similarity: tokens agree if equal, if one abbreviates the other (same first letter, its
 letters in order), if they translate each other, or up to one or two edits; a value is
 mapped if its best entry covers the entry's tokens and leaves little of the value over.
 Anything else is reported as having no entry (-1).
@@ -84,42 +85,91 @@ def token_score(q: str, e: str) -> float:
     return 0.0
 
 
+def _shorter(word: str, most: int) -> set[str]:
+    """The word and what deleting up to ``most`` of its characters leaves."""
+    out, level = {word}, {word}
+    for _ in range(most):
+        level = {w[:i] + w[i + 1 :] for w in level for i in range(len(w))}
+        out |= level
+    return out
+
+
+#: Longest word whose deletions are indexed; longer ones are found by their parts.
+LONGEST = 16
+
+
 class _Words:
-    """Words with their lengths, first letters and letter sets, to leave out most that cannot be meant."""
+    """Words under their deletions (short ones) or their parts (long ones), so that words within two edits
+    are met without going through all of them; and by first letter, for abbreviations."""
 
     def __init__(self, words: list[str]):
         self.words = words
-        self.size = np.array([len(w) for w in words], np.int64)
-        self.first = np.array([ord(w[0]) for w in words], np.int64)
+        self.near_: dict[str, list[int]] = defaultdict(list)
+        self.part: dict[str, list[int]] = defaultdict(list)
+        self.first: dict[str, list[int]] = defaultdict(list)
+        for i, w in enumerate(words):
+            self.first[w[0]].append(i)
+            if len(w) <= LONGEST:
+                for d in _shorter(w, 2):
+                    self.near_[d].append(i)
+            for part, _ in _parts(w) if len(w) >= LONGEST - 2 else ():
+                self.part[part].append(i)
         self.bits = np.array([letters(w) for w in words], np.uint64)
+        self.initial = {c: np.array(at) for c, at in self.first.items()}
+
+    def near(self, q: str) -> set[int]:
+        """Words that can be within two edits of ``q``."""
+        out: set[int] = set()
+        if len(q) <= LONGEST:
+            for d in _shorter(q, 2):
+                out.update(self.near_.get(d, ()))
+        if len(q) >= LONGEST - 2:  # two edits leave one of three parts whole, shifted by two at most
+            for w in {(at + shift, n) for n0 in range(len(q) - 2, len(q) + 3) for at, n in _cuts(n0) for shift in range(-2, 3)}:
+                at, n = w
+                if at >= 0 and (hits := self.part.get(q[at : at + n])):
+                    out.update(i for i in hits if abs(len(self.words[i]) - len(q)) <= 2)
+        return out
 
-    def near(self, q: str, most: int) -> np.ndarray:
-        """Whether each word can be within so many edits."""
-        return (abs(self.size - len(q)) <= most) & (np.bitwise_count(self.bits ^ np.uint64(letters(q))) <= 2 * most)
-
-    def longer(self, q: str) -> np.ndarray:
-        """Whether each word can have this abbreviation."""
+    def longer(self, q: str) -> set[int]:
+        """Words that can have this abbreviation."""
+        at = self.initial.get(q[0])
+        if at is None:
+            return set()
         b = np.uint64(letters(q))
-        return (self.size > len(q)) & (self.first == ord(q[0])) & (self.bits & b == b)
+        return {int(i) for i in at[self.bits[at] & b == b] if len(self.words[i]) > len(q)}
+
 
-    def take(self, mask: np.ndarray) -> list[str]:
-        return [self.words[i] for i in np.flatnonzero(mask)]
+def _cuts(n: int) -> list[tuple[int, int]]:
+    """Start and length of the three parts of a word of ``n`` characters."""
+    third = n // 3
+    return [(0, third), (third, third), (2 * third, n - 2 * third)]
+
+
+def _parts(word: str) -> list[tuple[str, int]]:
+    return [(word[at : at + n], at) for at, n in _cuts(len(word))]
 
 
 def _one(refs: set[int]) -> int:
     return next(iter(refs)) if len(refs) == 1 else -1
 
 
-def mentioned(spans: list[tuple[int, int, bool, int]]) -> set[int]:
-    """Entries of the longest non-overlapping mentions ``(length, start, is alias, entry)``; of equal texts a name goes before an alias."""
-    places: dict[tuple[int, int], list[tuple[bool, int]]] = defaultdict(list)
-    for n, at, alias, ref in spans:
-        places[-n, at].append((alias, ref))
+#: Rank of a mention: by a name, by an alias of several words, by a short alias.
+NAME, ALIAS, SHORT = range(3)
+
+
+def mentioned(spans: list[tuple[int, int, int, int]]) -> set[int]:
+    """Entries of the longest non-overlapping mentions ``(length, start, rank, entry)``; of equal texts a name goes
+    before an alias, and short aliases count only where nothing else is mentioned."""
+    places: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+    least = min((s[2] for s in spans), default=NAME)
+    for n, at, rank, ref in spans:
+        if rank < SHORT or least == SHORT:
+            places[-n, at].append((rank, ref))
     taken, out = [], set()
     for (n, at), who in sorted(places.items()):
         if all(at - n <= s or at >= e for s, e in taken):
             taken.append((at, at - n))
-            out.update(ref for alias, ref in who if alias == min(who)[0])
+            out.update(ref for rank, ref in who if rank == min(who)[0])
     return out
 
 
@@ -136,6 +186,17 @@ def settle(parts: list[dict], enough: float = ENOUGH) -> int:
     return _one({r for p in parts if p["k"] == least for r in p["near"]})
 
 
+def _written(alias: str, value: str) -> bool:
+    """Whether a value holds an alias as it is written in the list, between signs or blanks."""
+    at = value.find(alias)
+    while at >= 0:
+        end = at + len(alias)
+        if not value[at - 1 : at].isalnum() and not value[end : end + 1].isalnum():
+            return True
+        at = value.find(alias, at + 1)
+    return False
+
+
 class Matcher:
     """Reference entries ``(id, name, aliases)``; ``find`` gives the id meant or -1."""
 
@@ -146,39 +207,46 @@ class Matcher:
         self.distinct: dict[int, set[str]] = {}
         self.by_token: dict[str, set[int]] = defaultdict(set)
         automaton = ahocorasick.Automaton()
-        names: dict[str, set[int]] = defaultdict(set)
-        others: dict[str, set[int]] = defaultdict(set)
+        forms: dict[str, dict[int, dict[int, set[str]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
         for ref, name, aliases in entries:
             self.entry[ref] = tokens(name)
             self.distinct[ref] = set(self.entry[ref])
             for t in self.distinct[ref]:
                 self.by_token[t].add(ref)
-            names[flat(name)].add(ref)
+            forms[flat(name)][NAME][ref].add(name)
             for a in aliases:
-                key = flat(a).replace(" ", "")
-                if " " in flat(a) and len(key) > 5:
-                    others[flat(a)].add(ref)
-                elif key:
-                    self.short[key].add(ref)
+                text = flat(a)
+                key = text.replace(" ", "")
+                if not key:
+                    continue
+                self.short[key].add(ref)
+                forms[text][ALIAS if " " in text and len(key) > 5 else SHORT][ref].add(a.strip(" ."))
         self.words = _Words(list(self.by_token))
         self.squashed: dict[str, set[int]] = defaultdict(set)
-        for of, alias in ((others, True), (names, False)):
-            for k, refs in of.items():
-                if k:
-                    automaton.add_word(f" {k} ", (len(k), alias, sorted(refs)))
-                    self.squashed[k.replace(" ", "")] |= refs
-        self.automaton = automaton if self.squashed else None
+        some = False
+        for text, ranks in forms.items():
+            if text:
+                # of equal texts only the best rank counts
+                rank = min(ranks)
+                automaton.add_word(f" {text} ", (len(text), rank, [(ref, sorted(ranks[rank][ref])) for ref in sorted(ranks[rank])]))
+                some = True
+                if rank < SHORT:
+                    self.squashed[text.replace(" ", "")].update(*(ranks[r] for r in ranks if r < SHORT))
+        self.automaton = automaton if some else None
         if self.automaton is not None:
             automaton.make_automaton()
         self.whole = _Words(list(self.squashed))
         self.memo: dict[str, int] = {}
         self.alike: dict[str, dict[str, float]] = {}
 
-    def spans(self, text: str) -> list[tuple[int, int, bool, int]]:
-        """Mentions in a flat text: length, start, whether by an alias, entry."""
+    def spans(self, text: str, value: str) -> list[tuple[int, int, int, int]]:
+        """Mentions in a flat text and the value it comes from: length, start, rank, entry."""
         if self.automaton is None:
             return []
-        return [(n, end - n - 1, alias, ref) for end, (n, alias, refs) in self.automaton.iter(f" {text} ") for ref in refs]
+        out = []
+        for end, (n, rank, refs) in self.automaton.iter(f" {text} "):
+            out.extend((n, end - n - 1, rank, ref) for ref, written in refs if rank < SHORT or any(_written(w, value) for w in written))
+        return out
 
     def _candidates(self, qs: list[str]) -> dict[str, dict[str, float]]:
         return {q: self._alike(q) for q in set(qs)}
@@ -188,7 +256,8 @@ class Matcher:
         hits = self.alike.get(q)
         if hits is None:
             hits = {}
-            for t in self.words.take(self.words.near(q, 2) | self.words.longer(q)):
+            for i in self.words.near(q) | self.words.longer(q):
+                t = self.words.words[i]
                 if s := token_score(q, t):
                     hits[t] = s
             if q in self.by_token:
@@ -239,7 +308,8 @@ class Matcher:
         most = 1 if len(key) < 12 else 2
         best, refs = most + 1, set()
         if len(key) >= 6:
-            for name in self.whole.take(self.whole.near(key, most)):
+            for i in self.whole.near(key):
+                name = self.whole.words[i]
                 if (k := edits(key, name, min(most, best))) <= min(most, best):
                     refs = self.squashed[name] if k < best else refs | self.squashed[name]
                     best = k
@@ -249,10 +319,10 @@ class Matcher:
         """What these entries say of a value; unless all of it, what cannot matter if there are no other entries is left out."""
         text = flat(value)
         key = text.replace(" ", "")
-        out = {"short": sorted(self.short.get(key, ())) if len(key) <= 6 else [], "spans": [], "best": 0.0, "second": 0.0, "ref": -1, "k": 0, "near": []}
+        out = {"short": sorted(self.short.get(key, ())), "spans": [], "best": 0.0, "second": 0.0, "ref": -1, "k": 0, "near": []}
         if out["short"]:
             return out
-        out["spans"] = [{"n": n, "at": at, "alias": alias, "ref": ref} for n, at, alias, ref in self.spans(text)]
+        out["spans"] = [{"n": n, "at": at, "rank": rank, "ref": ref} for n, at, rank, ref in self.spans(text, value)]
         if out["spans"]:
             return out
         ref, best, second = self.similar(value)
@@ -312,12 +382,12 @@ def map_values(values: DataFrame, references: dict[str, DataFrame]) -> DataFrame
     return out
 
 
-_EVIDENCE = "value string, short array<long>, spans array<struct<n: int, at: int, alias: boolean, ref: long>>, best double, second double, ref long, k int, near array<long>"
+_EVIDENCE = "value string, short array<long>, spans array<struct<n: int, at: int, rank: int, ref: long>>, best double, second double, ref long, k int, near array<long>"
 
 
 def _shard_evidence(values: pa.Table, entries: pa.Table) -> pa.Table:
     """Evidence of one shard on one bucket of values; values of which it says nothing fall away."""
-    span = pa.struct([("n", pa.int32()), ("at", pa.int32()), ("alias", pa.bool_()), ("ref", pa.int64())])
+    span = pa.struct([("n", pa.int32()), ("at", pa.int32()), ("rank", pa.int32()), ("ref", pa.int64())])
     kinds = pa.schema([("value", pa.string()), ("short", pa.list_(pa.int64())), ("spans", pa.list_(span)), ("best", pa.float64()), ("second", pa.float64()), ("ref", pa.int64()), ("k", pa.int32()), ("near", pa.list_(pa.int64()))])
     out = []
     if values.num_rows and entries.num_rows:
