@@ -2,11 +2,13 @@
 
 import random
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
 
-from vitaeflow.llm.packing import best_fit, complete, fill_containers, fill_histogram, lower_bound
+from vitaeflow.llm import packing
+from vitaeflow.llm.packing import best_fit, fill_containers, fill_histogram, fill_report, lower_bound
 from vitaeflow.llm.spans import FMIndex, shared_characters, sharing_pairs, suffix_array, winnowed
 from vitaeflow.llm.tokens import TOKENIZERS, Encoder, decoded, rank_file, token_counts, token_ids
 
@@ -60,26 +62,90 @@ def optimum(items, capacity):
     return best[0]
 
 
+def held(plan, capacity):
+    out = Counter()
+    for times, sizes in plan:
+        assert times > 0 and sum(sizes) <= capacity
+        for s in sizes:
+            out[s] += times
+    return out
+
+
 def test_bin_completion_is_optimal_on_small_cases():
     rng = random.Random(1)
     for _ in range(150):
         items = [rng.randint(1, 25) for _ in range(rng.randint(1, 11))]
-        bins = complete(items, 25)
-        assert Counter(x for b in bins for x in b) == Counter(items) and all(sum(b) <= 25 for b in bins)
-        assert len(bins) == optimum(items, 25) <= len(best_fit(items, 25)) and lower_bound(Counter(items), 25) <= len(bins)
-    assert complete([], 5) == []
+        counts = Counter(items)
+        got, fit = fill_histogram(counts, 25), best_fit(counts, 25)
+        assert held(got.plan, 25) == counts == held(fit, 25) and got.nodes > 0
+        assert got.containers == got.bound == optimum(items, 25) <= sum(t for t, _ in fit) and lower_bound(counts, 25) <= got.bound
+    assert fill_histogram({}, 5) == ([], 0, 0)
+
+
+def plain_best_fit(items, capacity):
+    rooms = []
+    for x in sorted(items, reverse=True):
+        fits = [r for r in rooms if r >= x]
+        if fits:
+            rooms.remove(min(fits))
+        rooms.append((min(fits) if fits else capacity) - x)
+    return len(rooms)
+
+
+def test_best_fit_over_a_histogram_is_best_fit():
+    rng = random.Random(8)
+    for _ in range(200):
+        items = [rng.randint(1, 40) for _ in range(rng.randint(1, 60))] * rng.randint(1, 3)
+        assert sum(t for t, _ in best_fit(Counter(items), 40)) == plain_best_fit(items, 40)
+
+
+def test_triplets_are_filled_without_waste():
+    for seed in range(3):
+        rng, items = random.Random(seed), []
+        for _ in range(40):
+            a = rng.randint(380, 490)
+            b = rng.randint(250, (1000 - a) // 2)
+            items += [a, b, 1000 - a - b]
+        got = fill_histogram(Counter(items), 1000)
+        assert got.containers == got.bound == 40 < sum(t for t, _ in best_fit(Counter(items), 1000)) and held(got.plan, 1000) == Counter(items)
+
+
+def test_effort_is_bounded_and_the_gap_is_told(spark):
+    rng, items = random.Random(1), []
+    for _ in range(40):
+        a = rng.randint(380, 490)
+        b = rng.randint(250, (1000 - a) // 2)
+        items += [a, b, 1000 - a - b]
+    got = fill_histogram(Counter(items), 1000, most_nodes=500)
+    assert got.nodes <= 500 and 41 <= got.containers <= sum(t for t, _ in best_fit(Counter(items), 1000)) and got.bound == 40
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(items)], "doc_id long, n_tokens long")
+    assert fill_report(df, 1000, most_nodes=500).first() == (got.containers, 40, got.containers - 40, 120, 40_000, (got.containers - 40) * 1_000) and fill_report(df.where("false"), 1000).first() == (0, 0, 0, 0, 0, 0)
+
+
+def test_undominated_fillings_equal_a_full_enumeration():
+    rng = random.Random(6)
+    for _ in range(60):
+        counts = Counter(rng.randint(1, 12) for _ in range(rng.randint(1, 7)))
+        left = packing._Left(counts, 20)
+        room, waste = rng.randint(1, 20), rng.randint(0, 3)
+        got = [f for _, f in packing.fillings(left, room, waste)]
+        every = {c for n in range(8) for c in combinations(sorted(counts.elements(), reverse=True), n) if 0 <= room - sum(c) <= waste}
+        assert len(got) == len(set(got)) and set(got) <= every
+        wastes = [room - sum(f) for f in got]
+        assert wastes == sorted(wastes) and bool(got) == bool([f for f in every if not packing._dominated(left, f, room - sum(f))])
 
 
 def test_histogram_plan_holds_every_item():
     rng = random.Random(2)
     counts = Counter(min(2048, int(rng.lognormvariate(6, 1)) + 1) for _ in range(20_000))
-    plan = fill_histogram(counts, 2048)
-    held = Counter()
-    for times, sizes in plan:
-        assert sum(sizes) <= 2048
-        for s in sizes:
-            held[s] += times
-    assert held == counts and sum(t for t, _ in plan) <= lower_bound(counts, 2048) + 1
+    got = fill_histogram(counts, 2048)
+    assert held(got.plan, 2048) == counts and got.containers == got.bound
+
+
+def test_assignment_depends_on_the_items_alone(spark):
+    df = spark.createDataFrame([(i, 10 + i % 7) for i in range(300)], "doc_id long, n_tokens long")
+    a, b = (fill_containers(df.repartition(n, "n_tokens"), 64).orderBy("doc_id").collect() for n in (1, 7))
+    assert a == b
 
 
 def test_containers_frame(spark):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 from .canonical import map_values
 from .names import same_person, same_person_pairs
-from .packing import fill_containers
+from .packing import fill_containers, fill_report
 from .scans import scan_damage
 from .spans import shared_characters, sharing_pairs
 from .tokens import token_counts, token_ids
@@ -110,6 +110,11 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return fill_containers(token_counts(table(spark, d, "documents")), CAPACITY)
 
 
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used, the lower bound, and the room left unused."""
+    return fill_report(token_counts(table(spark, d, "documents")), CAPACITY)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents with a common substring of 200 or more characters."""
     return sharing_pairs(table(spark, d, "documents")).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
@@ -120,5 +125,5 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return shared_characters(table(spark, d, "documents")).withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_clusters, p3_found, p3_sources, p4_found, p4_repaired, p6_found, p6_unmatched, p7_ids, p8_containers, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_clusters, p3_found, p3_sources, p4_found, p4_repaired, p6_found, p6_unmatched, p7_ids, p8_containers, p8_report, p9_found, p9_shared)}
 ORACLE: dict[str, str] = {}
