@@ -335,7 +335,8 @@ def fill_containers(items: DataFrame, capacity: int, item: str = "doc_id", size:
     numbered from 0.
     """
     spark = items.sparkSession
-    ordered = _pieces(items, capacity, item, size).repartitionByRange(parallelism(spark), "size", "item", "part").sortWithinPartitions("size", "item", "part")
+    pieces = cut_lineage(_pieces(items, capacity, item, size))  # sampled for the ranges, then cut by them
+    ordered = pieces.repartitionByRange(parallelism(spark), "size", "item", "part").sortWithinPartitions("size", "item", "part")
     parts = cut_lineage(ordered.withColumn("pid", F.spark_partition_id()))
     cells = sorted((int(r[0]), int(r[1]), int(r[2])) for r in parts.where("size > 0").groupBy("size", "pid").agg(F.count("*")).collect())  # at most capacity + partitions
     counts: Counter = Counter()
