@@ -97,7 +97,8 @@ def test_editor_on_held_out_damage():
     counts = Counter(w for x in lines for w in re.findall(r"[^\W_]+-[^\W_]+|[^\W_]+", x))
     for x in lines:
         counts.update(re.findall(r"[^\W_]+", x))
-    editor = train_editor(dict(counts), sorted(set(lines))[:600])
+    editor = train_editor(dict(counts), sorted(set(lines))[:600], {"# annals of the republic": (40, 0.05), "la sierra, #": (9, 0.002)})
+    assert editor.headers == ["# annals of the republic"]
     rng = random.Random(9)
     right = total = 0
     for line in sorted(set(corpus(400, 2))):
@@ -110,7 +111,16 @@ def test_editor_on_held_out_damage():
     assert editor.repair("Federal\nThe Biographies   721\nDeputy, 1950") == "Federal Deputy, 1950"
     assert editor.repair("Federal\n- 278 -\nDepufy, 1950") == "Federal Deputy, 1950"
     assert editor.repair("Secretary of Press and Propa-\r\nganda") == "Secretary of Press and Propaganda"
-    assert editor.repair("Director of 174 political biographies General") == "Director of General"
+    # a header of the corpus inside a line, cut, on a line of its own, broken, and around another mark
+    for text in ("Director of 174 annals of the republic General", "Director of 174 Annals of the Republ General", "Director of\n12 ANNALS OF THE REPUBLIC\nGeneral", "Director of\n--- 3 annals of the republic PAGE 9 ---\nGeneral"):
+        assert editor.repair(text) == "Director of General", text
+    # headers of forms that no training has seen, known from their place and build
+    for header in ("Chapter 12   Lives of Note", "LIVES OF THE SENATORS 88", "77   Who Was Who", "Part 3 - 118", "~ 45 ~"):
+        assert editor.repair(f"Federal\n{header}\nDeputy, 1950") == "Federal Deputy, 1950", header
+        assert editor.repair(f"Secretary of Press and Propa-\n{header}\nganda") == "Secretary of Press and Propaganda", header
+    # text that begins with a number, or looks like a part of a header, stays
+    assert editor.repair("Notary Public No.\n27, Department of Water, 1950") == "Notary Public No. 27, Department of Water, 1950"
+    assert editor.repair("recorded in file\n214 of the registry") == "recorded in file 214 of the registry"
     long_ = "Federal Deputy, School of Agronomy, " * 8_000 + "Fed-\neral"
     assert editor.repair(long_).endswith("Federal")
 
