@@ -236,12 +236,9 @@ def state_of_school(c: Column) -> Column:
 
 def state_of_office(c: Column) -> Column:
     """State captured after governor, senator or deputy, legislature or mayor, else as named in the text."""
-    patterns = (
-        r"(?i)governor[,\s]+(?:of\s+)?(?:the\s+)?(?:state\s+of\s+)?([A-Za-z\s]+?)(?:\s*,|\s*\d{4})", r"(?i)(?:senator|federal deputy)\s+from\s+(?:the\s+)?(?:state\s+of\s+)?([A-Za-z\s]+?)(?:\s*,|\s*Dist)",
-        r"(?i)(?:state legislature|local deputy).+?(?:state\s+of\s+|Legislature\s+of\s+)([A-Za-z\s]+?)(?:\s*,|\s*\d)", r"(?i)mayor[,\s]+([A-Za-z\s]+?)(?:\s*,|\s*\d{4})")
     states = F.create_map(*[F.lit(x) for k, v in rules.STATE_VARIANTS for x in (k.lower(), v)])
     cities = F.create_map(*[F.lit(x) for k, v in rules.CITY_STATE.items() for x in (k, v)])
-    found = [F.try_element_at(states if i < 3 else cities, normal(F.trim(F.regexp_extract(c, p, 1)))) for i, p in enumerate(patterns)]
+    found = [F.try_element_at(states if i < 3 else cities, normal(F.trim(F.regexp_extract(c, p, 1)))) for i, p in enumerate(rules.OFFICE_STATE)]
     return F.coalesce(*found, state_in_text(c))
 
 

@@ -17,27 +17,46 @@ from ..functions import text as X
 ACRONYM = r"\b(CTM|SNTE|CNC|CNOP|FSTSE|CROC|CROM|STPRM|STFRM|SUTERM|COPARMEX|UOI|CTC|STIMAHCS|SUTGDF|CONASUPO|IMSS|ISSSTE|CFE|IPN|UNAM)\b"
 LOCAL_UNION = r"Local\s+No\.?\s*\d+\s*,\s*((?:Union|Sindicato|Federation)[^,;]{3,60})"
 BODY_NAME = r"\b((?:Union|Federation|Confederation|Confederacion|Federacion|Association|League|Liga|Chamber|College|Council|Alliance|Institute|Society|Cooperative|Syndicate|Sindicato|Committee)\s+(?:of\s+(?:the\s+)?)?[A-Za-z][A-Za-z\s\-]{2,60})"
+# Own patterns: organisations and schools as entries name them.
 NAMED_ORGANIZATIONS = (
     r"\b(Secretariat of (?:the )?[A-Z][A-Za-z]+(?: (?:and |of )?[A-Z][A-Za-z]+){0,4})", r"\b((?:National|Federal|General) (?:Commission|Board|Bank|Institute|Directorate|Council) of [A-Z][A-Za-z]+(?: (?:and )?[A-Z][A-Za-z]+){0,4})",
     r"\b((?:Department|Institute|Trust Fund|Union|Chamber|Confederation) (?:of|for) [A-Z][A-Za-z]+(?: (?:and )?[A-Z][A-Za-z]+){0,4})", r"\b([A-Z][a-z]+(?: [A-Z][a-z]+){0,2} Party)\b",
 )
 SCHOOLS = (r"\b(UNAM|IPN|ITAM|ITESM)\b", r"\b((?:[A-Z][a-z]+ ){0,3}(?:University|College|Institute|School)(?: of [A-Z][A-Za-z]+(?: (?:and |de |del |la |el )*[A-Z][A-Za-z]+){0,4})?)")
+# What an extracted name ends before, and what is no name.
 TRAILING = r"\s+(at|in|to|from|under|as|during|until|delegate|adviser|assistant|representative|coordinator|liaison|committees?)\b.*$"
 SERVICES = r"^(medical|health|clinical|surgical|dental|public\s+health)\s+services?$"
 DEPARTMENT = r"\b(Department\s+of\s+[A-Za-z][^,;0-9]{2,60})"
 TOP_DEPARTMENT = r"^Department of (the Federal District|Agrarian Affairs|Tourism)"
+# Titles of public posts, first match.
 TITLE_FILL = [
-    ("Senator", r"\b(plurinominal|alternate|party|constitutional|independent)\s+(federal\s+)?senator\b"), ("Federal Deputy", r"\b(plurinominal|alternate|party|constitutional|independent|federal)\s+(federal\s+)?deputy\b"),
-    ("Deputy", r"\bdeputy\s+to\s+(the\s+)?constitutional\s+convention\b|\bdeputy,?\s+constitutional\s+convention\b"), ("Local Deputy", r"\bdeputy\s+to\s+(state\s+legislature|state\s+congress)\b|\blocal\s+deputy\b"),
-    ("Representative", r"\brepresentative\s+to\s+(the\s+)?assembly\b"), ("Governor", r"\bgovernor[\s-]elect\b|\b(substitute|provisional|acting|interim)\s+governor\b"), ("Alternate Mayor", r"\b(alternate|vice)\s+mayor\b"),
+    ("Senator", r"\b(?:plurinominal|alternate|party|constitutional|independent)\s+(?:federal\s+)?senator\b"),
+    ("Federal Deputy", r"\b(?:plurinominal|alternate|party|constitutional|independent|federal)\s+(?:federal\s+)?deputy\b"),
+    ("Deputy", r"\bdeputy\s+to\s+(?:the\s+)?constitutional\s+convention\b"),
+    ("Deputy", r"\bdeputy,?\s+constitutional\s+convention\b"),
+    ("Deputy", r"\bconstitutional\s+deputy\b"),
+    ("Federal Deputy", r"\bfederal\s+party\s+deputy\b"),
+    ("Federal Deputy", r"\balternate\s+(?:federal\s+)?deputy\b"),
+    ("Local Deputy", r"\balternate\s+(?:local\s+)?deputy\b"),
+    ("Local Deputy", r"\blocal\s+deputy\s+to\s+(?:state\s+legislature|the\s+legislature)\b"),
+    ("Local Deputy", r"\bdeputy\s+to\s+(?:state\s+legislature|state\s+congress)\b"),
+    ("Representative", r"\brepresentative\s+to\s+(?:the\s+)?assembly\b|\brepresentative\s+to\s+(?:the\s+)?federal\s+district\s+assembly\b"),
+    ("Governor", r"\bgovernor[\s-]elect\b"),
+    ("Governor", r"\bsubstitute\s+governor\b|\bprovisional\s+governor\b|\bacting\s+governor\b|\binterim\s+governor\b"),
+    ("Alternate Mayor", r"\balternate\s+mayor\b|\bvice\s+mayor\b"),
+    ("Senator", r"\balternate\s+senator\b"),
+    ("Local Deputy", r"\bplurino\w*\s+local\s+deputy\b|\bplurino\w*\s+(?:state\s+)?deputy\b"),
 ]
+# Offices, titles and bodies.
 LOCAL_OFFICE = r"\b(mayor|alternate\s+mayor|vice\s+mayor|municipal\s+president|city\s+council|municipal\s+council|municipal\s+treasurer|municipal\s+secretary|syndic|regidor|ayuntamiento)\b"
 CHAMBER_TITLES = ("Federal Deputy", "Senator", "Representative", "Vice President", "Member", "President", "Secretary", "Delegate", "Coordinator", "Head", "Oficial Mayor", "Director")
 LOCAL_TITLES = ("Governor", "Mayor", "Local Deputy", "Alternate Mayor")
 LOCAL_SECTION = r"\b(Local|Section|Seccion)\s+No\.?\s*\d+\b"
 LOCAL_BODY = r"\b(ejido|municipal|city\s+of)\b"
 ABROAD = r"\b(ambassador|consul\s+general|consul|embassy|consulate|charge\s+d.affaires)\b"
-FEDERAL_ORGANIZATION = r"\b(secretariat|federal|national|general directorate|supreme court|presidency)\b"
+# Federal organisations; the Department of the Federal District is none.
+FEDERAL_ORGANIZATION = r"secretariat of|bank of mexico|nacional financiera|banrural|banobras|pemex|petroleos mexicanos|cfe\b|federal electric|imss|issste|infonavit|conasupo|supreme court|chamber of deputies|senate\b|national polytechnic|national finance bank|foreign trade bank|economics cabinet|national commission|national institute"
+CAPITAL_DEPARTMENT = r"department of the federal district"
 OUT_OF_SCOPE = r"distant|third|fourth|removed"
 
 
@@ -88,7 +107,7 @@ def sub_department(c: Column) -> Column:
 
 def is_federal(organization: Column, state: Column, text: Column) -> Column:
     """Federal, not federal or unknown: by the organisation, then by a state outside the capital unless the post is a secretary's."""
-    return F.when(organization.rlike(f"(?i){FEDERAL_ORGANIZATION}"), True).when(state.isNotNull() & (state != "Federal District"), F.coalesce(text.rlike(r"(?i)\bsecretary\s+of\b|\bsecretary,"), F.lit(False)))
+    return F.when(organization.rlike(f"(?i){CAPITAL_DEPARTMENT}"), False).when(organization.rlike(f"(?i){FEDERAL_ORGANIZATION}"), True).when(state.isNotNull() & (state != "Federal District"), F.coalesce(text.rlike(r"(?i)\bsecretary\s+of\b|\bsecretary,"), F.lit(False)))
 
 
 def reextracted(old_text: Column, new_text: Column, start: Column, end: Column) -> tuple[Column, Column]:

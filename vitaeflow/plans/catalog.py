@@ -788,7 +788,7 @@ def municipalities(spark, d):
     return x.select("record_id", "town", clean.state_of_town(F.col("state"), F.col("town")).alias("state_filled"))
 
 
-_FED = f"CASE WHEN {V.like('organization', clean.FEDERAL_ORGANIZATION)} THEN true WHEN state IS NOT NULL AND state <> 'Federal District' THEN {V.like('role_text_raw', chr(92) + 'bsecretary' + chr(92) + 's+of' + chr(92) + 'b|' + chr(92) + 'bsecretary,')} END"
+_FED = f"CASE WHEN {V.like('organization', clean.CAPITAL_DEPARTMENT)} THEN false WHEN {V.like('organization', clean.FEDERAL_ORGANIZATION)} THEN true WHEN state IS NOT NULL AND state <> 'Federal District' THEN {V.like('role_text_raw', chr(92) + 'bsecretary' + chr(92) + 's+of' + chr(92) + 'b|' + chr(92) + 'bsecretary,')} END"
 
 
 @query(f"WITH {V.PP}, x AS (SELECT record_id, state, role_text_raw, {_FED} AS is_federal FROM pp WHERE field_type = 'govt_positions') SELECT record_id, is_federal, coalesce(state, CASE WHEN is_federal AND NOT {V.like('role_text_raw', clean.ABROAD)} THEN 'Federal District' END) AS work_state FROM x")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,9 +39,23 @@ def egos(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "roster").select("person_id").distinct()
 
 
+_NOT_BEFORE = re.compile(r"^(?:(?P<other>.+)\|)?(?P<word>\\b\w+\\b)\(\?!(?P<after>.+)\)$")
+
+
+def matches(c: str, pattern: str) -> str:
+    """The SQL form of a pattern; a word that must not stand before another is looked for where those are blotted out."""
+    quote = lambda p: p.replace("'", "''")
+    m = _NOT_BEFORE.match(pattern)
+    if not m:
+        return f"regexp_matches({c}, '(?i){quote(pattern)}')"
+    blotted = f"regexp_replace({c}, '(?i){quote(m['word'] + m['after'])}', chr(1), 'g')"
+    word = f"regexp_matches({blotted}, '(?i){quote(m['word'])}')"
+    return f"(regexp_matches({c}, '(?i){quote(m['other'])}') OR {word})" if m["other"] else word
+
+
 def case(c: str, labels: Sequence[tuple[str, str]], default: str | None = None) -> str:
     """The SQL form of an ordered cascade."""
-    arms = " ".join(f"WHEN regexp_matches({c}, '(?i){p.replace(chr(39), chr(39) * 2)}') THEN '{label}'" for label, p in labels)
+    arms = " ".join(f"WHEN {matches(c, p)} THEN '{label}'" for label, p in labels)
     return f"(CASE {arms} ELSE {'NULL' if default is None else chr(39) + default + chr(39)} END)"
 
 
