@@ -7,11 +7,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from vitaeflow.plans import catalog, problems
+from vitaeflow.plans import catalog, problems, repairs
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = catalog.QUERIES | problems.QUERIES
-ORACLE = catalog.ORACLE | problems.ORACLE
+QUERIES = catalog.QUERIES | repairs.QUERIES | problems.QUERIES
+ORACLE = catalog.ORACLE | repairs.ORACLE | problems.ORACLE
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no driver tables here")
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..functions.text import match_tokens, normal
 from .relops import top_k
 
@@ -41,25 +44,44 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0)), F.lit(0.0))
 
 
-PREFIX = r"(?i)^(university|school|institute|secretariat|department|national|federal|general|union|chamber|confederation|trust fund|autonomous|technological|higher|normal|preparatory|free|polytechnic|heroic)\b"
+def organization_tokens(c: Column) -> Column:
+    """Words of an organisation's name, each once: lower case without accents and signs, small words left out."""
+    words = F.split(F.trim(F.regexp_replace(normal(c), r"[^a-z0-9\s]", "")), r"\s+")
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(*rules.ORGANIZATION_STOP)))
+
+
+def organization_prefix(c: Column) -> Column:
+    """The structural prefix of a name, the first of the list."""
+    return F.coalesce(*[F.when(F.startswith(F.lower(c), F.lit(p)), F.lit(p)) for p in rules.ORGANIZATION_PREFIXES])
+
+
+def _alike(sets: DataFrame, least: float, within: Sequence[str] = ()) -> DataFrame:
+    """``a, b, similarity`` of names whose sets ``t`` are alike enough.
+
+    Two sets of that similarity share one of the rarest words of each, so many as the
+    threshold leaves, and meet in those words only: a word that a third of all names hold
+    is reached by hardly any set."""
+    words = sets.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("f"))
+    told = sets.select("n", F.explode("t").alias("w")).join(words, "w").groupBy("n").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("o"))
+    keep = F.size("t") - F.ceil(F.lit(least) * F.size("t") - F.lit(1e-9)).cast("int") + 1
+    keyed = sets.join(told, "n").select("n", "t", *within, F.explode(F.transform(F.slice("o", 1, keep), lambda x: x["w"])).alias("w"))
+    a, b = (keyed.select("w", *within, F.col("n").alias(s), F.col("t").alias(f"t{s}")) for s in "ab")
+    near = (F.col("a") < F.col("b")) & (F.size("ta") >= least * F.size("tb") - 1e-9) & (F.size("tb") >= least * F.size("ta") - 1e-9)
+    met = a.join(b, ["w", *within]).where(near).dropDuplicates(["a", "b"])
+    return met.select("a", "b", F.round(jaccard(F.col("ta"), F.col("tb")), 6).alias("similarity")).where(F.col("similarity") >= least)
 
 
 def similar_names(df: DataFrame, name: str, least_same: float = 0.6, least_other: float = 0.7) -> DataFrame:
-    """``a, b, similarity``: different names that share a token and are alike enough.
-
-    Names with the same structural prefix are compared without the prefix, others in full."""
-    names = df.where(F.col(name).isNotNull()).select(F.col(name).alias("n")).distinct().select("n", match_tokens(F.col("n")).alias("t"), F.lower(F.regexp_extract("n", PREFIX, 1)).alias("p"))
-    names = names.where(F.size("t") > 0)
-    keyed = names.withColumn("k", F.explode("t"))
-    a = keyed.select("k", F.col("n").alias("a"), F.col("t").alias("ta"), F.col("p").alias("pa"))
-    b = keyed.select("k", F.col("n").alias("b"), F.col("t").alias("tb"), F.col("p").alias("pb"))
-    first = F.try_element_at(F.array_sort(F.array_intersect("ta", "tb")), F.lit(1))
-    met = a.join(b, "k").where((F.col("a") < F.col("b")) & (F.col("k") == first))  # each pair in its smallest common token only
-    rest = lambda t: F.array_except(t, F.split(F.col("pa"), " "))
-    same = (F.col("pa") == F.col("pb")) & (F.col("pa") != "")
-    ra, rb = rest(F.col("ta")), rest(F.col("tb"))
-    sim = F.when(same, jaccard(ra, rb)).otherwise(jaccard(F.col("ta"), F.col("tb")))
-    return met.withColumn("similarity", F.round(sim, 6)).where(F.when(same, (F.size(ra) > 0) & (F.size(rb) > 0) & (sim >= least_same)).otherwise(sim >= least_other)).select("a", "b", "similarity")
+    """``a, b, similarity``: different names whose words are alike enough.
+
+    Names with the same structural prefix are compared without it, others in full."""
+    names = df.where(F.col(name).isNotNull()).select(F.col(name).alias("n")).distinct()
+    names = names.select("n", organization_tokens(F.col("n")).alias("t"), organization_prefix(F.col("n")).alias("p"))
+    content = names.where("p is not null").select("n", F.array_except("t", F.split("p", " ")).alias("t"), "p").where(F.size("t") > 0)
+    same = _alike(content, least_same, ["p"])
+    prefixes = names.select(F.col("n").alias("a"), F.col("p").alias("pa")), names.select(F.col("n").alias("b"), F.col("p").alias("pb"))
+    other = _alike(names.where(F.size("t") > 0).select("n", "t"), least_other).join(prefixes[0], "a").join(prefixes[1], "b").where("pa is null or pb is null or pa <> pb")
+    return same.unionByName(other.select("a", "b", "similarity"))
 
 
 def surname_pairs(egos: DataFrame, people: DataFrame, pid: str, name: str) -> DataFrame:

@@ -21,13 +21,16 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], a: tupl
 
 def bucketed_overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], a: tuple[str, str], b: tuple[str, str], within: int = 0, width: int = 10) -> DataFrame:
     """The same pairs for keys with very many intervals: both sides are cut into buckets of
-    ``width`` years, meet per bucket, and a pair counts in the bucket of its later start only."""
-    cut = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width)))
-    l, r = left.where(F.col(a[0]) <= F.col(a[1])), right.where(F.col(b[0]) <= F.col(b[1]))
-    lb = l.withColumn("_hi", F.col(a[1]) + within).withColumn("_bucket", cut(a[0], "_hi")).drop("_hi")
-    rb = r.withColumn("_rhi", F.col(b[1]) + within).withColumn("_bucket", cut(b[0], "_rhi")).drop("_rhi")
-    met = lb.join(rb, [*keys, "_bucket"]).where(overlaps(F.col(a[0]), F.col(a[1]), F.col(b[0]), F.col(b[1]), within))
-    return met.where(F.col("_bucket") == F.floor(F.greatest(F.col(a[0]), F.col(b[0])) / width)).drop("_bucket")
+    ``width`` years, meet per bucket, and a pair counts in the bucket of its later start only.
+    Reversed years reach from the lesser to the greater one."""
+
+    def cut(df: DataFrame, ends: tuple[str, str]) -> DataFrame:
+        low, high = F.least(*ends), F.greatest(*ends) + within
+        return df.where(low.isNotNull()).withColumn("_bucket", F.explode(F.sequence(F.floor(low / width), F.floor(high / width))))
+
+    met = cut(left, a).join(cut(right, b), [*keys, "_bucket"]).where(overlaps(F.col(a[0]), F.col(a[1]), F.col(b[0]), F.col(b[1]), within))
+    later = F.greatest(F.least(*a), F.least(*b))
+    return met.where(F.col("_bucket") == F.floor(later / width)).drop("_bucket")
 
 
 def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str, b: str, band: int) -> DataFrame:

@@ -72,26 +72,32 @@ def focus_refined(spark, d):
     return e.join(size, "organization").select("record_id", focus.alias("focus")).where("focus is not null")
 
 
+# Names of the connections by field.
+CONNECTIONS = {
+    "govt_positions": "shared_government", "education": "shared_education", "party_positions": "shared_party", "public_positions": "shared_public_office", "labor_positions": "shared_labor", "other_positions": "shared_other",
+}
+_KINDS_SQL = "CASE t.field_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CONNECTIONS.items()) + " END"
 _WORK_SQL = f"""WITH {V.PP}, r AS (SELECT person_id, field_type, CASE WHEN length(trim(organization)) >= 3 THEN trim(organization) END AS org, state, year_start AS a, coalesce(year_end, year_start) AS b FROM pp
- WHERE field_type IN ('govt_positions', 'labor_positions', 'other_positions') AND year_start IS NOT NULL),
- t AS (SELECT * FROM r WHERE person_id IN (SELECT person_id FROM roster)), o AS (SELECT * FROM r WHERE person_id NOT IN (SELECT person_id FROM roster WHERE person_id IS NOT NULL)),
- so AS (SELECT org FROM r WHERE org IS NOT NULL GROUP BY org HAVING count(DISTINCT person_id) <= 200), ss AS (SELECT state FROM r WHERE org IS NULL AND state IS NOT NULL GROUP BY state HAVING count(DISTINCT person_id) <= 200)
-SELECT DISTINCT t.person_id AS person_a, o.person_id AS person_b, t.field_type AS connection_type, t.org AS detail FROM t JOIN o ON t.org = o.org AND t.field_type = o.field_type AND t.a <= o.b AND o.a <= t.b WHERE t.org IN (SELECT org FROM so)
-UNION SELECT DISTINCT t.person_id, o.person_id, t.field_type, t.state FROM t JOIN o ON t.state = o.state AND t.field_type = o.field_type AND t.a <= o.b AND o.a <= t.b WHERE t.org IS NULL AND o.org IS NULL AND t.state IN (SELECT state FROM ss)"""
+ WHERE field_type IN ('{"', '".join(CONNECTIONS)}') AND year_start IS NOT NULL),
+ t AS (SELECT * FROM r WHERE person_id IN (SELECT person_id FROM roster)), o AS (SELECT * FROM r WHERE person_id NOT IN (SELECT person_id FROM roster WHERE person_id IS NOT NULL))
+SELECT DISTINCT t.person_id AS person_a, o.person_id AS person_b, {_KINDS_SQL} AS connection_type, t.org AS detail FROM t JOIN o ON t.org = o.org AND t.field_type = o.field_type AND t.a <= o.b AND o.a <= t.b
+UNION SELECT DISTINCT t.person_id, o.person_id, {_KINDS_SQL}, t.state FROM t JOIN o ON t.state = o.state AND t.field_type = o.field_type AND t.a <= o.b AND o.a <= t.b WHERE t.org IS NULL AND o.org IS NULL"""
 
 
 @query(_WORK_SQL)
 def coloc_org_then_state(spark, d):
     """Targets and others at one organisation at one time, or in one state where neither names an organisation."""
-    r = V.positions(spark, d, "person_id", "field_type", "organization", "state", "year_start", "year_end").where(F.col("field_type").isin("govt_positions", "labor_positions", "other_positions") & F.col("year_start").isNotNull())
+    r = V.positions(spark, d, "person_id", "field_type", "organization", "state", "year_start", "year_end").where(F.col("field_type").isin(*CONNECTIONS) & F.col("year_start").isNotNull())
     r = r.select("person_id", "field_type", F.when(F.length(F.trim("organization")) >= 3, F.trim("organization")).alias("org"), "state", F.col("year_start").alias("a"), F.coalesce("year_end", "year_start").alias("b"))
     ego = V.egos(spark, d)
+    kinds = F.create_map(*[F.lit(x) for kv in CONNECTIONS.items() for x in kv])
 
     def linked(rows, key):
-        rows = relops.focus_capped(rows.where(F.col(key).isNotNull()), key, "person_id", 200)
-        t = rows.join(ego, "person_id", "left_semi").select(key, "field_type", F.col("person_id").alias("person_a"), "a", "b")
-        o = rows.join(ego, "person_id", "left_anti").select(key, "field_type", F.col("person_id").alias("person_b"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-        return intervals.overlap_join(t, o, [key, "field_type"], ("a", "b"), ("a2", "b2")).select("person_a", "person_b", F.col("field_type").alias("connection_type"), F.col(key).alias("detail"))
+        rows = rows.where(F.col(key).isNotNull())
+        t = rows.join(ego, "person_id", "left_semi").select(key, "field_type", F.col("person_id").alias("person_a"), "a", "b").distinct()
+        o = rows.join(ego, "person_id", "left_anti").select(key, "field_type", F.col("person_id").alias("person_b"), F.col("a").alias("a2"), F.col("b").alias("b2")).distinct()
+        # a focus that holds a third of all rows is met in buckets of years
+        return intervals.bucketed_overlap_join(t, o, [key, "field_type"], ("a", "b"), ("a2", "b2")).select("person_a", "person_b", F.try_element_at(kinds, F.col("field_type")).alias("connection_type"), F.col(key).alias("detail"))
 
     return linked(r.where("org is not null"), "org").unionByName(linked(r.where("org is null"), "state")).distinct()
 
@@ -131,11 +137,11 @@ def position_in_year(spark, d):
     return _panel(spark, d)
 
 
-@query(_PANEL_SQL + "SELECT person_id, election, " + ", ".join(f"max(CASE WHEN year = election + {k} THEN position END) AS {'m' if k < 0 else 'p'}{abs(k)}" for k in range(-2, 3)) + " FROM panel GROUP BY person_id, election")
+@query(_PANEL_SQL + "SELECT person_id, election, " + ", ".join(f"max(CASE WHEN year = election + {k} THEN position END) AS {'m' if k < 0 else 'p'}{abs(k)}" for k in range(-6, 7)) + " FROM panel GROUP BY person_id, election")
 def position_panel_pivot(spark, d):
     """The same, one row per candidacy with a column per year."""
     at = F.col("year") - F.col("election")
-    return _panel(spark, d).groupBy("person_id", "election").agg(*[F.max(F.when(at == k, F.col("position"))).alias(f"{'m' if k < 0 else 'p'}{abs(k)}") for k in range(-2, 3)])
+    return _panel(spark, d).groupBy("person_id", "election").agg(*[F.max(F.when(at == k, F.col("position"))).alias(f"{'m' if k < 0 else 'p'}{abs(k)}") for k in range(-6, 7)])
 
 
 @query(f"WITH {V.EDGES} SELECT ego_id, count(*) AS n_edges, count(DISTINCT alter_id) AS n_alters FROM eg GROUP BY ego_id")
@@ -242,16 +248,19 @@ def fuzzy_match_substring(spark, d):
     return fuzzy.substring_match(q, _people(spark, d), "name", "name", "person_id", "person_name")
 
 
-_SIM_SQL = rf"""n AS (SELECT DISTINCT org_name AS n FROM ref_organizations), t AS (SELECT n, {V.TOKENS_SQL.format(c="n")} AS t, lower(regexp_extract(n, '{fuzzy.PREFIX}', 1)) AS p FROM n),
-x AS (SELECT a.n AS a, b.n AS b, a.p <> '' AND a.p = b.p AS same, a.t AS ta, b.t AS tb, list_filter(a.t, lambda w: NOT list_contains(string_split(a.p, ' '), w)) AS ra, list_filter(b.t, lambda w: NOT list_contains(string_split(a.p, ' '), w)) AS rb FROM t a JOIN t b ON a.n < b.n AND list_has_any(a.t, b.t)),
+_OTOK = lambda c: f"list_distinct(list_filter(string_split_regex(trim(regexp_replace(strip_accents(lower({c})), '[^a-z0-9\\s]', '', 'g')), '\\s+'), lambda x: length(x) >= 2 AND x NOT IN {tuple(rules.ORGANIZATION_STOP)}))"
+_PRE = "coalesce(" + ", ".join(f"CASE WHEN starts_with(lower(n), '{p}') THEN '{p}' END" for p in rules.ORGANIZATION_PREFIXES) + ", '')"
+_SIM_SQL = f"""n AS (SELECT DISTINCT organization AS n FROM education WHERE organization IS NOT NULL), t AS (SELECT n, {_OTOK("n")} AS t, {_PRE} AS p FROM n),
+u AS (SELECT n, p, t, list_filter(t, lambda w: NOT list_contains(string_split(p, ' '), w)) AS r FROM t),
+x AS (SELECT a.n AS a, b.n AS b, a.p <> '' AND a.p = b.p AS same, a.t AS ta, b.t AS tb, a.r AS ra, b.r AS rb FROM u a JOIN u b ON a.n < b.n AND list_has_any(a.t, b.t)),
 y AS (SELECT a, b, same, len(ra) AS la, len(rb) AS lb, round(CASE WHEN same THEN len(list_intersect(ra, rb)) / nullif(len(list_distinct(list_concat(ra, rb))), 0)::DOUBLE ELSE len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb)))::DOUBLE END, 6) AS similarity FROM x),
 pairs AS (SELECT a, b, similarity FROM y WHERE CASE WHEN same THEN la > 0 AND lb > 0 AND similarity >= 0.6 ELSE similarity >= 0.7 END)"""
 
 
 @query(f"WITH {_SIM_SQL} SELECT * FROM pairs")
 def token_block_jaccard(spark, d):
-    """Organisation names that are alike by their tokens."""
-    return fuzzy.similar_names(table(spark, d, "ref_organizations"), "org_name")
+    """School names that are alike by their tokens."""
+    return fuzzy.similar_names(table(spark, d, "education"), "organization")
 
 
 _COMP_SQL = f"""WITH RECURSIVE {_SIM_SQL}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT a AS node, a AS other FROM e UNION SELECT r.node, e.b FROM reach r JOIN e ON r.other = e.a),
@@ -260,16 +269,16 @@ comp AS (SELECT node, min(other) AS component FROM reach GROUP BY node)"""
 
 @query(_COMP_SQL + " SELECT * FROM comp")
 def org_components(spark, d):
-    """Clusters of alike organisation names."""
-    return graph.connected_components(fuzzy.similar_names(table(spark, d, "ref_organizations"), "org_name"))
+    """Clusters of alike school names."""
+    return graph.connected_components(fuzzy.similar_names(table(spark, d, "education"), "organization"))
 
 
-@query(_COMP_SQL + """, g AS (SELECT r.org_name, r.org_id, coalesce(c.component, r.org_name) AS component FROM ref_organizations r LEFT JOIN comp c ON c.node = r.org_name),
-best AS (SELECT component, org_name AS canonical FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY length(org_name) DESC, org_id) AS k FROM g) WHERE k = 1) SELECT g.org_name, best.canonical FROM g JOIN best USING (component)""")
+@query(_COMP_SQL + """, o AS (SELECT organization AS name, min(record_id) AS seq FROM education WHERE organization IS NOT NULL GROUP BY organization), g AS (SELECT o.name, o.seq, coalesce(c.component, o.name) AS component FROM o LEFT JOIN comp c ON c.node = o.name),
+best AS (SELECT component, name AS canonical FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY length(name) DESC, seq) AS k FROM g) WHERE k = 1) SELECT g.name, best.canonical FROM g JOIN best USING (component)""")
 def org_canonical(spark, d):
-    """Every organisation name with the longest name of its cluster."""
-    names = table(spark, d, "ref_organizations").select("org_name", "org_id")
-    return graph.canonical_names(names, fuzzy.similar_names(names, "org_name"), "org_name", "org_id")
+    """Every school name with the longest name of its cluster."""
+    names = table(spark, d, "education").where("organization is not null").groupBy(F.col("organization").alias("name")).agg(F.min("record_id").alias("seq"))
+    return graph.canonical_names(names, fuzzy.similar_names(names, "name"), "name", "seq")
 
 
 @query(f"""WITH {_PEOPLE_SQL}, s AS (SELECT person_id, unnest({V.TOKENS_SQL.format(c="string_split(person_name, ',')[1]")}) AS t FROM p), e AS (SELECT * FROM s WHERE person_id IN (SELECT person_id FROM roster)),
@@ -296,15 +305,8 @@ def name_split(spark, d):
     return table(spark, d, "biographies").select("bio_row", *[c.alias(n) for n, c in X.split_person(F.col("name")).items()])
 
 
-@query("SELECT doc_id, strip_accents(text) AS plain FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x{24F}–—«»“”‘’…¿¡€•°]')")
-def accents_stripped(spark, d):
-    """Texts of Latin script without accents."""
-    docs = table(spark, d, "documents").where(F.col("text").isNotNull() & ~F.col("text").rlike("[^\\x{0}-\\x{24F}–—«»“”‘’…¿¡€•°]"))
-    return docs.select("doc_id", X.strip_accents(F.col("text")).alias("plain"))
-
-
 @query()
-def accents_stripped_all(spark, d):
+def accents_stripped(spark, d):
     """Texts of every script without accents."""
     return table(spark, d, "documents").where("text is not null").select("doc_id", X.strip_accents(F.col("text")).alias("plain"))
 
@@ -503,15 +505,9 @@ def _years_of(positions: DataFrame) -> DataFrame:
     return positions.select("record_id", a.alias("y0"), b.alias("y1"), X.strip_years(F.col("role_text_raw")).alias("role"))
 
 
-@query(f"WITH {V.PP} SELECT record_id, {_Y0} AS y0, {_Y1} AS y1, {_STRIP} AS role FROM pp WHERE NOT contains(role_text_raw, chr(10))")
+@query(f"WITH {V.PP} SELECT record_id, {_Y0} AS y0, {_Y1} AS y1, {_STRIP} AS role FROM pp")
 def year_extract(spark, d):
-    """Years of every one-line role text, and the text without them."""
-    return _years_of(V.positions(spark, d, "role_text_raw").where(~F.col("role_text_raw").contains("\n")))
-
-
-@query()
-def year_extract_all(spark, d):
-    """Years of every role text, of several lines too, and the text without them."""
+    """Years of every role text, and the text without them."""
     return _years_of(V.positions(spark, d, "role_text_raw"))
 
 
@@ -558,24 +554,25 @@ def entry_split_explode(spark, d):
     return relops.split_entries(table(spark, d, "biographies").select("bio_row", "govt_positions"), "govt_positions").drop("govt_positions")
 
 
-@query("SELECT bio_row, " + ", ".join(f"nullif(trim(string_split(govt_positions, ';')[{i + 1}]), '') AS entry_{i}" for i in range(4)) + " FROM biographies")
+MOST_ENTRIES = 36  # fixed value: the longest cell of the model
+_AT = lambda i: f"nullif(trim(string_split(govt_positions, ';')[{i + 1}]), '')"
+
+
+@query("SELECT bio_row, " + ", ".join(f"{_AT(i)} AS entry_{i}, {V.YEARS_SQL.format(c=_AT(i), g=1)} AS start_{i}, {V.YEARS_SQL.format(c=_AT(i), g=2)} AS end_{i}" for i in range(MOST_ENTRIES)) + " FROM biographies")
 def positional_wide(spark, d):
-    """The first four government entries side by side."""
-    return table(spark, d, "biographies").select("bio_row", *[c.alias(f"entry_{i}") for i, c in enumerate(relops.positional_wide(F.col("govt_positions"), 4))])
+    """The government entries side by side, each with its first and last year."""
+    cells = relops.positional_wide(F.col("govt_positions"), MOST_ENTRIES)
+    years = [X.years(F.col(f"entry_{i}")) for i in range(MOST_ENTRIES)]
+    wide = table(spark, d, "biographies").select("bio_row", *[c.alias(f"entry_{i}") for i, c in enumerate(cells)])
+    return wide.select("*", *[c.alias(f"{n}_{i}") for i, y in enumerate(years) for n, c in zip(("start", "end"), y)])
 
 
 _BIO = ("public_positions", "party_positions", "govt_positions", "labor_positions", "other_positions")
 _ENTRIES = " UNION ALL ".join(f"SELECT bio_row, {i} AS ordinal, '{f}' AS field_type, pos, entry FROM ({_SPLIT.format(c=f)})" for i, f in enumerate(_BIO))
 
 
-@query(f"WITH s AS ({_ENTRIES}) SELECT bio_row, ordinal, field_type, pos, entry AS role_text_raw, {V.STRIP_SQL.format(c='entry')} AS role_text, {V.YEARS_SQL.format(c='entry', g=1)} AS year_start, {V.YEARS_SQL.format(c='entry', g=2)} AS year_end FROM s WHERE length(entry) >= 5 AND NOT contains(entry, chr(10)) AND NOT contains(entry, chr(13))")
+@query(f"WITH s AS ({_ENTRIES}) SELECT bio_row, ordinal, field_type, pos, entry AS role_text_raw, {V.STRIP_SQL.format(c='entry')} AS role_text, {V.YEARS_SQL.format(c='entry', g=1)} AS year_start, {V.YEARS_SQL.format(c='entry', g=2)} AS year_end FROM s WHERE length(entry) >= 5")
 def entries_parsed(spark, d):
-    """One-line entries of all position cells as dated records."""
-    return entries_parsed_all(spark, d).where(~F.col("role_text_raw").rlike("[\n\r]"))
-
-
-@query()
-def entries_parsed_all(spark, d):
     """Entries of all position cells, of several lines too, as dated records."""
     b = table(spark, d, "biographies").select("bio_row", *_BIO)
     return parse.entries_to_records(b, ["bio_row"], _BIO).drop("state")
@@ -710,15 +707,9 @@ def json_reply_parse(spark, d):
     return table(spark, d, "events").select("event_id", p["k"].alias("k"), p["n"].alias("n"))
 
 
-@query(f"WITH {V.PP} SELECT record_id, trim(regexp_replace(regexp_replace(role_text_raw, '(?i){rules.SCAN_FRAGMENTS}', ' ', 'g'), '\\s{{2,}}', ' ', 'g')) AS cleaned FROM pp WHERE NOT regexp_matches(role_text_raw, '[\\n\\r]')")
+@query(f"WITH {V.PP} SELECT record_id, trim(regexp_replace(regexp_replace(role_text_raw, '(?i){rules.SCAN_FRAGMENTS}', ' ', 'g'), '\\s{{2,}}', ' ', 'g')) AS cleaned FROM pp")
 def fragments_stripped(spark, d):
-    """One-line role texts without leftovers of the page edge."""
-    return V.positions(spark, d, "role_text_raw").where(~F.col("role_text_raw").rlike("[\n\r]")).select("record_id", X.strip_fragments(F.col("role_text_raw")).alias("cleaned"))
-
-
-@query()
-def fragments_stripped_all(spark, d):
-    """Role texts, of several lines too, without leftovers of the page edge."""
+    """Role texts without leftovers of the page edge."""
     return V.positions(spark, d, "role_text_raw").select("record_id", X.strip_fragments(F.col("role_text_raw")).alias("cleaned"))
 
 

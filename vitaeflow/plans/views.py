@@ -13,18 +13,25 @@ from ..operators.relops import keep_first
 from ..sources.tables import table
 
 
+def _once(df: DataFrame, columns: Sequence[str], latest: str | None = None) -> DataFrame:
+    """One row per record: the latest delivery, of equal ones the greatest; formed before the shuffle."""
+    order = [latest] if latest in df.columns else []
+    kept = df.groupBy("record_id").agg(F.max(F.struct(*order, *columns)).alias("r"))
+    return kept.select("record_id", *[F.col(f"r.{c}").alias(c) for c in columns])
+
+
 def positions(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    """Positions, each record once; only the named columns are read."""
-    return table(spark, d, "parsed_positions").select("record_id", *columns).dropDuplicates(["record_id"])
+    """Positions, each record once as delivered last; only the named columns are read."""
+    return _once(table(spark, d, "parsed_positions"), columns, "loaded_at")
 
 
 def domain(spark: SparkSession, d: str, field_type: str, *columns: str) -> DataFrame:
     """Positions of one field type; the filter reaches the scan."""
-    return table(spark, d, "parsed_positions").where(F.col("field_type") == field_type).select("record_id", *columns).dropDuplicates(["record_id"])
+    return _once(table(spark, d, "parsed_positions").where(F.col("field_type") == field_type), columns, "loaded_at")
 
 
 def education(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    return table(spark, d, "education").select("record_id", *columns).dropDuplicates(["record_id"])
+    return _once(table(spark, d, "education"), columns)
 
 
 EDGE_KEYS = ("ego_id", "alter_id", "edge_type", "focus", "year_start", "year_end")
