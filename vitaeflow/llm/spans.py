@@ -11,8 +11,8 @@
 3. A shard is an FM-index: the Burrows-Wheeler transform in a wavelet matrix of packed bits
    with block counts, and a sampled suffix array.  Windows of a streamed text are searched
    backward, all windows of a batch at once; windows still alive after their whole length
-   are located and extended on both sides to the maximal match.  Matches of ``least`` and
-   more characters are reported with their interval in the streamed text.
+   are located and extended on both sides to the maximal match, in bounded blocks of
+   occurrences.  Matches of ``least`` and more characters are reported with their interval in the streamed text.
 4. Copies are given back at the end: as members of their class or, where pairs are asked
    for, as pairs.
 """
@@ -35,6 +35,8 @@ LEAST = 200
 HASHED = 0.6
 #: Characters of the texts that one shard indexes.
 SHARD_CHARS = 1_000_000
+#: Occurrences that are located and extended at once.
+BLOCK = 200_000
 #: Characters streamed against one copy of a shard before the stream is split.
 STREAM_CHARS = 8_000_000
 #: Ids and hashes up to which they are sent to every task to pick rows; more are joined.
@@ -299,44 +301,56 @@ class Shard:
                 break
         if not len(where):
             return tuple(np.empty(0, np.int64) for _ in range(4))
-        out = []
-        for at in range(0, len(where), 4096):  # occurrences are located in bounded blocks
-            n = (hi - lo)[at : at + 4096]
-            seeds = np.repeat(where[at : at + 4096], n)
-            rows = np.repeat(lo[at : at + 4096] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            out.extend(self._extend(docs, flat, begins, seeds, self.index.locate(rows)))
-        cols = list(zip(*out)) if out else [[]] * 4
-        return tuple(np.asarray(c, np.int64) for c in cols)
-
-    def _extend(self, docs, flat, begins, seeds, spots):
+        owner = np.asarray(docs, np.int64)
+        out = [np.empty((4, 0), np.int64)]
+        n = hi - lo
+        before = np.concatenate(([0], np.cumsum(n)))
+        total, at = int(before[-1]), 0
+        while at < total:  # occurrences are located and extended in bounded blocks, wherever one window's begin and end
+            end = min(total, at + BLOCK)
+            k = np.arange(at, end)
+            w = np.searchsorted(before, k, side="right") - 1
+            out.append(self._extend(owner, flat, begins, where[w], self.index.locate(lo[w] + k - before[w])))
+            at = end
+        return tuple(np.unique(np.concatenate(out, axis=1), axis=1))
+
+    def _extend(self, owner: np.ndarray, flat: np.ndarray, begins: np.ndarray, seeds: np.ndarray, spots: np.ndarray) -> np.ndarray:
+        """Maximal matches around seeds: streamed doc, indexed doc, first and last position in the streamed one."""
         q = np.searchsorted(begins, seeds, side="right") - 1
         s = np.searchsorted(self.starts, spots, side="right") - 1
-        other = np.asarray(docs, np.int64)[q] != self.docs[s]
+        other = owner[q] != self.docs[s]
         seeds, spots, q, s = seeds[other], spots[other], q[other], s[other]
+        # of successive windows on one diagonal the first stands for all that its match reaches
         order = np.lexsort((seeds, spots - seeds, s, q))
-        last, reached = None, -1
-        for i in order:
-            a, b, diagonal = int(seeds[i]), int(spots[i]), (int(q[i]), int(s[i]), int(spots[i] - seeds[i]))
-            if diagonal == last and a < reached:
-                continue
-            left = _common(flat[begins[q[i]] : a][::-1], self.text[self.starts[s[i]] : b][::-1])
-            right = _common(flat[a : begins[q[i] + 1]], self.text[b:])
-            last, reached = diagonal, a + right
-            if left + right >= self.least:
-                first = a - left - int(begins[q[i]])
-                yield docs[q[i]], int(self.docs[s[i]]), first, first + left + right - 1
-
-
-def _common(x: np.ndarray, y: np.ndarray) -> int:
-    """Length of the common start."""
-    n, at, size = min(len(x), len(y)), 0, 256
-    while at < n:
-        differ = np.flatnonzero(x[at : min(at + size, n)] != y[at : min(at + size, n)])
-        if len(differ):
-            return at + int(differ[0])
-        at += size
-        size *= 4
-    return n
+        seeds, spots, q, s = seeds[order], spots[order], q[order], s[order]
+        size = self.least // 2
+        follows = np.zeros(len(seeds), bool)
+        follows[1:] = (q[1:] == q[:-1]) & (s[1:] == s[:-1]) & (spots[1:] - seeds[1:] == spots[:-1] - seeds[:-1]) & (seeds[1:] - seeds[:-1] == size)
+        seeds, spots, q, s = seeds[~follows], spots[~follows], q[~follows], s[~follows]
+        left = _reach(flat, self.text, seeds - 1, spots - 1, np.minimum(seeds - begins[q], spots - self.starts[s]), -1)
+        ends = np.append(self.starts[1:], len(self.text) - 1)[s] - 1  # where the sign after the indexed text stands
+        right = _reach(flat, self.text, seeds, spots, np.minimum(begins[q + 1] - seeds, ends - spots), 1)
+        first = seeds - left - begins[q]
+        enough = left + right >= self.least
+        return np.stack((owner[q], self.docs[s], first, first + left + right - 1))[:, enough]
+
+
+def _reach(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray, step: int) -> np.ndarray:
+    """How many characters agree from positions ``i`` and ``j`` on in direction ``step``, for all pairs at once."""
+    out = np.zeros(len(i), np.int64)
+    open_ = np.flatnonzero(most > 0)
+    width = 16
+    while len(open_):
+        offset = np.arange(width)[None, :]
+        at = out[open_, None] + offset
+        inside = at < most[open_, None]
+        at = np.minimum(at, most[open_, None] - 1) * step
+        same = (x[i[open_, None] + at] == y[j[open_, None] + at]) & inside
+        run = np.where(same.all(axis=1), width, np.argmin(same, axis=1))
+        out[open_] += run
+        open_ = open_[(run == width) & (out[open_] < most[open_])]
+        width = min(1024, width * 4) if len(open_) * width < 4_000_000 else width
+    return out
 
 
 def _search(least: int, batch_chars: int = 400_000):
