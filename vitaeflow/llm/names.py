@@ -4,8 +4,10 @@
    one class and are never compared with each other.
 2. Block keys: pairs of phonetic codes of the sorted name tokens with at least one surname
    in the pair, and full birth dates with the code of one token.  Records whose birth year
-   is known meet only within the same year, others meet the whole block, so a surname held
-   by a third of all people is split by birth year before anything is joined.
+   is known meet only within the same year.  A record without one needs a third token, or
+   the same place, to be linked, so it meets others under keys that hold the initial of a
+   third token or the place as well: no block is left whole, however common its names.
+   Only ids pass through the blocks; names are joined to the candidate pairs.
 3. Candidate pairs are scored token by token (equal, nickname, initial, cut, Jaro-Winkler
    or one edit) and by the agreement of the births.
 4. A record with a vague birth that would tie together people whose births differ keeps
@@ -14,6 +16,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..operators.graph import connected_components
-from ..session import cut_lineage
+from ..session import cut_lineage, parallelism
 from .strings import edits, jaro_winkler, phonetic, plain
 
 # Familiar forms of given names; a form may stand for several names.
@@ -210,39 +213,72 @@ def persons(bio: DataFrame, positions: DataFrame) -> DataFrame:
     ).where("name is not null")
 
 
-_KEYED = T.StructType([
-    T.StructField("key", T.StringType()), T.StructField("year", T.IntegerType()), T.StructField("rep", T.LongType()),
-    T.StructField("sur", T.StringType()), T.StructField("giv", T.StringType()), T.StructField("birth", T.LongType()), T.StructField("prec", T.StringType()), T.StructField("place", T.StringType())])
+_KEYED = "key long, year int, rep long, vague boolean"
+
+
+def _codes(sur: tuple, giv: tuple) -> tuple[list[str], list[tuple[str, str]]]:
+    """Codes of the two surnames that agreement looks at, and codes and initials of the given names and what they stand for."""
+    return [phonetic(s) if len(s) > 1 else "" for s in sur[:2]], sorted({(phonetic(c), c[0]) for g in giv if len(g) > 1 for c in canonical_given(g)})
 
 
 def _keys(sur: tuple, giv: tuple, birth, prec) -> set[str]:
-    giv_codes = {phonetic(c) for g in giv if len(g) > 1 for c in canonical_given(g)}
-    sur_codes = [phonetic(s) for s in sur if len(s) > 1]
-    keys = set()
-    for i, s in enumerate(sur_codes):
-        for other in sur_codes[i + 1 : i + 7]:
-            keys.add("|".join(sorted((s, other))))
-        for g in giv_codes:
-            keys.add("|".join(sorted((s, g))))
+    """Keys under which records of one birth year meet."""
+    surs, givs = _codes(sur, giv)
+    surs = [s for s in surs if s]
+    full = birth is not None and prec == "full"
+    keys = {"|".join(sorted(surs))} if len(surs) == 2 else set()
+    for s in surs:
+        keys.update("|".join(sorted((s, g))) for g, _ in givs)
         keys.update("|".join((s, g[0])) for g in giv)
-        if birth is not None and prec == "full":
+        if full:
             keys.add(f"{birth}|{s}")
-    if birth is not None and prec == "full":
-        keys.update(f"{birth}|{g}" for g in giv_codes)
-        keys.update(f"{birth}|{g[0]}|{s[0]}" for g in giv for s in sur_codes if s)
+    if full:
+        keys.update(f"{birth}|{g}" for g, _ in givs)
+        keys.update(f"{birth}|{g[0]}|{s[0]}" for g in giv for s in surs if s)
+    return keys
+
+
+def _vague_keys(sur: tuple, giv: tuple, place: str | None) -> set[str]:
+    """Keys under which records without a birth year meet all others: two codes with the initial of a third token or the place."""
+    surs, givs = _codes(sur, giv)
+    initials = {g[0] for g in giv} | {c for _, c in givs}
+    town = plain(place) if place else None
+    keys = set()
+
+    def add(a: str, b: str, thirds: set[str]) -> None:
+        pair = "|".join(sorted((a, b)))
+        keys.update(f"{pair}+{t}" for t in thirds)
+        if town:
+            keys.add(f"{pair}@{town}")
+
+    if len(surs) == 2 and all(surs):
+        add(*surs, initials)
+    for i, s in enumerate(surs):
+        other = {sur[1 - i][0]} if len(surs) == 2 else set()
+        for g, c in givs if s else ():
+            add(s, g, other | {x for x in initials if x != c or len(giv) > 1})
+        if s and town:
+            keys.update(f"{s}|{x}@{town}" for x in initials)
+        if s and other:
+            keys.update(f"{s}|{x}+{o}" for x in initials for o in other)
     return keys
 
 
+def _hashed(key: str) -> int:
+    return int.from_bytes(hashlib.blake2b(key.encode(), digest_size=8).digest(), "little", signed=True)
+
+
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
         for rep, sur, giv, birth, prec, place in zip(*(c.to_pylist() for c in b.columns)):
             known = birth is not None and prec in ("full", "month_year", "year_only")
-            year = birth // 10_000 if known else None
-            for k in _keys(tuple(sur.split()), tuple(giv.split()), birth, prec):
-                rows.append((k, year, rep, sur, giv, birth, prec, place))
-        cols = list(zip(*rows)) if rows else [[]] * 8
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()))], names=_KEYED.names)
+            name = tuple(sur.split()), tuple(giv.split())
+            if known:
+                rows.extend((_hashed(k), birth // 10_000, rep, False) for k in _keys(*name, birth, prec))
+            rows.extend((_hashed(k), None, rep, not known) for k in _vague_keys(*name, place))
+        cols = list(zip(*rows)) if rows else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.bool_()))], names=["key", "year", "rep", "vague"])
 
 
 _SPLIT = T.StructType([T.StructField(n, t) for n, t in (("pid", T.LongType()), ("sur", T.StringType()), ("giv", T.StringType()), ("birth", T.LongType()), ("prec", T.StringType()), ("place", T.StringType()))])
@@ -260,7 +296,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
-        for key, ra, sa, ga, ba, pra, pla, rb, sb, gb, bb, prb, plb in zip(*(c.to_pylist() for c in b.columns)):
+        for ra, sa, ga, ba, pra, pla, rb, sb, gb, bb, prb, plb in zip(*(c.to_pylist() for c in b.columns)):
             birth = birth_agreement(ba, pra, bb, prb)
             if not birth:
                 continue
@@ -284,15 +320,17 @@ def name_links(people: DataFrame) -> tuple[DataFrame, DataFrame]:
     firsts = marked.groupBy("class").agg(F.min("pid").alias("rep"))
     members = cut_lineage(marked.join(firsts, "class").drop("class"))
     reps = members.where("pid = rep").select("rep", "sur", "giv", "birth", "prec", "place")
-    keyed = cut_lineage(reps.mapInArrow(_explode, _KEYED))
-    side = lambda df, s: df.select(*[F.col(c).alias(c if c in ("key", "year") else f"{c}_{s}") for c in df.columns])
-    known, vague = keyed.where("year is not null"), keyed.where("year is null")
-    cols = ["key", *[f"{c}_{s}" for s in "ab" for c in ("rep", "sur", "giv", "birth", "prec", "place")]]
-    pairs = (
-        side(known, "a").join(side(known, "b"), ["key", "year"]).where("rep_a < rep_b").select(*cols)
-        .union(side(vague, "a").join(side(vague, "b").drop("year"), "key").where("rep_a < rep_b").select(*cols))
-        .union(side(vague, "a").join(side(known, "b").drop("year"), "key").select(*cols))
-    )
+    keyed = cut_lineage(reps.repartition(parallelism(people.sparkSession), "rep").mapInArrow(_explode, _KEYED))
+    side = lambda df, s: df.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "vague")])
+    known, loose = keyed.where("year is not null"), keyed.where("year is null")
+    dated = known.select("key", "year", F.col("rep").alias("rep_a")).join(known.select("key", "year", F.col("rep").alias("rep_b")), ["key", "year"]).where("rep_a < rep_b")
+    asking = loose.where("vague")
+    answering = loose.join(asking.select("key").distinct(), "key", "left_semi")
+    open_ = side(asking, "a").join(side(answering, "b"), "key").where("rep_a <> rep_b and (not vague_b or rep_a < rep_b)")
+    met = dated.select("rep_a", "rep_b").union(open_.select("rep_a", "rep_b")).distinct()
+    named = lambda s: reps.select(*[F.col(c).alias(f"{c}_{s}") for c in reps.columns])
+    cols = [f"{c}_{s}" for s in "ab" for c in ("rep", "sur", "giv", "birth", "prec", "place")]
+    pairs = met.join(named("a"), "rep_a").join(named("b"), "rep_b").select(*cols)
     scored = pairs.mapInArrow(_score, "a long, b long, s double, fa long, fb long")
     links = scored.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
         F.max("s").alias("s"), F.max(F.when(F.col("a") < F.col("b"), F.col("fa")).otherwise(F.col("fb"))).alias("fa"), F.max(F.when(F.col("a") < F.col("b"), F.col("fb")).otherwise(F.col("fa"))).alias("fb"))
@@ -315,8 +353,7 @@ def same_person(bio: DataFrame, positions: DataFrame) -> DataFrame:
 
     Defined results: ids without any name are no case; equal name and birth make one class
     at once; rows delivered twice change nothing; of an id with several names the first in
-    the alphabet counts; of a name with very many surnames each is paired with the next six;
-    empty tables give an empty result; further columns of the tables are not read."""
+    the alphabet counts; of a name with very many surnames the first two are compared; empty tables give an empty result; further columns of the tables are not read."""
     links, members = name_links(persons(bio, positions))
     comp = connected_components(links)
     grouped = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("pid", F.coalesce("component", "rep").alias("person"))
