@@ -63,9 +63,10 @@ def test_skewed_groups_equal_plain_groups(spark):
     got = {r["key"]: tuple(r)[1:] for r in grouped_by_hot_key(df, "k", "o", 7).collect()}
     want = {}
     for k in {r[0] for r in rows} - {None}:
-        os_ = sorted(-(1 << 62) if r[1] is None else r[1] for r in rows if r[0] == k)
+        mine = [r[1] for r in rows if r[0] == k]
+        os_ = sorted(o for o in mine if o is not None)
         step = max([b - a for a, b in zip(os_, os_[1:])], default=0)
-        want[k] = (len(os_), os_[0], os_[-1], step, len(set(os_)))
+        want[k] = (len(mine), os_[0] if os_ else None, os_[-1] if os_ else None, step, len(set(os_)))
     assert got == want
 
 
@@ -73,3 +74,8 @@ def test_dominant_keys(spark):
     df = spark.createDataFrame([("a", i) for i in range(98)] + [("b", 1), ("c", 2), (None, 3)], "k string, o long")
     assert {r[0] for r in dominant_keys(df, "k", "o", 0.02).collect()} == {"a"}
     assert dominant_keys(df.where("k = 'z'"), "k", "o", 0.02).count() == 0
+
+
+def test_rows_without_order_count_as_rows_only(spark):
+    df = spark.createDataFrame([("a", None)] * 50 + [("a", 5), ("a", 9), ("b", None)], "k string, o long")
+    assert {tuple(r) for r in grouped_by_hot_key(df, "k", "o", 6).collect()} == {("a", 52, 5, 9, 4, 2), ("b", 1, None, None, 0, 0)}

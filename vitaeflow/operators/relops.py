@@ -55,8 +55,8 @@ def sorted_set(value: Column, sep: str = "|") -> Column:
 def frequencies(df: DataFrame, key: str) -> DataFrame:
     """``key, n, pct`` of the non-null values."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    total = df.where(F.col(key).isNotNull()).count()
-    return counts.withColumn("pct", F.round(100.0 * F.col("n") / F.lit(max(total, 1)), 4))
+    total = counts.agg(F.sum("n").alias("_total"))
+    return counts.crossJoin(F.broadcast(total)).withColumn("pct", F.round(100.0 * F.col("n") / F.col("_total"), 4)).drop("_total")
 
 
 def changed(pairs: Sequence[tuple[Column, Column]]) -> Column:
