@@ -3,7 +3,7 @@
 import random
 
 from vitaeflow.operators.periods import continuous_periods
-from vitaeflow.streaming.periods import distinct_edges, stream_periods
+from vitaeflow.streaming.periods import STORE, distinct_edges, settled_periods, stream_periods
 
 SCHEMA = "person_id long, a int, b int, loaded_at timestamp"
 
@@ -14,6 +14,7 @@ def rows(seed, n=80):
 
 
 def test_stream_equals_batch(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     source, seen = str(tmp_path / "in"), []
     batches = [spark.createDataFrame([(*r, None) for r in rows(i)], SCHEMA) for i in range(3)]
     for b in batches:
@@ -30,6 +31,16 @@ def test_stream_equals_batch(spark, tmp_path):
     assert set().union(*latest.values()) == {tuple(r) for r in continuous_periods(whole, "person_id", "a", "b").collect()}
 
 
+def test_settled_stream_equals_batch(spark, tmp_path):
+    source = str(tmp_path / "in")
+    for i in range(3):
+        spark.createDataFrame([(*r, None) for r in rows(i)], SCHEMA).coalesce(1).write.mode("append").parquet(source)
+    stream = lambda: spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+    want = {tuple(r) for r in continuous_periods(spark.read.parquet(source), "person_id", "a", "b").collect()}
+    assert {tuple(r) for r in settled_periods(stream(), "person_id", "a", "b").collect()} == want
+    assert settled_periods(stream().where("false"), "person_id", "a", "b").count() == 0
+
+
 def test_repeated_deliveries_come_once(spark, tmp_path):
     source = str(tmp_path / "in")
     df = spark.sql("SELECT id % 5 AS seq, timestamp'2020-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, id) AS at FROM range(20)")

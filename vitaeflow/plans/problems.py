@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.periods import continuous_periods
 from ..operators.skew import dominant_keys, grouped_by_hot_key
 from ..sources.tables import table
+from ..streaming.periods import settled_periods
 
 #: Share of the rows from which a value counts as dominating.
 HEAVY_SHARE = 0.02
@@ -35,6 +36,12 @@ def p1_coverage(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p1_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same periods and gaps from a stream over the positions, kept per person in keyed state."""
+    rows = spark.readStream.schema(table(spark, d, "parsed_positions").schema).parquet(f"{d}/parsed_positions.parque[t]")
+    return settled_periods(rows, "person_id", "year_start", "year_end")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The dominating foci and schools."""
     parts = [
@@ -54,7 +61,7 @@ def p5_school_stats(spark: SparkSession, d: str) -> DataFrame:
     return grouped_by_hot_key(table(spark, d, "education"), "organization", "record_id").withColumnRenamed("key", "organization")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_coverage, p5_found, p5_focus_stats, p5_school_stats)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_coverage, p1_stream, p5_found, p5_focus_stats, p5_school_stats)}
 
 _SPANS = """
 WITH r AS (SELECT DISTINCT person_id, least(year_start, coalesce(year_end, year_start)) AS lo, greatest(year_start, coalesce(year_end, year_start)) AS hi
@@ -74,6 +81,7 @@ SELECT {key}, count(*) AS n_rows, min(o) AS first_order, max(o) AS last_order, c
 
 ORACLE = {
     "p1_found": _SPANS + "SELECT * FROM found",
+    "p1_stream": _SPANS + "SELECT * FROM found",
     "p1_coverage": _SPANS
     + """SELECT person_id, CAST(sum(CASE WHEN kind = 'gap' THEN 0 ELSE 1 END) AS BIGINT) AS n_periods, CAST(sum(CASE WHEN kind = 'gap' THEN 1 ELSE 0 END) AS BIGINT) AS n_gaps,
     CAST(sum(CASE WHEN kind = 'gap' THEN 0 ELSE year_to - year_from + 1 END) AS BIGINT) AS years_covered, CAST(sum(CASE WHEN kind = 'gap' THEN year_to - year_from + 1 ELSE 0 END) AS BIGINT) AS years_open,
