@@ -11,7 +11,7 @@ from .names import same_person, same_person_pairs
 from .packing import fill_containers, fill_report
 from .scans import scan_damage
 from .spans import shared_characters, sharing_pairs
-from .tokens import token_counts, token_ids
+from .tokens import decoded, token_counts, token_ids
 from .truncation import cut_records
 
 #: Tokens one container holds.
@@ -105,6 +105,14 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return token_ids(table(spark, d, "documents"))
 
 
+def p7_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Whether every document comes back from its ids, with the number of its characters."""
+    docs = table(spark, d, "documents")
+    back = decoded(token_ids(docs)).withColumnRenamed("text", "again")
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", text.alias("text")).join(back, "doc_id").select("doc_id", (F.col("text") == F.col("again")).alias("same"), F.length("again").cast("long").alias("n_chars"))
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     """Container of every document, or of every part of a document longer than a container."""
     return fill_containers(token_counts(table(spark, d, "documents")), CAPACITY)
@@ -125,5 +133,5 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return shared_characters(table(spark, d, "documents")).withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_clusters, p3_found, p3_sources, p4_found, p4_repaired, p6_found, p6_unmatched, p7_ids, p8_containers, p8_report, p9_found, p9_shared)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p2_found, p2_clusters, p3_found, p3_sources, p4_found, p4_repaired, p6_found, p6_unmatched, p7_ids, p7_roundtrip, p8_containers, p8_report, p9_found, p9_shared)}
+ORACLE: dict[str, str] = {"p7_roundtrip": "SELECT doc_id, true AS same, length(coalesce(text, '')) AS n_chars FROM documents"}
