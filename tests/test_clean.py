@@ -17,7 +17,9 @@ def ask(spark, f, *values):
 @pytest.mark.parametrize(
     ("f", "values", "want"),
     [
-        (clean.organization_in, ("Adviser, Secretariat of Health, 1960",), "Secretariat of Health"), (clean.organization_in, ("Mayor, 1950",), None), (clean.organization_in, (None,), None),
+        (clean.organization_in, ("Adviser, Secretariat of Health, 1960", "govt_positions"), "Secretariat of Health"), (clean.organization_in, ("Mayor, 1950", "public_positions"), None), (clean.organization_in, (None, "x"), None),
+        (clean.organization_in, ("secretary of the navy, 1960", "govt_positions"), "Secretariat of navy"), (clean.organization_in, ("inspector general of Tunnels, 1960", "govt_positions"), "Tunnels"), (clean.organization_in, ("justice, Supreme Court, First Circuit", None), "Supreme Court, First Circuit"),
+        (clean.organization_in, ("director of medical services, PEMEX", "govt_positions"), "PEMEX"), (clean.organization_in, ("member of CNC", "party_positions"), "CNC"), (clean.organization_in, ("Union of Miners, 1960", "labor_positions"), "Union of Miners"), (clean.organization_in, ("born in PEMEX", "birthplace"), None),
         (clean.school_in, ("Law degree, National School of Law, UNAM, 1950",), "UNAM"), (clean.school_in, ("Law degree, University of Colima and Free School",), "University of Colima"),
         (clean.labor_organization, (None, "secretary, CTM, 1950"), "CTM"), (clean.labor_organization, ("Union X", "secretary, CTM"), "Union X"), (clean.labor_organization, ("ab", "Local No. 3, Union of Bakers, 1950"), "Union of Bakers"), (clean.labor_organization, (None, None), None),
         (clean.sub_department, ("Head, Department of Fisheries, 1950",), "Department of Fisheries"), (clean.sub_department, ("Head, Department of Tourism",), None),

@@ -17,15 +17,9 @@ from ..functions import text as X
 ACRONYM = r"\b(CTM|SNTE|CNC|CNOP|FSTSE|CROC|CROM|STPRM|STFRM|SUTERM|COPARMEX|UOI|CTC|STIMAHCS|SUTGDF|CONASUPO|IMSS|ISSSTE|CFE|IPN|UNAM)\b"
 LOCAL_UNION = r"Local\s+No\.?\s*\d+\s*,\s*((?:Union|Sindicato|Federation)[^,;]{3,60})"
 BODY_NAME = r"\b((?:Union|Federation|Confederation|Confederacion|Federacion|Association|League|Liga|Chamber|College|Council|Alliance|Institute|Society|Cooperative|Syndicate|Sindicato|Committee)\s+(?:of\s+(?:the\s+)?)?[A-Za-z][A-Za-z\s\-]{2,60})"
-# Own patterns: organisations and schools as entries name them.
-NAMED_ORGANIZATIONS = (
-    r"\b(Secretariat of (?:the )?[A-Z][A-Za-z]+(?: (?:and |of )?[A-Z][A-Za-z]+){0,4})", r"\b((?:National|Federal|General) (?:Commission|Board|Bank|Institute|Directorate|Council) of [A-Z][A-Za-z]+(?: (?:and )?[A-Z][A-Za-z]+){0,4})",
-    r"\b((?:Department|Institute|Trust Fund|Union|Chamber|Confederation) (?:of|for) [A-Z][A-Za-z]+(?: (?:and )?[A-Z][A-Za-z]+){0,4})", r"\b([A-Z][a-z]+(?: [A-Z][a-z]+){0,2} Party)\b",
-)
-SCHOOLS = (r"\b(UNAM|IPN|ITAM|ITESM)\b", r"\b((?:[A-Z][a-z]+ ){0,3}(?:University|College|Institute|School)(?: of [A-Z][A-Za-z]+(?: (?:and |de |del |la |el )*[A-Z][A-Za-z]+){0,4})?)")
 # What an extracted name ends before, and what is no name.
-TRAILING = r"\s+(at|in|to|from|under|as|during|until|delegate|adviser|assistant|representative|coordinator|liaison|committees?)\b.*$"
-SERVICES = r"^(medical|health|clinical|surgical|dental|public\s+health)\s+services?$"
+TRAILING = r"\s+(?:at|in|to|from|under|as|during|until|delegate|adviser|assistant|representative|coordinator|liaison|committees?)\b.*$"
+SERVICES = r"^(?:medical|health|clinical|surgical|dental|coordinated\s+medical|health\s+and\s+medical|public\s+health)\s+services?$"
 DEPARTMENT = r"\b(Department\s+of\s+[A-Za-z][^,;0-9]{2,60})"
 TOP_DEPARTMENT = r"^Department of (the Federal District|Agrarian Affairs|Tourism)"
 # Titles of public posts, first match.
@@ -73,25 +67,52 @@ def _found(c: Column, pattern: str, group: int = 1) -> Column:
 
 def accepted_name(c: Column) -> Column:
     """An extracted name without years and trailing role words, null if nothing of substance is left."""
-    out = F.regexp_replace(F.regexp_replace(c, r"\s+\d{4}.*$", ""), f"(?i){TRAILING}", "")
-    out = F.trim(F.regexp_replace(F.regexp_replace(out, r"\s{2,}", " "), r"[.,;]+$", ""))
-    return F.when((F.length(out) >= 3) & ~out.rlike(f"(?i){SERVICES}"), out)
+    ended = lambda x: F.regexp_replace(F.trim(x), r"[.,;]+$", "")
+    out = F.regexp_replace(F.regexp_replace(ended(c), r"\s+\d{4}.*$", ""), f"(?i){TRAILING}", "")
+    out = ended(F.regexp_replace(out, r"\s{2,}", " "))
+    return X.bound(out, lambda x: F.when((F.length(x) >= 3) & ~x.rlike(f"(?i){SERVICES}"), x))
 
 
 def first_accepted(c: Column, patterns: Sequence[str]) -> Column:
     """First pattern whose capture is accepted; a rejected capture falls through to the next."""
-    return F.coalesce(*[accepted_name(_found(c, p)) for p in patterns])
+    return F.coalesce(*[accepted_name(F.nullif(F.regexp_extract(c, f"(?iU){p}", 1), F.lit(""))) for p in patterns])
 
 
-def organization_in(c: Column) -> Column:
-    """Organisation named in an entry."""
-    return first_accepted(F.regexp_replace(F.regexp_replace(c, r"\s{2,}", " "), r"\(([A-Z]{2,8})\)", " $1 "), NAMED_ORGANIZATIONS)
+def school_in(c: Column) -> Column:
+    """School named in an entry: the first of two joined by ``and``, or the parent that follows it directly."""
 
+    def one(org: Column) -> Column:
+        first = F.trim(F.element_at(F.split(org, " and "), 1))
 
-def school_in(c: Column) -> Column:
-    """School named in an entry: the parent if it follows directly, the first of two joined by ``and``."""
-    parent = F.nullif(F.upper(F.regexp_extract(c, r"(?i)(?:school|faculty)[^,]*,\s*(UNAM|IPN)\b", 1)), F.lit(""))
-    return F.coalesce(parent, F.element_at(F.split(first_accepted(c, SCHOOLS), " and "), 1))
+        def parent(x: Column) -> Column:
+            at = F.instr(F.lower(c), F.lower(x))
+            after = F.when(at > 0, F.substr(c, at + F.length(x), F.lit(30)))
+            named = F.nullif(F.upper(F.regexp_extract(after, r"(?i)^\s*,\s*(UNAM|IPN)\b", 1)), F.lit(""))
+            return F.when(F.length(x) >= 3, F.coalesce(named, x))
+
+        return X.bound(first, parent)
+
+    return F.coalesce(*[one(first_accepted(c, [p])) for p in rules.SCHOOL_NAMED])
+
+
+def organization_in(c: Column, field: Column) -> Column:
+    """Organisation named in an entry of a field: the field's own patterns, then secretariats, other organisations,
+    secretaries' posts, posts that name what they are of, and courts."""
+    offices = "(" + "|".join(n for n in sorted(rules.NAMED_OFFICES, key=lambda n: -len(n))) + ")"
+
+    def of(t: Column) -> Column:
+        post = F.nullif(F.regexp_extract(t, f"(?iU){rules.SECRETARY_POST}", 1), F.lit(""))
+        courts = F.slice(F.regexp_extract_all(t, F.lit(f"(?i){rules.COURT}"), F.lit(0)), 1, 2)
+        general = F.coalesce(
+            first_accepted(t, [offices, rules.OTHER_ORGANIZATION]), accepted_name(F.concat(F.lit("Secretariat of "), F.trim(post))), first_accepted(t, [rules.POST_OF]), accepted_name(F.nullif(F.array_join(courts, ", "), F.lit(""))))
+        return (
+            F.when(F.coalesce(field == "birthplace", F.lit(False)), F.lit(None).cast("string"))
+            .when(field == "education", school_in(t)).when(field == "party_positions", first_accepted(t, rules.PARTY_NAMED))
+            .when(field == "public_positions", F.coalesce(first_accepted(t, rules.PUBLIC_NAMED), general)).when(field == "labor_positions", F.coalesce(first_accepted(t, rules.LABOR_NAMED), general)).otherwise(general)
+        )
+
+    text = F.regexp_replace(F.regexp_replace(c, r"\s{2,}", " "), r"\(([A-Z]{2,8})\)", " $1 ")
+    return F.when(F.length(c) >= 5, X.bound(text, of))
 
 
 def labor_organization(existing: Column, text: Column) -> Column:

@@ -437,16 +437,19 @@ def wide_party(spark, d):
 
 
 _LEVELS = tuple(rules.LEVEL_ORDER)
+_FIELDS = (*[k for k, _ in rules.DEGREE_FIELD], "other")
+_DUMMIES = {"pre_university": "record_type = 'pre_university'", "academic_role_edu": "record_type = 'academic_role'", "has_degree": "record_type = 'degree'"}
+_DUMMIES |= {x: f"record_type = 'degree' AND degree_level = '{x}'" for x in _LEVELS} | {f"field_{x}": f"record_type = 'degree' AND degree_field = '{x}'" for x in _FIELDS} | {"foreign_degree": "record_type = 'degree' AND foreign_degree"}
 
 
-@query(f"""WITH {V.ED} SELECT person_id, {", ".join(f"max(CASE WHEN degree_level = '{x}' THEN 1 ELSE 0 END) AS has_{x}" for x in _LEVELS)}, max(CASE WHEN foreign_degree THEN 1 ELSE 0 END) AS foreign_degree,
+@query(f"""WITH {V.ED} SELECT person_id, {", ".join(f"max(CASE WHEN {c} THEN 1 ELSE 0 END) AS {n}" for n, c in _DUMMIES.items())},
 arg_min(organization, ({V.order_case("coalesce(degree_level, '')", rules.LEVEL_ORDER)}, record_id)) FILTER (WHERE organization IS NOT NULL AND record_type = 'degree') AS institution FROM ed GROUP BY person_id""")
 def wide_education(spark, d):
-    """Level dummies and the school of the highest degree of every person."""
-    e = V.education(spark, d, "person_id", "degree_level", "foreign_degree", "organization", "record_type")
+    """Dummies of kinds, levels and fields, and the school of the highest degree of every person."""
+    e = V.education(spark, d, "person_id", "degree_level", "degree_field", "foreign_degree", "organization", "record_type")
     rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in rules.LEVEL_ORDER.items() for x in kv]), F.coalesce("degree_level", F.lit(""))), F.lit(99))
     pick = F.min(F.when(F.col("organization").isNotNull() & (F.col("record_type") == "degree"), F.struct(rank.alias("r"), F.col("record_id").alias("s"), F.col("organization").alias("o"))))["o"]
-    return e.groupBy("person_id").agg(*[relops.ever(F.col("degree_level") == x).alias(f"has_{x}") for x in _LEVELS], relops.ever(F.col("foreign_degree")).alias("foreign_degree"), pick.alias("institution"))
+    return e.groupBy("person_id").agg(*[relops.ever(F.expr(c)).alias(n) for n, c in _DUMMIES.items()], pick.alias("institution"))
 
 
 @query(f"WITH m AS ({_MIL_SQL}) SELECT b.person_id, count(*) AS n_entries, max(CASE WHEN branch = 'army' THEN 1 ELSE 0 END) AS branch_army, CAST(sum(CAST(is_commander AS INTEGER)) AS BIGINT) AS n_commands, coalesce(arg_min(rank, ({V.order_case('rank', rules.MILITARY_ORDER)}, m.bio_row * 1000 + pos)) FILTER (WHERE rank <> 'unknown'), 'unknown') AS highest_rank FROM m JOIN biographies b USING (bio_row) GROUP BY b.person_id")
@@ -735,12 +738,30 @@ def title_pick(spark, d):
 # ---- cleaning ---------------------------------------------------------------------------
 
 
-@query()
+def _accepted(c: str) -> str:
+    """The SQL form of an accepted name."""
+    cut = f"regexp_replace(regexp_replace(regexp_replace(trim({c}), '[.,;]+$', ''), '\\s+\\d{{4}}.*$', ''), '(?i){clean.TRAILING}', '')"
+    out = f"regexp_replace(trim(regexp_replace({cut}, '\\s{{2,}}', ' ', 'g')), '[.,;]+$', '')"
+    return f"(CASE WHEN length({out}) >= 3 AND NOT regexp_matches({out}, '(?i){clean.SERVICES}') THEN {out} END)"
+
+
+def _taken(patterns) -> str:
+    one = lambda p: _accepted(f"nullif(regexp_extract(t, '(?i){p}', 1), '')")
+    return "coalesce(" + ", ".join(map(one, patterns)) + ", NULL)"
+
+
+_OFFICES = "(" + "|".join(sorted(rules.NAMED_OFFICES, key=lambda n: -len(n))) + ")"
+_GENERAL = f"""coalesce({_taken([_OFFICES, rules.OTHER_ORGANIZATION])}, {_accepted(f"'Secretariat of ' || nullif(trim(regexp_extract(t, '(?i){rules.SECRETARY_POST}', 1)), '')")}, {_taken([rules.POST_OF])}, {_accepted(f"nullif(array_to_string(regexp_extract_all(t, '(?i){rules.COURT}')[1:2], ', '), '')")})"""
+_FIELD_SCHOOL = lambda p: f"""list_transform([trim(string_split({_taken([p])}, ' and ')[1])], lambda x: CASE WHEN length(x) >= 3 THEN coalesce(nullif(upper(regexp_extract(substr(t, instr(lower(t), lower(x)) + length(x), 30), '(?i)^\\s*,\\s*(UNAM|IPN)\\b', 1)), ''), x) END)[1]"""
+
+
+@query(f"""WITH {V.PP}, x AS (SELECT record_id, field_type, length(role_text_raw) AS n, regexp_replace(regexp_replace(role_text_raw, '\\s{{2,}}', ' ', 'g'), '\\(([A-Z]{{2,8}})\\)', ' \\1 ', 'g') AS t FROM pp)
+SELECT record_id, CASE WHEN n < 5 OR field_type = 'birthplace' THEN NULL WHEN field_type = 'education' THEN coalesce({", ".join(map(_FIELD_SCHOOL, rules.SCHOOL_NAMED))}) WHEN field_type = 'party_positions' THEN {_taken(rules.PARTY_NAMED)}
+WHEN field_type = 'public_positions' THEN coalesce({_taken(rules.PUBLIC_NAMED)}, {_GENERAL}) WHEN field_type = 'labor_positions' THEN coalesce({_taken(rules.LABOR_NAMED)}, {_GENERAL}) ELSE {_GENERAL} END AS organization_found FROM x""".replace("\\\\", "\\"))
 def organizations_extracted(spark, d):
-    """Organisations and schools named in role texts, by ordered patterns with fall-through."""
-    c = F.col("role_text_raw")
-    picked = F.when(F.col("field_type") == "education", clean.school_in(c)).otherwise(clean.organization_in(c))
-    return V.positions(spark, d, "field_type", "role_text_raw").select("record_id", picked.alias("organization_found"))
+    """Organisations and schools named in role texts, by the ordered patterns of their field with fall-through."""
+    p = V.positions(spark, d, "field_type", "role_text_raw")
+    return p.select("record_id", clean.organization_in(F.col("role_text_raw"), F.col("field_type")).alias("organization_found"))
 
 
 _LORG = f"""CASE WHEN length(organization) >= 3 THEN organization ELSE coalesce(upper(nullif(trim(rtrim(regexp_extract(role_text, '(?i){clean.ACRONYM}', 1), '.,;')), '')), nullif(trim(rtrim(trim(regexp_extract(role_text, '(?i){clean.LOCAL_UNION}', 1)), '.,;')), ''), nullif(trim(rtrim(trim(regexp_extract(role_text, '(?i){clean.BODY_NAME}', 1)), '.,;')), '')) END"""
