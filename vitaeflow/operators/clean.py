@@ -1,13 +1,12 @@
 """Cleaning steps: extraction with fall-through, repairs only where something changed, inferred fields.
 
-Every step is one column expression; a chain is an ordered list of ``(column, expression)``
-steps, each of which sees what the steps before it left (:func:`chain`)."""
+Every step is one column expression."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -54,13 +53,6 @@ CAPITAL_DEPARTMENT = r"department of the federal district"
 OUT_OF_SCOPE = r"distant|third|fourth|removed"
 
 
-def chain(df: DataFrame, steps: Sequence[tuple[str, Callable[[], Column]]]) -> DataFrame:
-    """Ordered column rewrites."""
-    for name, step in steps:
-        df = df.withColumn(name, step())
-    return df
-
-
 def _found(c: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.trim(F.regexp_replace(F.trim(F.regexp_extract(c, pattern, group)), r"[.,;]+$", "")), F.lit(""))
 
@@ -160,11 +152,6 @@ def state_of_town(state: Column, town: Column) -> Column:
     return F.coalesce(state, F.try_element_at(cities, X.normal(town)))
 
 
-def inferred_state(state: Column, text: Column, foreign: Column) -> Column:
-    """Known state, else the one named in the text unless the context is foreign."""
-    return F.coalesce(state, F.when(~F.coalesce(foreign, F.lit(False)), X.state_in_text(text)))
-
-
 def labor_is_national(known: Column, text: Column) -> Column:
     """Unknown becomes not national where the text names a numbered section, a state's branch or a local body."""
     states = "|".join(k.lower() for k, _ in X.longest_first(rules.STATE_VARIANTS)).replace(".", r"\.")

@@ -25,26 +25,27 @@ def split_biographies(df: DataFrame, text: str = "value", key: str = "path") ->
     A biography starts at an ``a`` mark; its name is what stands before it on the line, or
     the line above (with the line above that, if a parenthesis was broken).  Of a field that
     comes twice the last one counts."""
-    body = X.join_broken_words(X.page_noise(F.col(text)))
-    parts = F.split(body, r"(?<![\p{L}\p{N}_])a[-–—]")
-    chunks = df.select(F.col(key).alias("source_key"), parts.alias("p"), F.posexplode(parts).alias("bio_row", "chunk")).where("bio_row > 0")
-    before = F.get(F.col("p"), F.col("bio_row") - 1)
-    lines = F.filter(F.split(before, r"\n"), lambda x: F.trim(x) != "")
-    last, prior = F.trim(F.try_element_at(lines, F.lit(-1))), F.trim(F.try_element_at(lines, F.lit(-2)))
-    broken = last.contains(")") & ~last.contains("(") & prior.contains("(") & ~prior.contains(")")
-    name = F.when(broken, F.concat_ws(" ", prior, last)).otherwise(last)
+    def pairs(body: Column) -> Column:
+        parts = F.split(body, r"(?<![\p{L}\p{N}_])a[-–—]")
+        n = F.size(parts) - 1
+        return F.zip_with(F.slice(parts, 1, n), F.slice(parts, 2, n), lambda x, y: F.struct(x.alias("before"), y.alias("chunk")))
+
+    found = X.bound(X.join_broken_words(X.page_noise(F.col(text))), pairs)
+    chunks = df.select(F.col(key).alias("source_key"), F.posexplode(found).alias("k", "x")).select("source_key", (F.col("k") + 1).cast("long").alias("bio_row"), "x.before", "x.chunk")
+    lines = F.filter(F.split("before", r"\n"), lambda x: F.trim(x) != "")
     # the name of the next biography stands at the end of this chunk and is cut off
     own = F.regexp_replace(F.concat(F.lit("a-"), F.col("chunk")), r"\s+", " ")
     marked = F.split(F.regexp_replace(own, MARK, "\u0001$1\u0002"), "\u0001")
-    entries = F.filter(marked, lambda e: F.contains(e, F.lit("\u0002")))
-
+    held = chunks.select("source_key", "bio_row", F.trim(F.try_element_at(lines, F.lit(-1))).alias("last"), F.trim(F.try_element_at(lines, F.lit(-2))).alias("prior"), F.filter(marked, lambda e: F.contains(e, F.lit("\u0002"))).alias("entries"))
+    last, prior = F.col("last"), F.col("prior")
+    broken = last.contains(")") & ~last.contains("(") & prior.contains("(") & ~prior.contains(")")
+    name = F.when(broken, F.concat_ws(" ", prior, last)).otherwise(last)
 
     def field(letter: str) -> Column:
-        own_entries = F.filter(entries, lambda e: F.startswith(e, F.lit(letter + "\u0002")))
-        return F.trim(F.get(F.split(F.try_element_at(own_entries, F.lit(-1)), "\u0002"), F.lit(1)))
+        mine = F.filter("entries", lambda e: F.startswith(e, F.lit(letter + "\u0002")))
+        return F.trim(F.get(F.split(F.try_element_at(mine, F.lit(-1)), "\u0002"), F.lit(1)))
 
-    out = [field(k).alias(v) for k, v in FIELDS.items()]
-    return chunks.select("source_key", F.col("bio_row").cast("long").alias("bio_row"), name.alias("name"), *out)
+    return held.select("source_key", "bio_row", name.alias("name"), *[field(k).alias(v) for k, v in FIELDS.items()])
 
 
 def rebuilt_names(df: DataFrame, order: str, name: str = "name", before: str = "sources", partition: str | None = None) -> DataFrame:

@@ -150,8 +150,3 @@ def focus_capped(df: DataFrame, focus: str, person: str, most: int, size: str =
 def without_rows(df: DataFrame, unwanted: Column) -> DataFrame:
     """Rows for which a condition does not hold; where it is unknown the row stays."""
     return df.where(~F.coalesce(unwanted, F.lit(False)))
-
-
-def every_string(df: DataFrame, f) -> DataFrame:
-    """One function over all text columns."""
-    return df.select(*[f(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])

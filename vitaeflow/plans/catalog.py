@@ -299,12 +299,6 @@ def name_normalized(spark, d):
     return table(spark, d, "biographies").select("bio_row", X.normalize_name(F.col("name")).alias("name_norm"))
 
 
-@query()
-def name_split(spark, d):
-    """Display name, death note, year and date of death."""
-    return table(spark, d, "biographies").select("bio_row", *[c.alias(n) for n, c in X.split_person(F.col("name")).items()])
-
-
 @query()
 def accents_stripped(spark, d):
     """Texts of every script without accents."""
@@ -494,7 +488,12 @@ def lookup_school(spark, d):
     return V.education(spark, d, "organization").select("record_id", X.state_of_school(F.col("organization")).alias("state_found"))
 
 
-@query()
+_STATE_OF = lambda c: f"(CASE {c} " + " ".join(f"WHEN '{k.lower()}' THEN '{v}'" for k, v in rules.STATE_VARIANTS) + " END)"
+_STATE_OF_CITY = lambda c: f"(CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.CITY_STATE.items()) + " END)"
+_CAPTURED = [V.plain_sql(f"trim(regexp_extract(role_text_raw, '{p}', 1))") for p in rules.OFFICE_STATE]
+
+
+@query(f"WITH {V.PP} SELECT record_id, coalesce({', '.join(_STATE_OF(c) for c in _CAPTURED[:3])}, {_STATE_OF_CITY(_CAPTURED[3])}, {V.state_sql('role_text_raw')}) AS state_found FROM pp WHERE field_type = 'public_positions'")
 def lookup_office(spark, d):
     """State of every public office, captured after its title first."""
     return V.domain(spark, d, "public_positions", "role_text_raw").select("record_id", X.state_of_office(F.col("role_text_raw")).alias("state_found"))
@@ -532,13 +531,19 @@ def year_repair(spark, d):
     return V.positions(spark, d, "year_start", "year_end").select("record_id", a.alias("y0"), b.alias("y1"), X.years_in_post(F.col("year_start"), F.col("year_end")).alias("years_in_post"))
 
 
-_DT = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(birth_date), ';.*$', ''), '\bSept\b', 'Sep', 'g'), '\bJune\b', 'Jun', 'g'), '\bJuly\b', 'Jul', 'g'), '[.,]', ' ', 'g'), '\s+', ' ', 'g'))"
+_DT = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim({c}), ';.*$', ''), '\bSept\b', 'Sep', 'g'), '\bJune\b', 'Jun', 'g'), '\bJuly\b', 'Jul', 'g'), '[.,]', ' ', 'g'), '\s+', ' ', 'g'))"
 _MON = r"list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], lower(substr(regexp_extract(t, '^([A-Za-z]+)', 1), 1, 3)))"
+_FULL_DATE = r"(?i)^(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|january|february|march|april|june|july|august|september|october|november|december) \d{1,2} \d{4}$"
+
+
+def dates_sql(source: str, c: str) -> str:
+    """Steps x, y and z over a source that read a date as people write it."""
+    return rf"""x AS (SELECT *, trim({c}) AS s, {_DT.format(c=c)} AS t FROM {source}),
+y AS (SELECT *, regexp_matches(s, '^\d{{4}}s$') AS dec, s IS NULL OR s = '' OR regexp_matches(s, '\bmp\b') OR NOT regexp_matches(s, '\d') AS junk, regexp_matches(t, '^\d{{4}}$') AS yo, regexp_matches(t, '^[A-Za-z]+ \d{{4}}$') AS my, regexp_matches(t, '{_FULL_DATE}') AS full_ FROM x),
+z AS (SELECT *, CASE WHEN dec OR junk THEN NULL WHEN yo THEN make_date(CAST(t AS INTEGER), 1, 1) WHEN my THEN make_date(CAST(right(t, 4) AS INTEGER), CAST({_MON} AS INTEGER), 1) WHEN full_ THEN make_date(CAST(right(t, 4) AS INTEGER), CAST({_MON} AS INTEGER), CAST(regexp_extract(t, ' (\d{{1,2}}) ', 1) AS INTEGER)) END AS date FROM y)"""
 
 
-@query(rf"""WITH x AS (SELECT bio_row, trim(birth_date) AS s, {_DT} AS t FROM biographies),
-y AS (SELECT *, regexp_matches(s, '^\d{{4}}s$') AS dec, s IS NULL OR s = '' OR regexp_matches(s, '\bmp\b') OR NOT regexp_matches(s, '\d') AS junk, regexp_matches(t, '^\d{{4}}$') AS yo, regexp_matches(t, '^[A-Za-z]+ \d{{4}}$') AS my, regexp_matches(t, '(?i)^(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|january|february|march|april|june|july|august|september|october|november|december) \d{{1,2}} \d{{4}}$') AS full_ FROM x),
-z AS (SELECT *, CASE WHEN dec OR junk THEN NULL WHEN yo THEN make_date(CAST(t AS INTEGER), 1, 1) WHEN my THEN make_date(CAST(right(t, 4) AS INTEGER), CAST({_MON} AS INTEGER), 1) WHEN full_ THEN make_date(CAST(right(t, 4) AS INTEGER), CAST({_MON} AS INTEGER), CAST(regexp_extract(t, ' (\d{{1,2}}) ', 1) AS INTEGER)) END AS date FROM y)
+@query(rf"""WITH {dates_sql("biographies", "birth_date")}
 SELECT bio_row, CAST(date AS VARCHAR) AS date, CASE WHEN dec THEN 'decade' WHEN junk THEN 'unparseable' WHEN yo THEN 'year_only' WHEN my THEN 'month_year' WHEN date IS NOT NULL THEN 'full' ELSE 'unparseable' END AS precision, CAST(CASE WHEN dec THEN CAST(left(s, 4) AS INTEGER) ELSE year(date) // 10 * 10 END AS INTEGER) AS decade FROM z""")
 def date_parse_precision(spark, d):
     """Birth dates as people wrote them: date, precision and decade."""
@@ -546,6 +551,22 @@ def date_parse_precision(spark, d):
     return b.select("bio_row", F.col("p.date").cast("string").alias("date"), "p.precision", "p.decade")
 
 
+_BARE_NAME = r"regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(strip_accents(regexp_replace(regexp_replace(name, '(?i)\s*\(deceased[^)]*\)', '', 'g'), '[()]', '', 'g')), '[^A-Za-z\s,\-]', ' ', 'g'), '\s{2,}', ' ', 'g')), '\s+,', ',', 'g'), '^[ ,]+|[ ,]+$', '', 'g')"
+_SHOWN_NAME = f"array_to_string(list_transform(regexp_extract_all({_BARE_NAME}, '[A-Za-z]+|[^A-Za-z]+'), lambda w: upper(w[1]) || lower(w[2:])), '')"
+for _w in rules.NAME_CONNECTORS:
+    _SHOWN_NAME = f"regexp_replace({_SHOWN_NAME}, '\\b{_w}\\b', '{_w.lower()}', 'g')"
+_SHOWN_NAME = f"coalesce({_SHOWN_NAME}, '')"
+_NOTE = r"n AS (SELECT bio_row, name, trim(regexp_extract(name, '(?i)\(Deceased\s*([^)]*)\)', 1)) AS note FROM biographies), l AS (SELECT *, CASE WHEN regexp_matches(note, '[A-Za-z]') THEN note END AS written FROM n)"
+
+
+@query(f"WITH {_NOTE}, {dates_sql('l', 'written')} SELECT bio_row, {_SHOWN_NAME} AS name_clean, coalesce(regexp_matches(name, '(?i)\\(Deceased'), false) AS deceased, CAST(CASE WHEN regexp_matches(note, '^\\d{{4}}$') THEN CAST(note AS INTEGER) ELSE year(date) END AS INTEGER) AS death_year, CAST(date AS VARCHAR) AS death_date FROM z")
+def name_split(spark, d):
+    """Display name, death note, year and date of death."""
+    parts = X.split_person(F.col("name"))
+    parts["death_date"] = parts["death_date"].cast("string")
+    return table(spark, d, "biographies").select("bio_row", *[c.alias(n) for n, c in parts.items()])
+
+
 # ---- splitting and repairing text ---------------------------------------------------------
 
 _SPLIT = "SELECT bio_row, CAST(generate_subscripts(string_split({c}, ';'), 1) - 1 AS INTEGER) AS pos, trim(unnest(string_split({c}, ';'))) AS entry FROM biographies WHERE {c} IS NOT NULL"
@@ -588,10 +609,14 @@ def relation_mentions(spark, d):
     return parse.mentions(table(spark, d, "biographies"), ["bio_row"], "personal_info", rules.MENTIONS, rules.MENTION_TAIL)
 
 
-@query(r"""WITH x AS (SELECT bio_row, unnest(list_distinct(list_transform(regexp_extract_all(field_j || ' ' || coalesce(govt_positions, ''), '(?i)\b(\d{1,3}(?:st|nd|rd|th)?\s+(?:Battalion|Regiment|Division|Brigade|Cavalry|Infantry|Corps|Military Zone))\b', 1), lambda m: regexp_replace(m, '(?i)(\d+)(st|nd|rd|th)?\s+', '\1 ')))) AS f FROM biographies WHERE field_j IS NOT NULL)
-SELECT bio_row, f AS focus FROM x""")
+_BOTH_CELLS = "concat_ws(' ', field_j, coalesce(govt_positions, ''))"
+_UNITS = rf"""list_transform(regexp_extract_all({_BOTH_CELLS}, '(?i)\b(\d{{1,3}}(?:st|nd|rd|th)?\s+(?:Battalion|Regiment|Division|Brigade|Cavalry|Infantry|Corps|Military Zone))\b', 1), lambda m: array_to_string(list_transform(string_split(regexp_replace(m, '(?i)(\d+)(st|nd|rd|th)?\s+', '\1 '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' '))"""
+_CHIEFS = rf"""list_transform(regexp_extract_all({_BOTH_CELLS}, 'under (?:General|Gen\.?|Col\.?|Colonel|Brigadier(?: General)?) ([A-Z][\pL.]+(?:\s+[A-Z][\pL.]+){{1,3}})', 1), lambda m: 'under Gen. ' || trim(m))"""
+
+
+@query(f"WITH x AS (SELECT bio_row, unnest(list_distinct(list_concat({_UNITS}, {_CHIEFS}))) AS focus FROM biographies WHERE field_j IS NOT NULL) SELECT bio_row, focus FROM x")
 def multi_match_explode(spark, d):
-    """Military units and commanders named in a biography, one row each; the SQL knows units only."""
+    """Military units and commanders named in a biography, one row each."""
     t = F.concat_ws(" ", "field_j", F.coalesce("govt_positions", F.lit("")))
     return table(spark, d, "biographies").where("field_j is not null").select("bio_row", F.explode(parse.units_and_commanders(t)).alias("focus"))
 
@@ -722,7 +747,14 @@ def degenerate_dropped(spark, d):
     return V.positions(spark, d, "organization").where(~relops.degenerate(F.col("organization"))).agg(F.count("*").alias("n"))
 
 
-@query()
+_HEAD = r"trim(regexp_replace(lag(sources) OVER (ORDER BY bio_row), '^.*\d[.,;]?', ''))"
+
+
+@query(rf"""WITH a AS (SELECT bio_row, name, trim(name) AS t, {_HEAD} AS head FROM biographies),
+b AS (SELECT *, coalesce(t IS NULL OR t = '' OR NOT contains(t, ',') OR regexp_matches(t, '^[\d(]') OR regexp_matches(t, '\b(mp|es),') OR regexp_matches(t, '\b19\d\d[–-]20\d\d\b') OR length(regexp_replace(t, '[^A-Za-z]', '', 'g')) < 4, true) AS bad FROM a),
+c AS (SELECT *, CASE WHEN bad AND coalesce(head, '') <> '' AND contains(head, ',') THEN trim(concat_ws(' ', head, name)) ELSE name END AS f FROM b),
+g AS (SELECT *, CASE WHEN NOT contains(regexp_replace(f, '\([^)]*\)', '', 'g'), ',') AND regexp_matches(f, '^\S+\s+\([^)]*\)\s+\S') THEN regexp_replace(f, '^(\S+\s+\([^)]*\))\s+', '\1, ') ELSE f END AS w FROM c)
+SELECT bio_row, bad AS was_corrupt, regexp_replace(w, '\((\d{{4}})\)\s*$', '(Deceased \1)') AS rebuilt FROM g""")
 def names_rebuilt(spark, d):
     """Torn names rebuilt from the row before, missing commas and death notes put in."""
     b = table(spark, d, "biographies").select("bio_row", "name", "sources")
@@ -793,7 +825,11 @@ def public_title_fill(spark, d):
     return x.select("record_id", clean.filled_title(F.col("position_title"), F.col("role_text")).alias("title"), clean.work_state_public(F.col("position_title"), F.col("state")).alias("work_state"))
 
 
-@query()
+@query(f"""WITH {V.PP}, a AS (SELECT record_id, state, role_text_raw AS t, CASE WHEN starts_with(lower(role_text_raw), lower(position_title)) THEN substr(role_text_raw, length(position_title) + 1) ELSE regexp_replace(role_text_raw, '(?i)^.*?{clean.LOCAL_OFFICE}', '') END AS r FROM pp WHERE field_type = 'public_positions'),
+b AS (SELECT *, regexp_replace(r, '^[ ,]+', '') AS q FROM a), c AS (SELECT *, coalesce({V.STRIP_SQL.format(c='q')}, '') AS u FROM b),
+e AS (SELECT *, trim(regexp_replace(u, '(?i),?\\s*(state\\s+of\\s+)?\\b({_STATES_RE})\\s*(,.*)?$', '')) AS v FROM c), g AS (SELECT *, regexp_replace(v, '^(of )|[ ,]+$', '', 'g') AS w FROM e),
+h AS (SELECT record_id, state, CASE WHEN {V.like('t', clean.LOCAL_OFFICE)} AND length(w) BETWEEN 2 AND 60 AND NOT {V.like('w', chr(92) + 'b(committee|convention|council|commission)' + chr(92) + 'b')} THEN w END AS town FROM g)
+SELECT record_id, town, coalesce(state, {_STATE_OF_CITY(V.plain_sql('town'))}) AS state_filled FROM h""")
 def municipalities(spark, d):
     """Towns of local offices, and the state a town implies."""
     x = V.domain(spark, d, "public_positions", "role_text_raw", "position_title", "state").withColumn("town", clean.municipality(F.col("role_text_raw"), F.col("position_title")))
@@ -828,7 +864,11 @@ def party_level_fill(spark, d):
     return x.select("record_id", "level", clean.work_state_party(F.col("level"), F.col("state")).alias("work_state"), clean.consistent_record(kind, F.col("role_text")).alias("kind"))
 
 
-@query()
+_NOFRAG = f"trim(regexp_replace(regexp_replace(role_text_raw, '(?i){rules.SCAN_FRAGMENTS}', ' ', 'g'), '\\s{{2,}}', ' ', 'g'))"
+
+
+@query(f"""WITH {V.PP}, x AS (SELECT record_id, role_text_raw, year_start, year_end, {_NOFRAG} AS c FROM pp), y AS (SELECT *, {V.YEARS_SQL.format(c='c', g=1)} AS a, {V.YEARS_SQL.format(c='c', g=2)} AS b FROM x)
+SELECT record_id, CASE WHEN c IS DISTINCT FROM role_text_raw AND a IS NOT NULL THEN a ELSE year_start END AS y0, CASE WHEN c IS DISTINCT FROM role_text_raw AND a IS NOT NULL THEN b ELSE year_end END AS y1 FROM y""")
 def years_reextracted(spark, d):
     """Years read again where stripping page leftovers changed the text."""
     x = V.positions(spark, d, "role_text_raw", "year_start", "year_end").withColumn("cleaned", X.strip_fragments(F.col("role_text_raw")))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import rules
 from ..functions import text as X
 from ..operators import fuzzy, graph, intervals, parse, relops
 from ..operators import repairs as R
-from ..sources.tables import table
+from ..session import ensure_checkpoint_dir
+from ..sources.tables import csv, roster_sheet, table, whole_text, write_csv
 from . import views as V
 from .catalog import _BODY, _LEVEL, party_level
 
@@ -60,9 +62,6 @@ def offices_repaired(spark, d):
     return g.select("record_id", R.office_repaired(F.col("organization"), F.lit(None).cast("string"), F.col("role_text_raw")).alias("office"))
 
 
-_FIRST = "coalesce(nullif(trim(regexp_extract(role_text, '{p}', 1)), ''))"
-
-
 @query(f"""WITH {V.PP}, x AS (SELECT record_id, nullif(trim(regexp_extract(role_text, '(?i)^\\s*([a-z][a-z \\-]*?)(?:\\s*,|\\s+(?:of|from|to)\\b|\\s*\\d|$)', 1)), '') AS t, upper(nullif(regexp_extract(role_text, '(?i)\\b(ceo|cfo|cto|coo)\\b', 1), '')) AS k FROM pp)
 SELECT record_id, coalesce(lower(t), lower(k)) AS title FROM x""")
 def titles_at_start(spark, d):
@@ -145,6 +144,16 @@ def party_ranks(spark, d):
     return x.select("record_id", "rank", "rank2", R.party_level_repaired(F.col("level"), F.col("state"), F.col("rank2"), text).alias("level2"), R.minor_party(F.col("party"), F.col("organization"), text).alias("party2"))
 
 
+@query(f"""WITH {V.PP}, x AS (SELECT *, {_BODY} AS body FROM pp WHERE field_type = 'party_positions'), l AS (SELECT *, {_LEVEL} AS level FROM x), r AS (SELECT person_id, record_id, {_RANK} AS rank FROM l)
+SELECT person_id, arg_min(rank, ({V.order_case('rank', rules.PARTY_ORDER)}, record_id)) AS best_rank FROM r GROUP BY person_id""")
+def party_best(spark, d):
+    """The highest party rank of every person."""
+    x = V.domain(spark, d, "party_positions", "person_id", "organization", "role_text", "state")
+    x = x.withColumn("body", X.cascade_sources([F.col("organization"), F.col("role_text")], rules.PARTY_BODY))
+    x = x.withColumn("rank", R.party_rank(F.col("role_text"), F.col("body"), party_level(F.col("body"), F.col("state"), F.col("role_text"))))
+    return x.groupBy("person_id").agg(relops.best_by_order(F.col("rank"), rules.PARTY_ORDER, F.col("record_id")).alias("best_rank"))
+
+
 # ---- labels of posts -------------------------------------------------------------------
 
 _TITLED = "list_aggregate(list_transform(string_split(replace(rank, '_', ' '), ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ')"
@@ -280,7 +289,7 @@ def rows_dropped(spark, d):
 @query("SELECT " + ", ".join(f"strip_accents({c}) AS {c}" if c != "org_id" else c for c in ("org_id", "org_name", "acronym", "kind")) + " FROM ref_organizations")
 def accents_off_everywhere(spark, d):
     """The reference list with no accent in any text column."""
-    return relops.every_string(table(spark, d, "ref_organizations"), X.strip_accents)
+    return relops.string_columns(table(spark, d, "ref_organizations"), X.strip_accents)
 
 
 _HALVES = "h AS (SELECT doc_id // 2 AS page, doc_id % 2 AS side, trim(text) AS t FROM documents WHERE trim(coalesce(text, '')) <> '')"
@@ -298,3 +307,38 @@ def pages_in_range(spark, d):
 def footers_off(spark, d):
     """Documents without the shortest stretches from a library's name to a year, over lines too."""
     return table(spark, d, "documents").where("text is not null").select("doc_id", R.without_footer(F.col("text"), "library of", r"\d{4}").alias("slim"))
+
+
+@query(f"WITH {V.PP}, {V.ED}, a AS (SELECT record_id, min(organization) AS o, min(state) AS s FROM ed GROUP BY record_id) SELECT pp.record_id, coalesce(pp.organization, a.o) AS organization, coalesce(pp.state, a.s) AS state FROM pp LEFT JOIN a USING (record_id)")
+def answers_filled(spark, d):
+    """Positions whose empty fields are taken from a table of answers, here the education records; kept values stay."""
+    answers = V.education(spark, d, "organization", "state")
+    return relops.fill_from(V.positions(spark, d, "organization", "state"), answers, "record_id", ["organization", "state"])
+
+
+@query("SELECT CAST(election AS INTEGER) AS election, trim(replace(name, '✓', '')) AS name, CAST(contains(name, '✓') AS INTEGER) AS is_winner FROM roster WHERE trim(name) <> ''")
+def roster_marks(spark, d):
+    """The roster with its marks read as winners."""
+    return roster_sheet(spark, f"{d}/roster.parquet")
+
+
+@query("SELECT state_id, state_name, abbrev FROM ref_states")
+def csv_round(spark, d):
+    """The list of states written as CSV and read again with a fixed schema."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/csv-{uuid.uuid4().hex}"
+    t = table(spark, d, "ref_states").select("state_id", "state_name", "abbrev")
+    write_csv(t, path)
+    return csv(spark, path, t.schema)
+
+
+@query()
+def biographies_parsed(spark, d):
+    """Biographies written as one text, with page marks and lettered fields, and split again."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/book-{uuid.uuid4().hex}"
+    b = table(spark, d, "biographies").where("name is not null")
+    part = lambda k, c: F.concat(F.lit(f" {k}-"), F.regexp_replace(F.coalesce(c, F.lit("")), parse.MARK, "$1 "))
+    text = F.concat(F.lit("--- PAGE 7 ---\n"), F.regexp_replace("name", r"\s+", " "), F.lit("\na-"), F.coalesce("birth_date", F.lit("")), *[part(k, F.col(v)) for k, v in parse.FIELDS.items() if k != "a" and v in b.columns], F.lit("\n"))
+    b.select(text.alias("value")).write.text(path)  # a file for each part of the table
+    return parse.split_biographies(whole_text(spark, path)).select("bio_row", "name", "birth_date", "education", "govt_positions")

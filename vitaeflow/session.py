@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,7 @@ def local_session(cores: str = "8", name: str = "vitaeflow", memory: str = "8g")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -33,7 +36,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if named:
         sc.setCheckpointDir(named)
     elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="vitaeflow-ckpt-", dir=os.environ.get("TMPDIR")))
+        folder = tempfile.mkdtemp(prefix="vitaeflow-ckpt-", dir=os.environ.get("TMPDIR"))
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
@@ -47,3 +52,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     """Partitions a shuffle of this session uses."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to executors on which it is not installed."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="vitaeflow-zip-"), "vitaeflow")
+    archive = shutil.make_archive(base, "zip", os.path.dirname(root), os.path.basename(root))
+    atexit.register(shutil.rmtree, os.path.dirname(archive), ignore_errors=True)
+    spark.sparkContext.addPyFile(archive)
