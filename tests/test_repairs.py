@@ -54,6 +54,10 @@ def test_party_ranks(spark):
 def test_years_and_degrees(spark):
     rows = [("Thesis, with a thesis on the Constitution, 1857, 1950", 1860, 1860), ("law degree, 1950-1940", 1950, 1940), ("studies since 1910, 1931", 1870, 1870), ("plain, 1950", 1950, 1950), (None, None, None), ("144 mexican political biographies law, 1933", 1, 2)]
     assert applied(spark, rows, "r string, a int, b int", *R.education_years(F.col("r"), F.col("a"), F.col("b"))) == [(None, None), (1950, 1940), (1931, 1931), (1950, 1950), (None, None), (1933, 1933)]
+    y = [(2003, 1912), (1950, 1940), (1700, 1900), (1700, 1750), (1990, 2050), (None, 1900), (1900, None), (None, None), (2050, 2060)]
+    a, b = F.col("a"), F.col("b")
+    assert applied(spark, y, "a int, b int", *R.public_years(a, b)) == [(2003, 2012), (1940, 1950), *y[2:]]
+    assert applied(spark, y, "a int, b int", *R.other_years(a, b)) == [(2003, 2012), (1940, 1950), (1900, 1900), (None, None), (1990, 1990), (None, 1900), (1900, None), (None, None), (None, None)]
     f = [("business", "public policy"), ("other", "urban planning"), ("law", "governance"), (None, "diplomacy"), ("business", None)]
     assert applied(spark, f, "f string, t string", R.degree_field(F.col("f"), F.col("t"))) == ["political_sci", "architecture", "law", None, "business"]
     d = [(True, None, None), (False, "Harvard and UNAM", None), (False, "Harvard", None), (None, "UNAM", "Yale"), (None, None, None)]

@@ -192,6 +192,22 @@ def education_years(raw: Column, start: Column, end: Column) -> tuple[Column, Co
     return F.when(again, a).otherwise(start), F.when(again, b).otherwise(end)
 
 
+def public_years(start: Column, end: Column) -> tuple[Column, Column]:
+    """An end a century too low is raised (2012 read as 1912), other reversed years are swapped."""
+    low = (start >= 2000) & (end < 1950)
+    swap = (end < start) & ~low
+    return F.when(swap, end).otherwise(start), F.when(low, end + 100).when(swap, start).otherwise(end)
+
+
+def other_years(start: Column, end: Column, least: int = 1850, most: int = 2009) -> tuple[Column, Column]:
+    """The same; then a year out of bounds takes the other one, a start only if that lies within.  A raised end stays as it is."""
+    low = F.coalesce((start >= 2000) & (end < 1950), F.lit(False))
+    a, b = public_years(start, end)
+    first = F.when(a.between(least, most) | a.isNull(), a).when(b.between(least, most), b)
+    last = F.when(b.between(least, most) | b.isNull(), b).otherwise(first)
+    return F.when(low, start).otherwise(first), F.when(low, end + 100).otherwise(last)
+
+
 def degree_field(field: Column, text: Column) -> Column:
     """Business that is political science, and urbanism that is architecture."""
     return F.when((field == "business") & _is(text, rules.POLITICAL_FIELD), "political_sci").when((field == "other") & _is(text, rules.URBAN_FIELD), "architecture").otherwise(field)

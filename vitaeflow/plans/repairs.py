@@ -103,6 +103,32 @@ def education_years(spark, d):
     return e.select("record_id", a.alias("y0"), b.alias("y1"))
 
 
+_LOW = "coalesce(year_start >= 2000 AND year_end < 1950, false)"
+_IN = lambda c: f"({c} BETWEEN 1850 AND 2009)"
+
+
+@query(f"""WITH {V.PP}, p AS (SELECT record_id, field_type, year_start, year_end, {_LOW} AS low, CASE WHEN NOT {_LOW} AND year_end < year_start THEN year_end ELSE year_start END AS a, CASE WHEN {_LOW} THEN year_end + 100 WHEN year_end < year_start THEN year_start ELSE year_end END AS b FROM pp WHERE field_type IN ('public_positions', 'other_positions')),
+f AS (SELECT *, CASE WHEN a IS NULL OR {_IN('a')} THEN a WHEN {_IN('b')} THEN b END AS first FROM p)
+SELECT record_id, CASE WHEN field_type = 'public_positions' OR low THEN a ELSE first END AS y0, CASE WHEN field_type = 'public_positions' OR low THEN b WHEN b IS NULL OR {_IN('b')} THEN b ELSE first END AS y1 FROM f""")
+def years_by_field(spark, d):
+    """Years of public and other posts, by the repair of their field."""
+    x = V.positions(spark, d, "field_type", "year_start", "year_end").where(F.col("field_type").isin("public_positions", "other_positions"))
+    ends = F.col("year_start"), F.col("year_end")
+    public = F.col("field_type") == "public_positions"
+    return x.select("record_id", *[F.when(public, p).otherwise(o).alias(n) for n, p, o in zip(("y0", "y1"), R.public_years(*ends), R.other_years(*ends))])
+
+
+_OFF = lambda p: f"trim(regexp_replace(regexp_replace(role_text_raw, '(?i){p}', ' ', 'g'), '\\s{{2,}}', ' ', 'g'))"
+
+
+@query(f"WITH {V.PP} SELECT record_id, CASE WHEN field_type IN ('govt_positions', 'public_positions') THEN {_OFF(rules.SCAN_FRAGMENTS_OFFICE)} ELSE {_OFF(rules.SCAN_FRAGMENTS_ALL)} END AS cleaned FROM pp")
+def fragments_by_field(spark, d):
+    """Role texts without leftovers of the scans, by the pattern of their field."""
+    c = F.col("role_text_raw")
+    office = F.col("field_type").isin("govt_positions", "public_positions")
+    return V.positions(spark, d, "field_type", "role_text_raw").select("record_id", F.when(office, R.cleaned_entry(c, rules.SCAN_FRAGMENTS_OFFICE)).otherwise(R.cleaned_entry(c)).alias("cleaned"))
+
+
 _BOTH = "concat_ws(' ', role_text_raw, organization)"
 
 
