@@ -121,6 +121,9 @@ def test_editor_on_held_out_damage():
     # text that begins with a number, or looks like a part of a header, stays
     assert editor.repair("Notary Public No.\n27, Department of Water, 1950") == "Notary Public No. 27, Department of Water, 1950"
     assert editor.repair("recorded in file\n214 of the registry") == "recorded in file 214 of the registry"
+    # lost letters are put back, and a run that is no word is left alone
+    assert editor.repair("Secretary of Pres and Propaganda, 1950") == "Secretary of Press and Propaganda, 1950"
+    assert editor.repair("Federal Deputy, " + "lrn" * 20_000) == "Federal Deputy, " + "lrn" * 20_000
     long_ = "Federal Deputy, School of Agronomy, " * 8_000 + "Fed-\neral"
     assert editor.repair(long_).endswith("Federal")
 
