@@ -14,7 +14,7 @@ from ..operators import repairs as R
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import csv, roster_sheet, table, whole_text, write_csv
 from . import views as V
-from .catalog import _BODY, _LEVEL, party_level
+from .catalog import _BODY, _BOTH_CELLS, _CHIEFS, _LEVEL, _UNITS, party_level
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -240,7 +240,44 @@ def _military(spark: SparkSession, d: str) -> DataFrame:
     return e.select("person_id", "entry", a.alias("year_start"), F.coalesce(b, a).alias("year_end"))
 
 
-@query()
+_UNIT_WORD = "(?:brigade|battalion|regiment|division|corps|cavalry|infantry|zone)"
+_ENTRY_UNITS, _ENTRY_CHIEFS = (x.replace(_BOTH_CELLS, "entry") for x in (_UNITS, _CHIEFS))
+_STATES = ", ".join("('" + k.lower().replace(".", "\\.") + f"', '{v}')" for k, v in rules.STATE_VARIANTS)
+
+
+def _met_sql(name: str, stage: int, kind: str, most: int) -> str:
+    """Edges of one kind from dated records with a focus."""
+    return f"""{name}_r AS (SELECT person_id, focus, year_start, coalesce(year_end, year_start) AS year_end, role FROM {name} WHERE focus IS NOT NULL AND year_start IS NOT NULL),
+{name}_n AS (SELECT focus, count(DISTINCT person_id) AS focus_size FROM {name}_r GROUP BY focus HAVING count(DISTINCT person_id) <= {most}),
+{name}_e AS (SELECT {stage} AS stage, '{kind}' AS edge_type, e.person_id AS ego_id, a.person_id AS alter_id, e.focus, n.focus_size, e.role AS ego_role, a.role AS alter_role, greatest(e.year_start, a.year_start) AS year_start, least(e.year_end, a.year_end) AS year_end
+ FROM {name}_r e JOIN {name}_n n ON n.focus = e.focus JOIN {name}_r a ON a.focus = e.focus WHERE e.person_id IN (SELECT person_id FROM roster) AND e.person_id <> a.person_id AND e.year_start <= a.year_end + 1 AND a.year_start <= e.year_end + 1)"""
+
+
+_NOTE_TEXT = "personal_info"
+for _p in rules.TEXT_ARTIFACTS:
+    _NOTE_TEXT = f"regexp_replace({_NOTE_TEXT}, '{_p}', '', 'g')"
+_NAMED = " UNION ALL ".join(f"SELECT ego_id, '{k}' AS kind, unnest(regexp_extract_all(t, '(?i){p}', 1)) AS m FROM notes" for k, p in rules.MENTIONS)
+_EDGES_SQL = f"""WITH {V.PP}, {V.ED},
+s0 AS (SELECT * FROM ed WHERE length(organization) >= 3 AND NOT regexp_matches(organization, '(?i)\\bNo\\.?\\s*$')), ss AS (SELECT organization, count(DISTINCT person_id) AS n FROM s0 GROUP BY organization),
+school AS (SELECT person_id, CASE WHEN ss.n <= {MOST_AT_SCHOOL} THEN s0.organization ELSE s0.organization || ' | ' || nullif(trim(degree_field), '') END || ' [' || coalesce(nullif(trim(degree_level), ''), 'pre/other') || '/' || CASE WHEN record_type = 'academic_role' THEN 'staff' ELSE 'student' END || ']' AS focus, year_start, year_end, role_text AS role FROM s0 JOIN ss ON ss.organization = s0.organization),
+w0 AS (SELECT *, nullif(trim(organization), '') AS org, nullif(trim(state), '') AS st, {_BODY} AS body, nullif(trim(regexp_extract(role_text, '(?i)\\b(Department\\s+of\\s+[A-Za-z][^,;0-9]{{2,60}})', 1)), '') AS dep, coalesce({V.case('organization', rules.PARTY)}, {V.case('role_text', rules.PARTY)}, nullif(trim(organization), ''), 'party') AS party FROM pp WHERE field_type NOT IN ('education', 'birthplace')),
+work AS (SELECT person_id, CASE WHEN field_type = 'party_positions' THEN CASE WHEN body IS NOT NULL OR st IS NOT NULL THEN party || ' – ' || coalesce(body || coalesce(' (' || st || ')', ''), st) END WHEN field_type = 'govt_positions' THEN coalesce(org || ' – ' || dep, coalesce({V.case('org', rules.SECRETARIAT)}, org)) ELSE org END AS focus, year_start, year_end, role_text AS role FROM w0),
+m0 AS (SELECT person_id, trim(unnest(string_split(field_j, ';'))) AS entry FROM biographies WHERE field_j IS NOT NULL AND person_id IS NOT NULL),
+m AS (SELECT person_id, entry, {V.YEARS_SQL.format(c='entry', g=1)} AS year_start, coalesce({V.YEARS_SQL.format(c='entry', g=2)}, {V.YEARS_SQL.format(c='entry', g=1)}) AS year_end FROM m0 WHERE length(entry) >= 5),
+units AS (SELECT person_id, unnest(list_distinct(list_concat({_ENTRY_UNITS}, {_ENTRY_CHIEFS}))) AS focus, year_start, year_end, entry AS role FROM m),
+fought AS (SELECT DISTINCT person_id, 'Revolution (' || v.state || ')' AS focus, year_start, year_end, entry AS role FROM m JOIN (VALUES {_STATES}) v(k, state) ON regexp_matches(regexp_replace({V.plain_sql('entry')}, '\\b' || v.k || '\\b\\s+{_UNIT_WORD}', chr(1), 'g'), '\\b' || v.k || '\\b') WHERE regexp_matches(entry, '(?i){_REVOLUTION}')),
+notes AS (SELECT person_id AS ego_id, trim({_NOTE_TEXT}) AS t FROM biographies WHERE person_id IN (SELECT person_id FROM roster)), n0 AS ({_NAMED}),
+named AS (SELECT * FROM (SELECT ego_id, kind, trim(regexp_replace(m, '(?i){rules.MENTION_TAIL}', '')) AS mention FROM n0) WHERE length(mention) >= 4),
+pt AS (SELECT person_id, {V.TOKENS_SQL.format(c="person_name")} AS pt FROM (SELECT person_id, min(person_name) AS person_name FROM parsed_positions WHERE person_id IS NOT NULL GROUP BY person_id)),
+q AS (SELECT DISTINCT mention, {V.TOKENS_SQL.format(c="mention")} AS qt FROM named), h AS (SELECT q.mention, pt.person_id, len(list_intersect(q.qt, pt.pt)) AS overlap, len(pt.pt) AS np FROM q JOIN pt ON len(list_intersect(q.qt, pt.pt)) >= 2),
+who AS (SELECT mention, person_id FROM (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY overlap DESC, np, person_id) AS k FROM h) WHERE k = 1),
+explicit AS (SELECT 5 AS stage, kind AS edge_type, ego_id, who.person_id AS alter_id, kind AS focus, CAST(NULL AS BIGINT) AS focus_size, kind AS ego_role, left(named.mention, 80) AS alter_role, CAST(NULL AS INTEGER) AS year_start, CAST(NULL AS INTEGER) AS year_end FROM named JOIN who ON who.mention = named.mention WHERE ego_id <> who.person_id),
+{_met_sql("school", 1, "co_education", MOST_AT_SCHOOL)}, {_met_sql("work", 2, "co_work", MOST_AT_WORK)}, {_met_sql("units", 3, "co_military", MOST_AT_WORK)}, {_met_sql("fought", 4, "co_revolution", MOST_AT_WORK)},
+every_ AS (SELECT * FROM school_e UNION ALL SELECT * FROM work_e UNION ALL SELECT * FROM units_e UNION ALL SELECT * FROM fought_e UNION ALL SELECT * FROM explicit)
+SELECT edge_type, ego_id, alter_id, focus, focus_size, ego_role, alter_role, year_start, year_end FROM (SELECT *, row_number() OVER (PARTITION BY ego_id, alter_id, edge_type, focus ORDER BY stage, year_start NULLS FIRST, year_end NULLS FIRST, alter_role NULLS FIRST, focus_size NULLS FIRST, ego_role NULLS FIRST) AS k FROM every_) WHERE k = 1"""
+
+
+@query(_EDGES_SQL)
 def edges_assembled(spark, d):
     """Edges of the egos from six sources, each once per ego, alter, kind and focus: schools, work, units and
     commanders, the Revolution in one state, and relations named in personal notes."""
