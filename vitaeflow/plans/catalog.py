@@ -156,10 +156,10 @@ def alter_popularity(spark, d):
     return graph.popularity(V.edges(spark, d))
 
 
-@query("SELECT DISTINCT person_id FROM roster WHERE person_id NOT IN (SELECT ego_id FROM tapado_edges WHERE ego_id IS NOT NULL)")
+@query("SELECT DISTINCT person_id FROM roster WHERE person_id NOT IN (SELECT ego_id FROM tapado_edges WHERE ego_id IS NOT NULL AND edge_type = 'co_military')")
 def zero_degree_egos(spark, d):
-    """Candidates without an edge."""
-    return V.egos(spark, d).join(table(spark, d, "tapado_edges").select(F.col("ego_id").alias("person_id")), "person_id", "left_anti")
+    """Candidates without an edge in the network of military service."""
+    return V.egos(spark, d).join(table(spark, d, "tapado_edges").where("edge_type = 'co_military'").select(F.col("ego_id").alias("person_id")), "person_id", "left_anti")
 
 
 @query("SELECT * EXCLUDE (rn) FROM (SELECT seq, ego_id, alter_id, edge_type, focus, year_start, year_end, row_number() OVER (PARTITION BY ego_id, alter_id, edge_type, focus, year_start, year_end ORDER BY seq) AS rn FROM tapado_edges) WHERE rn = 1")
@@ -697,10 +697,10 @@ def semi_filter(spark, d):
     return table(spark, d, "parsed_positions").select("person_id").distinct().join(ids, "person_id", "left_semi")
 
 
-@query("SELECT DISTINCT person_id FROM parsed_positions WHERE person_id NOT IN (SELECT ego_id FROM tapado_edges WHERE ego_id IS NOT NULL UNION SELECT alter_id FROM tapado_edges WHERE alter_id IS NOT NULL)")
+@query("SELECT DISTINCT person_id FROM parsed_positions WHERE person_id NOT IN (SELECT ego_id FROM tapado_edges WHERE ego_id IS NOT NULL AND edge_type = 'co_work' UNION SELECT alter_id FROM tapado_edges WHERE alter_id IS NOT NULL AND edge_type = 'co_work')")
 def anti_filter(spark, d):
-    """Persons of the positions that are not in the network."""
-    e = table(spark, d, "tapado_edges")
+    """Persons of the positions that are not in the network of work."""
+    e = table(spark, d, "tapado_edges").where("edge_type = 'co_work'")
     ids = e.select(F.col("ego_id").alias("person_id")).union(e.select("alter_id"))
     return table(spark, d, "parsed_positions").select("person_id").distinct().join(ids, "person_id", "left_anti")
 
