@@ -697,10 +697,10 @@ def semi_filter(spark, d):
     return table(spark, d, "parsed_positions").select("person_id").distinct().join(ids, "person_id", "left_semi")
 
 
-@query("SELECT DISTINCT person_id FROM parsed_positions WHERE person_id NOT IN (SELECT ego_id FROM tapado_edges WHERE ego_id IS NOT NULL AND edge_type = 'co_work' UNION SELECT alter_id FROM tapado_edges WHERE alter_id IS NOT NULL AND edge_type = 'co_work')")
+@query("SELECT DISTINCT person_id FROM parsed_positions WHERE person_id NOT IN (SELECT ego_id FROM tapado_edges WHERE ego_id IS NOT NULL AND edge_type = 'co_military' UNION SELECT alter_id FROM tapado_edges WHERE alter_id IS NOT NULL AND edge_type = 'co_military')")
 def anti_filter(spark, d):
-    """Persons of the positions that are not in the network of work."""
-    e = table(spark, d, "tapado_edges").where("edge_type = 'co_work'")
+    """Persons of the positions that are not in the network of military service."""
+    e = table(spark, d, "tapado_edges").where("edge_type = 'co_military'")
     ids = e.select(F.col("ego_id").alias("person_id")).union(e.select("alter_id"))
     return table(spark, d, "parsed_positions").select("person_id").distinct().join(ids, "person_id", "left_anti")
 
