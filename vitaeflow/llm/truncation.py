@@ -125,22 +125,45 @@ def hash_of(table: str) -> int:
     return int.from_bytes(hashlib.blake2b(table.encode(), digest_size=8).digest(), "little", signed=True)
 
 
+#: Keys a task gathers before it joins the equal ones and hands them on.
+GATHERED = 1_500_000
+
+
 def _keyed(lengths: np.ndarray, own: bool):
-    """Keys of every text itself, or of its proper prefixes: one row for equal texts of a batch, with their weight."""
+    """Keys of every text itself, or of its proper prefixes: one row for equal texts of a task, with their weight."""
+
+    def joined(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        key, mark, tid, weight = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((-weight, mark, key))
+        key, mark, tid, weight = key[order], mark[order], tid[order], weight[order]
+        starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (mark[1:] != mark[:-1]))))
+        return key[starts], mark[starts], tid[starts], np.add.reduceat(weight, starts)
+
+    def out(cols: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(cols[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in cols], names=["key", "mark", "tid", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, ...]] = []
+        held = 0
         for b in batches:
             tid, n = (b.column(c).to_numpy() for c in ("tid", "n"))
             row, key, mark = prefix_table(b.column("text").to_pylist(), lengths, own)
             table = np.array([hash_of(t) for t in b.column("tab").to_pylist()], np.int64)
-            key = key ^ table[row]
-            weight = n[row]
-            if not own and len(row):
-                order = np.lexsort((-weight, mark, key))
-                row, key, mark, weight = row[order], key[order], mark[order], weight[order]
-                starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (mark[1:] != mark[:-1]))))
-                row, key, mark, weight = row[starts], key[starts], mark[starts], np.add.reduceat(weight, starts)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(mark), pa.array(tid[row]), pa.array(weight)], names=["key", "mark", "tid", "n"])
+            cols = (key ^ table[row], mark, tid[row], n[row])
+            if own:
+                yield from out(cols)
+                continue
+            parts.append(cols)
+            held += len(row)
+            if held > GATHERED:
+                parts = [joined(parts)]
+                if len(parts[0][0]) > GATHERED // 2:  # little was equal
+                    yield from out(parts[0])
+                    parts = []
+                held = len(parts[0][0]) if parts else 0
+        if held:
+            yield from out(joined(parts))
 
     return run
 
