@@ -5,7 +5,7 @@ import random
 import pytest
 
 from vitaeflow.llm.canonical import Matcher, _Words, map_by_join, map_values
-from vitaeflow.llm.scans import damage, scan_damage, train_editor, word_counts
+from vitaeflow.llm.scans import Held, damage, scan_damage, train_editor, word_counts, word_marks
 from vitaeflow.llm.strings import edits
 from vitaeflow.llm.truncation import cut_records, open_text, prefix_table
 
@@ -138,3 +138,24 @@ def test_scan_damage_frame(spark):
     assert joined == got
     assert scan_damage(df.where("false")).count() == 0
     assert word_counts(df).where("word = 'Ibero-Antillean'").count() == 1
+
+
+def test_scan_damage_whatever_the_words_sent(spark):
+    # words that only come about when a line between their parts is removed, or when another word is repaired first
+    broken = ["Federal De-\n[12]\npufy, 1950", "Fed-\neral De-\n12\nputy, 1950", "Fed-\neral De-\n[12]\n- 7 -\npufy", "Secretary of Propa-\n\n[3]\ngan-\nda", "School of Agrono-\n- 278 -\nmy, De-\n[4]\nputy"]
+    lines = corpus(1500, 3)
+    torn = [v.replace(" ", "\n", k % 4 + 1) for k, v in enumerate(lines[:1000])]  # lines of many shapes
+    rows = [("p", i, v) for i, v in enumerate(broken + torn + lines)]
+    df = spark.createDataFrame(rows, "table_name string, record_id long, value string")
+    want = sorted(tuple(r) for r in scan_damage(df, 400).collect())
+    assert [f for _, i, _, f in want if i < 2] == ["Federal Deputy, 1950"] * 2
+    for sent in (0, 12):
+        assert sorted(tuple(r) for r in scan_damage(df, 400, most_words=sent).collect()) == want, sent
+
+
+def test_word_marks(spark):
+    words = [f"word{i}é" for i in range(3000)]
+    held = Held({"of": 9}, word_marks(spark.createDataFrame([(w, 2) for w in words], "word string, n long"), len(words)))
+    assert all(map(held.may, words)) and sum(held.may(f"other{i}") for i in range(3000)) < 30
+    held.hold({"word1é": 0})
+    assert (held.get("of"), held.get("word1é"), held.get("word2é"), held.get("nowhere")) == (9, 0, 0, 0) and held.missing == {"word2é"}

@@ -17,11 +17,12 @@ is several times as frequent.
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import uuid
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,8 +30,10 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-#: Different words up to which their counts are sent to every task.
+#: Words, the most frequent ones, whose counts are sent to every task.
 MOST_WORDS = 1_000_000
+#: Bits a word has in the filter that tells words without a count, and the most bits of that filter (128 MB).
+BITS, MOST_BITS = 32, 1 << 30
 #: Values the editor is fitted on.
 TRAINED_ON = 3_000
 #: Letters of the longest word; longer runs are no words of a language and are kept as they are.
@@ -127,10 +130,13 @@ def undone(w: str) -> Iterator[list[tuple[str, tuple[str, ...]]]]:
 class Words:
     """Counts of the words of the corpus and the corrections they allow."""
 
-    def __init__(self, counts: dict[str, int]):
+    def __init__(self, counts: dict[str, int] | Held):
         self.n = counts
         self.memo: dict[str, tuple[str, tuple[str, ...]] | None] = {}
 
+    def corrections(self, w: str) -> Iterable[list[tuple[str, tuple[str, ...]]]]:
+        return undone(w)
+
     def known(self, w: str) -> bool:
         return self.n.get(w, 0) >= 3 or w.isdigit()
 
@@ -145,15 +151,14 @@ class Words:
         return got
 
     def _fix(self, w: str) -> tuple[str, tuple[str, ...]] | None:
-        own = self.n.get(w, 0)
-        need = max(2 if has_sign(w) else 3, RATIO * own) if len(w) > 2 else max(50, 50 * own)
-        for level in undone(w):
-            best: tuple[int, str, tuple[str, ...]] | None = None
-            for t, ops in level:
-                c = self.n.get(t, 0)
-                if c >= need and (best is None or c > best[0]):
-                    best = (c, t, ops)
-            if best:
+        for level in self.corrections(w):
+            counted = [(c, t, ops) for t, ops in level if (c := self.n.get(t, 0))]
+            if not counted:
+                continue
+            own = self.n.get(w, 0)
+            need = max(2 if has_sign(w) else 3, RATIO * own) if len(w) > 2 else max(50, 50 * own)
+            best = max(counted, key=lambda x: x[0])  # the first of the most frequent
+            if best[0] >= need:
                 return best[1], best[2]
         return None
 
@@ -161,6 +166,63 @@ class Words:
         return self.known(w) or self.fix(w) is not None
 
 
+def _places(word: str, bits: int) -> Iterator[int]:
+    """Where a word stands in a filter of so many bits."""
+    h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=16).digest(), "little")
+    for _ in range(4):
+        yield h & (bits - 1)
+        h >>= 32
+
+
+class Held:
+    """Counts of the frequent words and of those that were looked up.  Words outside the filter have none; the others
+    that are asked for are written down."""
+
+    def __init__(self, frequent: dict[str, int], marks: bytes):
+        self.frequent, self.marks, self.bits = frequent, marks, 8 * len(marks)
+        self.hold({})
+
+    def hold(self, counts: dict[str, int]) -> None:
+        self.counts, self.missing, self.misses = counts, set(), 0
+
+    def get(self, w: str, default: int = 0) -> int:
+        n = self.frequent.get(w) or self.counts.get(w)
+        if n is not None:
+            return n
+        if w in self.missing or self.may(w):
+            self.missing.add(w)
+            self.misses += 1
+        return default
+
+    def may(self, w: str) -> bool:
+        """Whether a word may have a count."""
+        return w in self.frequent or all(self.marks[p >> 3] >> (p & 7) & 1 for p in _places(w, self.bits))
+
+
+class HeldWords(Words):
+    """Words over :class:`Held` counts; only corrections that no missing count touched are remembered."""
+
+    def __init__(self, held: Held):
+        super().__init__(held)
+        self.near: dict[str, tuple[list[tuple[str, tuple[str, ...]]], ...]] = {}
+
+    def corrections(self, w: str) -> Iterable[list[tuple[str, tuple[str, ...]]]]:
+        if w not in self.near:
+            if len(self.near) > 500_000:
+                self.near.clear()
+            # no word outside the frequent ones can be several times as frequent as one of them
+            may = self.n.frequent.__contains__ if w in self.n.frequent else self.n.may
+            self.near[w] = tuple(some for level in undone(w) if (some := [x for x in level if may(x[0])]))
+        return self.near[w]
+
+    def fix(self, w: str) -> tuple[str, tuple[str, ...]] | None:
+        before = self.n.misses
+        got = super().fix(w)
+        if self.n.misses > before:
+            self.memo.pop(w, None)
+        return got
+
+
 def _shape(line: str) -> str:
     """A line with # for its numbers, in lower case, blanks squeezed."""
     return re.sub(r"\s+", " ", re.sub(r"\d+", "#", line.strip())).lower()
@@ -490,22 +552,24 @@ def train_editor(counts: dict[str, int], sample: list[str], lines: dict[str, tup
 _BROKEN = re.compile(r"([^\W_]+)[-¬\xad‐][ \r]*\n?[ ]*([^\W_]+)")
 
 
+def _words_of(v: str) -> set[str]:
+    """Words whose counts the editor asks for first: those of the value, those joined over a break, compounds."""
+    found = set(_WORD.findall(v))
+    at, m = 0, _BROKEN.search(v)
+    while m:
+        found |= {m[1] + m[2], f"{m[1]}-{m[2]}"}
+        at = m.start(2)
+        m = _BROKEN.search(v, at)
+    for run in re.findall(r"[^\W_]+(?:[-¬\xad‐][ \r]*\n?[ ]*[^\W_]+)+", v):
+        found.add("".join(_WORD.findall(run)))
+    return found
+
+
 def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each value the words whose counts the editor may ask for: its words, those joined over a break, compounds."""
     for b in batches:
-        ids, words = [], []
-        for uid, v in zip(*(c.to_pylist() for c in b.columns)):
-            found = set(_WORD.findall(v))
-            at, m = 0, _BROKEN.search(v)
-            while m:
-                found |= {m[1] + m[2], f"{m[1]}-{m[2]}"}
-                at = m.start(2)
-                m = _BROKEN.search(v, at)
-            for run in re.findall(r"[^\W_]+(?:[-¬\xad‐][ \r]*\n?[ ]*[^\W_]+)+", v):
-                found.add("".join(_WORD.findall(run)))
-            ids.extend([uid] * len(found))
-            words.extend(found)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.string())], names=["uid", "word"])
+        rows = [(uid, w) for uid, v in zip(*(c.to_pylist() for c in b.columns)) for w in _words_of(v)]
+        cols = list(zip(*rows)) if rows else [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string())], names=["uid", "word"])
 
 
 def _corrections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -515,31 +579,78 @@ def _corrections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string())], names=["word", "meant"])
 
 
-def _joined_damage(values: DataFrame, counts: DataFrame, editor: Editor) -> DataFrame:
-    """The same result for a vocabulary of any size: every value is joined with the counts of just
-    those words, and of their corrections, that the editor asks for."""
-    rows = cut_lineage(values.withColumn("uid", F.monotonically_increasing_id()))
-    asked = cut_lineage(rows.select("uid", "value").mapInArrow(_looked_up, "uid long, word string"))
-    words = asked.select("word").distinct()
-    meant = words.mapInArrow(_corrections, "word string, meant string").join(counts.withColumnRenamed("word", "meant").withColumnRenamed("n", "c"), "meant")
-    local = asked.join(counts, "word").select("uid", "word", "n").union(asked.join(meant, "word").select("uid", F.col("meant").alias("word"), F.col("c").alias("n")))
-    packed = local.groupBy("uid").agg(F.collect_set(F.struct("word", "n")).alias("known"))
-    handle = values.sparkSession.sparkContext.broadcast((editor.shapes, editor.headers, editor.lines.w, editor.chars.w))
+def counts_held(counts: DataFrame) -> dict[str, int]:
+    rows = counts.toPandas()
+    return dict(zip(rows["word"], rows["n"].astype(int)))
+
+
+def word_marks(counts: DataFrame, n: int) -> bytes:
+    """A filter of the ``n`` words that have a count: whoever is not in it has none."""
+    bits = 1 << 15
+    while bits < min(BITS * n, MOST_BITS):
+        bits *= 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([p + 1 for w in b.column(0).to_pylist() for p in _places(w, bits)], pa.int64())], names=["place"])
+
+    placed = counts.select("word").mapInArrow(run, "place long")
+    parts = placed.groupBy(F.bitmap_bucket_number("place").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("marks"))
+    marks = bytearray(bits >> 3)
+    for part, some in parts.toLocalIterator():
+        at = (part - 1) << 12
+        marks[at : at + len(some)] = some
+    return bytes(marks)
+
+
+def _joined_damage(values: DataFrame, counts: DataFrame, n: int, most_words: int, editor: Editor) -> DataFrame:
+    """The same result for a vocabulary of any size.  The editor works with the counts it has, first of the most
+    frequent words, and writes down those it misses; values that miss none are done, the others come again with all
+    they asked for, until none is left."""
     kind = values.schema["record_id"].dataType.simpleString()
+    frequent = counts_held(counts.orderBy(F.desc("n"), "word").limit(most_words))
+    handle = values.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, frequent, editor.shapes, editor.headers, editor.lines.w, editor.chars.w, word_marks(counts, n)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data = handle.value
+        e = _EDITORS.get(data[0])
+        if e is None:
+            _EDITORS.clear()
+            e = Editor(HeldWords(Held(data[1], data[6])), data[2], data[3])
+            e.lines.w, e.chars.w = data[4], data[5]
+            _EDITORS[data[0]] = e
+        held = e.words.n
         for b in batches:
             out = []
-            for t, r, v, known in zip(*(c.to_pylist() for c in b.columns)):
-                e = Editor(Words({k["word"]: k["n"] for k in known or ()}), *handle.value[:2])
-                e.lines.w, e.chars.w = handle.value[2:]
-                if (f := e.damaged(v)) is not None:
-                    out.append((t, r, v, f))
-            cols = list(zip(*out)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], b.column(1).type), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], names=["table_name", "record_id", "value", "repaired"])
-
-    joined = rows.join(packed, "uid", "left").select("table_name", "record_id", "value", "known")
-    return joined.mapInArrow(run, f"table_name string, record_id {kind}, value string, repaired string")
+            for uid, t, r, v, known in zip(*(c.to_pylist() for c in b.columns)):
+                held.hold({k["word"]: k["n"] for k in known or ()})
+                f = e.damaged(v)
+                if not held.missing:
+                    if f is not None:
+                        out.append((uid, t, r, v, f, None))
+                    continue
+                if known is None:
+                    for w in _words_of(v):
+                        held.get(w)
+                        e.words.fix(w)
+                out.append((uid, t, r, v, None, [*held.counts, *held.missing]))
+            cols = list(zip(*out)) if out else [[]] * 6
+            types = (pa.int64(), pa.string(), b.column(2).type, pa.string(), pa.string(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, types)], names=["uid", "table_name", "record_id", "value", "repaired", "asked"])
+
+    schema = f"uid long, table_name string, record_id {kind}, value string, repaired string, asked array<string>"
+    left = values.withColumn("uid", F.monotonically_increasing_id()).withColumn("known", F.lit(None).cast("array<struct<word:string,n:bigint>>"))
+    found = None
+    while True:
+        came = cut_lineage(left.select("uid", "table_name", "record_id", "value", "known").mapInArrow(run, schema))
+        done = came.where("asked is null").select("table_name", "record_id", "value", "repaired")
+        found = done if found is None else found.unionByName(done)
+        again = came.where("asked is not null")
+        if again.isEmpty():
+            return found
+        asked = again.select("uid", F.explode("asked").alias("word")).join(counts, "word", "left")
+        packed = asked.groupBy("uid").agg(F.collect_list(F.struct("word", F.coalesce("n", F.lit(0)).alias("n"))).alias("known"))
+        left = again.drop("repaired", "asked").join(packed, "uid")
 
 
 def scan_damage(values: DataFrame, trained_on: int = TRAINED_ON, most_words: int = MOST_WORDS) -> DataFrame:
@@ -547,23 +658,22 @@ def scan_damage(values: DataFrame, trained_on: int = TRAINED_ON, most_words: int
 
     ``values`` has table_name, record_id and value.  Defined results: null and empty values
     are no case; repeated rows come out as often as they came in; an empty table gives no
-    rows; hyphens, numbers and page numbers that belong to the text stay.  Up to
-    ``most_words`` different words their counts are sent to every task, beyond they are
-    joined to the values that ask for them."""
+    rows; hyphens, numbers and page numbers that belong to the text stay.  The counts of
+    the ``most_words`` most frequent words are sent to every task; those of further ones are
+    joined to the values that ask for them, until each has every count it asks for."""
     spark = values.sparkSession
     values = values.where("value is not null and value <> ''").select("table_name", "record_id", "value")
     counts = cut_lineage(word_counts(values).where("n > 1"))
     sample = sorted({r[0] for r in values.select("value").orderBy(F.xxhash64("value"), "value").limit(2 * trained_on).collect()})
-    # both ways the models are fitted on the words of the sample and their corrections
+    # whatever the number of words, the models are fitted on those of the sample and their corrections
     here = spark.createDataFrame([(0, v) for v in sample], "uid long, value string").mapInArrow(_looked_up, "uid long, word string").select("word").distinct()
-    kept = counts.join(here.union(here.mapInArrow(_corrections, "word string, meant string").select("meant")).distinct(), "word", "left_semi").toPandas()
+    kept = counts_held(counts.join(here.union(here.mapInArrow(_corrections, "word string, meant string").select("meant")).distinct(), "word", "left_semi"))
     lines = {r[0]: (r[1], r[2]) for r in line_shapes(values).collect()}
-    editor = train_editor(dict(zip(kept["word"], kept["n"].astype(int))), sample, lines)
-    if counts.count() > most_words:
-        return _joined_damage(values, counts, editor)
-    held = counts.toPandas()
-    table = dict(zip(held["word"], held["n"].astype(int)))
-    handle = spark.sparkContext.broadcast((uuid.uuid4().hex, table, editor.shapes, editor.headers, editor.lines.w, editor.chars.w))
+    editor = train_editor(kept, sample, lines)
+    n = counts.count()
+    if n > most_words:
+        return _joined_damage(values, counts, n, most_words, editor)
+    handle = spark.sparkContext.broadcast((uuid.uuid4().hex, counts_held(counts), editor.shapes, editor.headers, editor.lines.w, editor.chars.w))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = handle.value
